@@ -55,16 +55,16 @@ RULES = (
 )
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without ``text`` and with the counts that the rules use.
+def measured(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
+    """``docs``, without ``text`` unless ``with_text``, and with the counts that the rules use.
 
     ``n_repeat_words`` counts the words inside three-word windows that the text has twice or more. Windows
     are compared by 64-bit hashes within one text: sorted, equal neighbours are the repeated ones. Texts
     with few repeated windows look their positions up in that short list, the others sort positions along.
     """
     body = "_q_text"
-    keep = [c for c in docs.columns if c != text]
-    d = docs.withColumn(body, F.coalesce(F.col(text), F.lit(""))).drop(text) if text != body else docs
+    keep = [c for c in docs.columns if with_text or c != text]
+    d = docs.withColumn(body, F.coalesce(F.col(text), F.lit("")))
     d = d.withColumn("_q_words", F.filter(F.split(body, SPACE), lambda w: w != ""))
     d = d.withColumn("_q_lines", F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     chars = F.length(body)
@@ -154,12 +154,12 @@ def posterior(votes: Column, state: Column) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def judge(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, rounds: int = 25) -> DataFrame:
-    """Counts, ``votes``, ``base_failed``, ``p_good`` and ``kept`` for every row of ``docs``, less its text.
+def judge(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, rounds: int = 25, with_text: bool = False) -> DataFrame:
+    """Counts, ``votes``, ``base_failed``, ``p_good`` and ``kept`` for every row of ``docs``, less its text unless ``with_text``.
 
     ``kept`` is false where the base rule fails, else whether good is likelier than bad.
     """
-    counts = measured(docs, text).withColumn("base_failed", base_failed())
+    counts = measured(docs, text, with_text).withColumn("base_failed", base_failed())
     counts = scratch.stored(counts.withColumn("votes", F.array(*[r.vote().cast("int") for r in rules])), "rules")
     fitted = estimated(counts.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), len(rules), rounds)
     d = counts.crossJoin(F.broadcast(fitted))  # one row

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import quality_rules, repeats, simhash
+from waymark.llm import line_windows, mixing, packing, quality_rules, repeats, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,70 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.array("source").alias("sources"))
+    return mixing.mixed(docs)
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':0') AS spot
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+  FROM d GROUP BY source),
+f AS (
+  SELECT *, row_number() OVER o AS k, 2.0 * source_size / w AS ratio,
+         1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weights
+  FROM s WINDOW o AS (ORDER BY 2.0 * source_size / w, source NULLS LAST)),
+r AS (SELECT arg_min(rest / weights, k) FILTER (WHERE rest / weights <= ratio) AS rate FROM f),
+t AS (
+  SELECT source, source_size, CAST(least(2.0 * source_size, w * (SELECT rate FROM r)) AS DOUBLE) AS target FROM f),
+c AS (
+  SELECT d.*, source_size, target, floor(target + 0.5) AS gives,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY spot, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2 + size AS middle
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target,
+       CAST(size * (CASE WHEN gives > 0 AND middle <= 2 * least(gives, source_size) THEN 1 ELSE 0 END
+                  + CASE WHEN gives > source_size AND middle <= 2 * (gives - source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c
+"""
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_windows.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+w AS (
+  SELECT doc_id, i, l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2] AS t
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d)),
+f AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST, i) AS nth
+  FROM w WHERE regexp_matches(t, '[^ 	-]')),
+c AS (SELECT DISTINCT doc_id, i + o AS i FROM f, (VALUES (0), (1), (2)) v(o) WHERE nth > 1),
+x AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d),
+k AS (
+  SELECT x.doc_id, string_agg(line, chr(10) ORDER BY x.i) FILTER (WHERE c.i IS NULL) AS kept,
+         CAST(count(*) AS BIGINT) AS n_lines, CAST(count(c.i) AS BIGINT) AS n_removed
+  FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.i = c.i GROUP BY x.doc_id)
+SELECT doc_id, n_lines, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k
+"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
@@ -32,10 +96,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
+        "op2_token_counts": op2_token_counts,
+        "op3_source_mixing": op3_source_mixing,
+        "op4_packing": op4_packing,
+        "op7_line_dedup": op7_line_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_source_mixing": OP3_SQL, "op7_line_dedup": OP7_SQL}

@@ -38,3 +38,10 @@ def release(spark: SparkSession) -> None:
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """As :func:`stored`, but the table outlives the next :func:`release`, for results that a later step reads."""
+    found = stored(df, name)
+    _written.pop()
+    return found

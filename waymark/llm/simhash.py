@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark.llm import scratch
 from waymark.llm.components import components
@@ -70,15 +71,16 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long, for every row."""
+    """The columns of ``docs`` but its text, and ``fp``, the fingerprint as a signed long, for every row."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             found = np.fromiter((fingerprint(x.as_py(), width) for x in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(found)], names=[*(f.name for f in kept), "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, fp long")
+    return docs.select(*(f.name for f in kept), F.col("text").cast("string")).mapInArrow(work, T.StructType([*kept, T.StructField("fp", T.LongType())]))
 
 
 def _links(fps: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,13 +173,26 @@ def links(distinct: DataFrame, most_bits: int = 4, block: int = 4096) -> DataFra
     return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(work, "a long, b long")
 
 
+def representatives(docs: DataFrame, most_bits: int = 4, width: int = 4) -> DataFrame:
+    """One row of ``docs`` for each component: that of its smallest ``doc_id`` (null last; ties by a hash of the text)."""
+    keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
+    grouped = _grouped(keyed.select("doc_id", "text", "_k"), most_bits, width)
+    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_k")).alias("m"))
+    stay = scratch.stored(first.select(F.col("m._k").alias("_k")), "representatives")
+    return keyed.join(stay, "_k", "left_semi").dropDuplicates(["_k"]).select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, most_bits: int = 4, width: int = 4) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``, the smallest ``doc_id`` reachable over links, for every row."""
+    found = _grouped(docs.select("doc_id", "text"), most_bits, width)
+    least = scratch.stored(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    return found.join(least, "component").select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, most_bits: int, width: int) -> DataFrame:
+    """The columns of ``docs`` but its text, with ``fp`` and ``component``, the smallest fingerprint reachable."""
     marked = scratch.stored(fingerprints(docs, width), "fingerprints")
-    first = scratch.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    linked = components(links(first.select("fp"), most_bits))
-    rooted = scratch.stored(first.join(linked.withColumnRenamed("node", "fp"), "fp"), "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    moved = scratch.stored(rooted.join(least, "root").select("fp", "component_id"), "moved")
-    own = first.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(scratch.stored(own, "component"), "fp").select("doc_id", "fp", "component_id")
+    distinct = scratch.stored(marked.select("fp").distinct(), "distinct")
+    linked = components(links(distinct, most_bits))
+    linked = scratch.stored(linked.selectExpr("node as fp", "root as component"), "linked")
+    return marked.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
