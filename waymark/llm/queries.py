@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import line_windows, mixing, packing, quality_rules, repeats, simhash, token_counts
+from waymark.llm import line_windows, mixing, packing, pii, quality_net, quality_rules, repeats, simhash, token_counts, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,8 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size,
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS size,
          md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':0') AS spot
   FROM documents),
 s AS (
@@ -60,6 +61,30 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform("embedding", lambda c: F.floor(c.cast("double") * 256).cast("double"))
+    held = F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))  # floor would hide them
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.when(~held, whole).alias("x"))
+    return topk.top(vectors, F.col("vec_id") % 50 == 0)
+
+
+OP6_SQL = """
+WITH e AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, q.r, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank <= 5
+"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_windows.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -72,7 +97,8 @@ w AS (
   FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d)),
 f AS (
   SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST, i) AS nth
-  FROM w WHERE regexp_matches(t, '[^ 	-]')),
+  FROM w WHERE regexp_matches(t, '[^ 	-
+]')),
 c AS (SELECT DISTINCT doc_id, i + o AS i FROM f, (VALUES (0), (1), (2)) v(o) WHERE nth > 1),
 x AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d),
 k AS (
@@ -88,6 +114,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality_net.fitted(docs, _table(spark, sf_dir, "labels"))
+    scored = quality_net.scored(docs, net).withColumn("held_out", F.coalesce(quality_net.held_out(), F.lit(False)))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -99,11 +132,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_source_mixing": op3_source_mixing,
         "op4_packing": op4_packing,
+        "op5_pii": op5_pii,
+        "op6_topk": op6_topk,
         "op7_line_dedup": op7_line_dedup,
         "op8_quality_rules": op8_quality_rules,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": OP3_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op3_source_mixing": OP3_SQL, "op6_topk": OP6_SQL, "op7_line_dedup": OP7_SQL}
