@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from waymark import rank
 from waymark.functions.text import fold, split_suffix
@@ -41,12 +42,12 @@ def score(a: str, b: str) -> float:
     return max(ratio(a, b), partial_ratio(a, b), token_set_ratio(a, b))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([score(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def plain_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 

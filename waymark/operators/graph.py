@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark import rank
+from waymark.stage import cut
 
 
 def resolved(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -29,12 +30,12 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 5
     every = both.select(F.col("a").alias("node")).distinct()
     if nodes is not None:
         every = every.unionByName(nodes.select("node")).distinct()
-    both, labels = _cut(both), _cut(every.withColumn("label", F.col("node")))
+    both, labels = cut(both), cut(every.withColumn("label", F.col("node")))
     for _ in range(rounds):
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("heard"))
         near = labels.join(heard, labels.node == heard.a, "left").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
         far = near.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        after = _cut(near.join(far, "label", "left").select("node", "was", F.least("label", "far").alias("label")))
+        after = cut(near.join(far, "label", "left").select("node", "was", F.least("label", "far").alias("label")))
         moved = after.where("was <> label").isEmpty()
         labels = after.select("node", "label")
         if moved:
@@ -45,16 +46,6 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 5
     return labels.join(sizes, "label").selectExpr("node", "label as component", "size")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    if not spark.conf.get("spark.master", "").startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints/waymark")
-    return df.checkpoint()
-
-
 def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, longest: int = 6) -> DataFrame:
     """A shortest path of at most ``longest`` edges between sources and targets (``node``), the first by name.
 
@@ -66,8 +57,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, lon
     for _ in range(longest):
         step = front.join(e, front.at == e.a).select("source", F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path"))
         step = step.join(reached.select("source", "at"), ["source", "at"], "left_anti").groupBy("source", "at").agg(F.min("path").alias("path"))
-        front = _cut(step)
-        reached = _cut(reached.unionByName(front))
+        front = cut(step)
+        reached = cut(reached.unionByName(front))
         if front.isEmpty():
             break
     hit = reached.join(targets.select(F.col("node").alias("at")).distinct(), "at").where("source <> at")

@@ -18,10 +18,9 @@ def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[Column | str])
 
 def keep_best(df: DataFrame, key: str, better: Column, row_id: str) -> DataFrame:
     """``kept`` for every row: the first of its key, one that is ``better`` before others (E2). Rows with a blank key are all kept."""
-    order = Window.partitionBy(key).orderBy(F.desc(better.cast("int")), row_id)
-    blank = F.coalesce(F.col(key), F.lit("")) == ""
-    keyed = df.where(~blank).withColumn("kept", F.row_number().over(order) == 1)
-    return keyed.unionByName(df.where(blank).withColumn("kept", F.lit(True)))
+    own = F.when(F.coalesce(F.col(key), F.lit("")) == "", F.concat(F.lit("\0"), F.col(row_id).cast("string"))).otherwise(F.col(key))
+    order = Window.partitionBy("_own").orderBy(F.desc(better.cast("int")), row_id)
+    return df.withColumn("_own", own).withColumn("kept", F.row_number().over(order) == 1).drop("_own")
 
 
 def union_by_name(frames: Sequence[DataFrame], fill: str = "") -> DataFrame:

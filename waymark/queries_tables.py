@@ -9,9 +9,28 @@ from waymark import rank
 from waymark.catalog import Tables, query
 from waymark.functions import geo
 from waymark.functions.text import canon_text
-from waymark.operators import aggregates, tables
+from waymark.operators import aggregates, routing, tables
 
-_DUP = "md5(text)"
+@query(
+    """
+WITH o AS (
+  SELECT o_orderkey, o_custkey, o_orderpriority, regexp_replace(strip_accents(lower(trim(c_mktsegment || ' ' || (o_custkey % 40) || ' ' || o_orderpriority))), '[^a-z0-9]+', '', 'g') AS key, o_totalprice > 100000 AS better
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+c AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS f, sum(count(*)) OVER (PARTITION BY o_custkey) AS total FROM orders GROUP BY 1, 2),
+d AS (SELECT o_custkey, o_orderpriority AS lead FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, f) AS nth FROM c) WHERE nth = 1 AND n >= 0.4 * total),
+k AS (SELECT o.*, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN better THEN 0 ELSE 1 END, o_orderkey) = 1 AS kept FROM o),
+s AS (SELECT CASE WHEN NOT kept THEN 'Duplicate' WHEN lead IS NOT NULL AND lead <> o_orderpriority THEN 'Fail' ELSE 'Pass' END AS status FROM k LEFT JOIN d USING (o_custkey))
+SELECT coalesce(status, 'Total') AS status, count(*) AS n, CAST(CASE WHEN grouping(status) = 1 THEN 3 WHEN status = 'Pass' THEN 0 WHEN status = 'Fail' THEN 1 ELSE 2 END AS INTEGER) AS position FROM s GROUP BY ROLLUP (status)
+"""
+)
+def order_outcomes(t: Tables) -> DataFrame:
+    """Which rows are clean, duplicate or failed, and how many."""
+    o = t.orders.join(t.customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.select("o_orderkey", "o_custkey", "o_orderpriority", canon_text(F.concat_ws(" ", "c_mktsegment", (F.col("o_custkey") % 40).cast("string"), "o_orderpriority")).alias("key"), (F.col("o_totalprice") > 100000).alias("better"))
+    lead = aggregates.dominant(t.orders, ["o_custkey"], "o_orderpriority", "o_orderkey", 0.4).select("o_custkey", F.col("o_orderpriority").alias("lead"))
+    kept = tables.keep_best(o, "key", F.col("better"), "o_orderkey").join(lead, "o_custkey", "left")
+    status = routing.cascade([(~F.col("kept"), "Duplicate"), (F.col("lead") != F.col("o_orderpriority"), "Fail")], "Pass")
+    return routing.status_summary(kept.withColumn("status", status), "status")
 
 
 @query("SELECT doc_id, md5(text) AS key FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS nth FROM documents) WHERE nth = 1")
@@ -327,14 +346,15 @@ def natural_sort(t: Tables) -> DataFrame:
 
 @query(
     """
-WITH r AS (SELECT p_partkey, p_name, lower(p_name) AS n FROM part), q AS (SELECT lower(split_part(p_name, ' ', 1)) AS q FROM part WHERE p_partkey = 0 OR p_partkey = 1 ORDER BY p_partkey LIMIT 1)
-SELECT p_partkey, p_name, CASE WHEN starts_with(n, 'part') THEN 1 WHEN contains(' ' || n, ' part') THEN 2 ELSE 3 END AS tier FROM r
-WHERE contains(n, 'part') ORDER BY tier, p_partkey LIMIT 100
+WITH r AS (SELECT p_partkey, p_name, lower(p_name) AS n FROM part),
+c AS (SELECT max(k) AS k FROM r, (VALUES (1), (2), (3), (4)) v(k) WHERE starts_with(n, substr('ring', 1, k)))
+SELECT p_partkey, p_name, CAST(CASE WHEN starts_with(n, substr('ring', 1, k)) THEN 1 WHEN contains(' ' || n, ' ring') THEN 2 ELSE 3 END AS INTEGER) AS tier FROM r, c
+WHERE starts_with(n, substr('ring', 1, k)) OR contains(n, 'ring') ORDER BY tier, p_partkey LIMIT 300
 """
 )
 def prefix_search_rank(t: Tables) -> DataFrame:
     """F9, F7."""
-    return tables.searched(t.part.select("p_partkey", "p_name"), "p_name", "Part", "p_partkey")
+    return tables.searched(t.part.select("p_partkey", "p_name"), "p_name", "Ring", "p_partkey", 300)
 
 
 @query(
