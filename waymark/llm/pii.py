@@ -216,6 +216,7 @@ def _made(seed: int, lines: int) -> list[tuple[str, set[Span]]]:
             f"{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}", digits(rng.randint(7, 13)), digits(rng.choice((16, 16, 20, 24))), f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}",
             f"{rng.randint(300, 999)}.{digits(3)}.{digits(3)}.{digits(3)}", f"{y}-{y + 1}", f"{digits(3)} {digits(3)} {digits(3)}", f"{digits(5)}-{digits(4)}", f"{digits(1)}-{digits(3)}-{digits(5)}-{digits(1)}",
             f"{digits(2)} {digits(3)} {digits(1)} {digits(4)}", f"{word()}@{word()}", f"{digits(4)}/{digits(4)}", f"{digits(1)}.{digits(8)}", f"{digits(3)}-{digits(2)}-{digits(3)}",
+            f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"979-{digits(2)}-{digits(4)}-{digits(3)}-{digits(1)}",
         ))
 
     cues = {k: [c for c, v in _CUES.items() if v == k] for k in KINDS}
