@@ -20,7 +20,7 @@ c AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS f, su
 d AS (SELECT o_custkey, o_orderpriority AS lead FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, f) AS nth FROM c) WHERE nth = 1 AND n >= 0.4 * total),
 k AS (SELECT o.*, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN better THEN 0 ELSE 1 END, o_orderkey) = 1 AS kept FROM o),
 s AS (SELECT CASE WHEN NOT kept THEN 'Duplicate' WHEN lead IS NOT NULL AND lead <> o_orderpriority THEN 'Fail' ELSE 'Pass' END AS status FROM k LEFT JOIN d USING (o_custkey))
-SELECT coalesce(status, 'Total') AS status, count(*) AS n, CAST(CASE WHEN grouping(status) = 1 THEN 3 WHEN status = 'Pass' THEN 0 WHEN status = 'Fail' THEN 1 ELSE 2 END AS INTEGER) AS position FROM s GROUP BY ROLLUP (status)
+SELECT coalesce(status, 'Total') AS status, count(*) AS n, CAST(CASE WHEN grouping(status) = 1 THEN 4 WHEN status = 'Pass' THEN 0 WHEN status = 'Fail' THEN 1 ELSE 2 END AS INTEGER) AS position FROM s GROUP BY ROLLUP (status)
 """
 )
 def order_outcomes(t: Tables) -> DataFrame:

@@ -17,21 +17,35 @@ def encoding_of(spark: SparkSession, path: str) -> str:
 
     Bytes are looked at by Spark, in pieces, so files may be large and in any store.
     """
-    lines = spark.read.option("encoding", "ISO-8859-1").text(path).select(F.encode("value", "ISO-8859-1").alias("b"))
-    # is_valid_utf8 works on text; bytes 0x81, 0x8d, 0x8f, 0x90, 0x9d have no sign in windows-1252.
+    lines = spark.read.text(path)  # a line's bytes as they are
+    # Bytes 0x81, 0x8d, 0x8f, 0x90, 0x9d have no sign in windows-1252.
     seen = lines.agg(
-        F.max((~F.is_valid_utf8(F.col("b").cast("string"))).cast("int")).alias("not_utf8"),
-        F.max(F.hex("b").rlike("^(?:..)*?(?:81|8D|8F|90|9D)").cast("int")).alias("undefined"),
+        F.max((~F.is_valid_utf8("value")).cast("int")).alias("not_utf8"),
+        F.max(F.hex(F.col("value").cast("binary")).rlike("^(?:..)*?(?:81|8D|8F|90|9D)").cast("int")).alias("undefined"),
     ).first()
     return "UTF-8" if not seen.not_utf8 else "ISO-8859-1" if seen.undefined else "windows-1252"
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = "UTF-8", quote: str = '"') -> DataFrame:
     """A file with a header, all columns strings, blanks as blanks, a byte order mark dropped (A1). Null ``encoding``: find it."""
-    reader = spark.read.options(header=True, inferSchema=False, encoding=encoding or encoding_of(spark, path), quote=quote, escape=quote, multiLine=False, nullValue="\0", emptyValue="", enforceSchema=False)
+    encoding = encoding or encoding_of(spark, path)
+    western = encoding.lower() in ("windows-1252", "cp1252")  # Spark reads it as Latin-1; the signs that differ are put right
+    reader = spark.read.options(header=True, inferSchema=False, encoding="ISO-8859-1" if western else encoding, quote=quote, escape=quote, multiLine=False, nullValue="\0", emptyValue="", enforceSchema=False)
     df = reader.csv(path)
-    clean = {c: c.lstrip("﻿").strip() for c in df.columns}
-    return df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(clean[c]) for c in df.columns])
+    clean = {c: c.translate(_WESTERN if western else {}).lstrip("\ufeff").strip() for c in df.columns}
+    value = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    if western:
+        signs = ["".join(x) for x in zip(*((chr(k), v) for k, v in _WESTERN.items()), strict=True)]
+        return df.select(*[F.translate(value(c), *signs).alias(clean[c]) for c in df.columns])
+    return df.select(*[value(c).alias(clean[c]) for c in df.columns])
+
+
+def _western() -> dict[int, str]:
+    signs = {k: bytes([k]).decode("cp1252", "ignore") for k in range(0x80, 0xA0)}
+    return {k: v for k, v in signs.items() if v}
+
+
+_WESTERN = _western()
 
 
 def canonical_header(columns: Sequence[str]) -> set[str]:
