@@ -1,7 +1,7 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
 Each block of candidates has one list for each dimension, sorted by component. For a query, the lists are read in
-step, a stretch at a time, from the end where its component's products are largest. A candidate's products read so
+step, to a depth that grows, from the end where its component's products are largest. A candidate's products read so
 far bound its score: from below with the least product of each list that it wasn't met in, from above with the
 product at that list's front. Reading stops when at most ``spare`` candidates can still reach the k-th best lower
 bound (an upper bound equal to it counts, for ties), or the lists end; the scores of those left are then resolved.
@@ -25,62 +25,77 @@ from waymark.llm import scratch
 
 
 class Lists:
-    """A block's sorted lists."""
+    """A block's sorted lists, read for many queries in step.
+
+    An entry of a list is a candidate's rank and component, so the products read to some depth, for all queries, are those
+    of the components whose rank is below it: a matrix product for the lists read from their top (positive weights) and
+    one for those read from their bottom. Bounds are sums of the same kind.
+    """
 
     def __init__(self, x: np.ndarray) -> None:
-        self.x = x  # candidate, dimension: integers
-        self.order = np.argsort(-x, axis=0, kind="stable").T.copy()  # dimension, place
-        self.sorted = np.take_along_axis(x.T, self.order, axis=1)
-
-    def best(self, query: np.ndarray, k: int, stretch: int, spare: int, barred: int | None) -> tuple[np.ndarray, int]:
-        """Candidates that hold the k best scores (and ties), and how many entries were read."""
-        n = len(self.x)
-        if n <= spare:
-            return np.arange(n), 0
-        used = np.flatnonzero(query)
-        q = query[used].astype(np.float64)
-        lists = [(self.order[d], self.sorted[d]) if query[d] > 0 else (self.order[d][::-1], self.sorted[d][::-1]) for d in used]
-        least = np.array([w * values[-1] for w, (_, values) in zip(q, lists, strict=True)])
-        lower = np.full(n, least.sum())
-        met = np.zeros((len(used), n), np.float32)
-        for depth in range(0, n, stretch):
-            to = min(depth + stretch, n)
-            who = np.stack([ids[depth:to] for ids, _ in lists])
-            product = np.stack([w * values[depth:to] for w, (_, values) in zip(q, lists, strict=True)])
-            lower += np.bincount(who.ravel(), weights=(product - least[:, None]).ravel(), minlength=n)
-            np.put_along_axis(met, who, 1.0, axis=1)
-            front = product[:, -1]
-            # In lists that it wasn't met in, a candidate can gain the front's product over the least one.
-            gain = front - least
+        self.x = x.astype(np.float64)  # candidate, dimension: integers, exact in products up to 2 ** 53
+        self.rank = np.empty(x.shape, np.int32)
+        order = np.argsort(-x, axis=0, kind="stable")
+        np.put_along_axis(self.rank, order.astype(np.int64), np.arange(len(x), dtype=np.int32)[:, None], axis=0)
+        self.sorted = np.take_along_axis(self.x, order, axis=0)
+
+    def best(self, queries: np.ndarray, k: int, spare: int, barred: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each query the candidates that can hold its k best scores, ties included, and how deep it read.
+
+        ``barred`` is each query's own candidate, or -1. The depth doubles, and goes to the end at once when most
+        candidates are still open, as reading on would not close them.
+        """
+        n, q = len(self.x), queries.astype(np.float64)
+        left: list[np.ndarray] = [np.arange(n)] * len(q)
+        depth_of = np.zeros(len(q), np.int64)
+        open_ = np.arange(len(q)) if n > spare else np.zeros(0, np.int64)
+        depth = max(1, n // 16)
+        while len(open_):
+            up, down = np.maximum(q[open_], 0), np.minimum(q[open_], 0)
+            if depth < n:
+                top, bottom = self.rank < depth, self.rank >= n - depth
+                read = (self.x * top) @ up.T + (self.x * bottom) @ down.T
+                bound = lambda a, b: read + (up @ a + down @ b) - top @ (up * a).T - bottom @ (down * b).T  # noqa: B023, E731
+                lower, upper = bound(self.sorted[-1], self.sorted[0]), bound(self.sorted[depth - 1], self.sorted[n - depth])
+            else:
+                lower = upper = self.x @ q[open_].T
             known = lower.copy()
-            if barred is not None:
-                known[barred] = -np.inf
-            bound = np.partition(known, n - k)[n - k] if n >= k else -np.inf
-            reach = np.flatnonzero(lower + gain.sum() >= bound)
-            upper = lower[reach] + gain.sum() - gain @ met[:, reach].astype(np.float64)
-            left = reach[upper >= bound]
-            if len(left) <= spare:
-                return left, to * len(used)
-        return left, n * len(used)
-
-
-def pair_best(candidates: pa.Table, queries: pa.Table, k: int, stretch: int = 256, spare: int = 64) -> pa.Table:
+            own = barred[open_]
+            known[own[own >= 0], np.flatnonzero(own >= 0)] = -np.inf
+            least = np.partition(known, n - k, axis=0)[n - k] if n >= k else np.full(len(open_), -np.inf)
+            reach = upper >= least
+            counts = reach.sum(axis=0)
+            done = (counts <= spare) | (depth >= n)
+            for c in np.flatnonzero(done):
+                left[open_[c]] = np.flatnonzero(reach[:, c])
+            depth_of[open_] = depth
+            depth = n if depth >= n or (len(counts) and np.median(counts) > n / 4) else min(2 * depth, n)
+            open_ = open_[~done]
+        return left, depth_of
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    values = table.column("x").combine_chunks()
+    return values.flatten().to_numpy().reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 0), np.int64)
+
+
+def pair_best(candidates: pa.Table, queries: pa.Table, k: int, spare: int = 64, batch: int = 128) -> pa.Table:
     """The k best candidates of a block for each query of a block."""
     rows: list[tuple] = []
     if candidates.num_rows and queries.num_rows:
-        as_table = lambda t: np.array(t.column("x").to_pylist(), np.int64).reshape(t.num_rows, -1)
-        x, y = as_table(candidates), as_table(queries)
-        ids = np.array([np.iinfo(np.int64).max if v is None else v for v in candidates.column("vec_id").to_pylist()], np.int64)
+        x, y = _matrix(candidates), _matrix(queries)
         raw = candidates.column("vec_id").to_pylist()
-        own = {r: i for i, r in enumerate(candidates.column("row").to_pylist())}
+        ids = np.array([np.iinfo(np.int64).max if v is None else v for v in raw], np.int64)
+        place = {r: i for i, r in enumerate(candidates.column("row").to_pylist())}
+        asked = list(zip(queries.column("row").to_pylist(), queries.column("vec_id").to_pylist(), strict=True))
+        barred = np.array([place.get(r, -1) for r, _ in asked])
         lists = Lists(x)
-        for row, query_id, q in zip(queries.column("row").to_pylist(), queries.column("vec_id").to_pylist(), y, strict=True):
-            barred = own.get(row)
-            left, _ = lists.best(q, k, stretch, spare, barred)
-            left = left[left != barred] if barred is not None else left
-            score = x[left] @ q
-            for i in np.lexsort((ids[left], -score))[:k].tolist():
-                rows.append((row, query_id, raw[left[i]], int(score[i])))
+        for at in range(0, len(asked), batch):
+            found, _ = lists.best(y[at : at + batch], k, spare, barred[at : at + batch])
+            for i, left in enumerate(found, at):
+                left = left[left != barred[i]]
+                score = x[left] @ y[i]
+                rows += [(*asked[i], raw[left[j]], int(score[j])) for j in np.lexsort((ids[left], -score))[:k].tolist()]
     columns = list(zip(*rows, strict=True)) or [()] * 4
     return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "query_id", "vec_id", "score"])
 
