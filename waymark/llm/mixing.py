@@ -124,6 +124,11 @@ def order_of(doc_id: str, seed: int) -> Column:
     return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f":{seed}")))
 
 
+def _by_size(table: DataFrame, rows: int) -> DataFrame:
+    """A table made on the driver, of known length; marked for broadcast up to 100,000 rows, joined by a shuffle beyond."""
+    return F.broadcast(table) if rows <= 100_000 else table
+
+
 def limits(sized: DataFrame, gives: Iterable[tuple[str, int, int]], most: int = 2) -> DataFrame:
     """``pattern`` and, for each repetition, the largest hash that is taken (``limit_1``…; null: none).
 
@@ -131,7 +136,8 @@ def limits(sized: DataFrame, gives: Iterable[tuple[str, int, int]], most: int =
     gives and has. A document is taken if the middle of its words lies within what its pattern gives.
     """
     spark = sized.sparkSession
-    given = spark.createDataFrame(list(gives), "pattern string, gives long, has long")
+    gives = list(gives)
+    given = _by_size(spark.createDataFrame(gives, "pattern string, gives long, has long"), len(gives))
     # Buckets hold some thousands of documents each, and a pattern has 65,536 of them at most.
     n = sized.count()
     digits = next(d for d in (1, 2, 3, 4) if n <= 4096 * 16**d or d == 4)
@@ -164,7 +170,7 @@ def planned(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 0,
     about = [(r.pattern, sizes[r.sources[0]], round(float(wanted[r.sources[0]]), 6)) for r in found if r.sources]
     spark = docs.sparkSession
     table = spark.createDataFrame(about, "pattern string, source_size long, target double")
-    return sized, table.join(limits(sized, rows, most), "pattern", "left")
+    return sized, _by_size(scratch.stored(table.join(limits(sized, rows, most), "pattern", "left"), "limits"), len(about))
 
 
 def copies(most: int = 2) -> Column:
@@ -180,7 +186,7 @@ def sampled(docs: DataFrame, source: str = "source", weights: Sequence[int] = (5
     """
     own = docs.withColumn("_sources", F.array(source))
     _, table = planned(own.select("doc_id", "text", F.col("_sources").alias("sources")), weights, seed, most)
-    table = scratch.stored(table, "limits").withColumnRenamed("pattern", "_pattern")
+    table = table.withColumnRenamed("pattern", "_pattern")
     pattern = F.to_json(F.array_sort(F.array_distinct("_sources")), {"ignoreNullFields": "false"})
     d = own.withColumns({"_pattern": pattern, "at": order_of("doc_id", seed)}).join(table.select("_pattern", *[f"limit_{r + 1}" for r in range(most)]), "_pattern")
     d = d.withColumn("_copies", F.when(n_words() > 0, copies(most)).otherwise(0)).where("_copies > 0")
@@ -190,5 +196,5 @@ def sampled(docs: DataFrame, source: str = "source", weights: Sequence[int] = (5
 def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 0, most: int = 2) -> DataFrame:
     """``doc_id``, ``size``, ``source_size``, ``target``, ``taken`` for every row of ``docs``."""
     sized, table = planned(docs, weights, seed, most)
-    joined = sized.join(scratch.stored(table, "limits"), "pattern", "left")
+    joined = sized.join(table, "pattern", "left")
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(most)).cast("long").alias("taken"))
