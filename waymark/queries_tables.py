@@ -226,13 +226,13 @@ def sum_per_segment(t: Tables) -> DataFrame:
 
 
 @query(
-    """
+    r"""
 WITH v AS (
   SELECT field, value, count(*) AS n FROM (
     SELECT 'p_size' AS field, CAST(p_size AS VARCHAR) AS value FROM part UNION ALL SELECT 'p_brand', trim(p_brand) FROM part UNION ALL SELECT 'p_type', trim(p_type) FROM part) GROUP BY 1, 2)
 SELECT field, value, n, CAST(row_number() OVER (PARTITION BY field ORDER BY CASE WHEN field = 'p_size' AND value = '7' THEN 0 END NULLS LAST, n DESC,
-  CASE WHEN regexp_matches(value, '^\\d+$') THEN 0 ELSE 1 END, TRY_CAST(value AS BIGINT) NULLS FIRST, lower(value), value) AS INTEGER) AS position FROM v
-""".replace("\\\\", "\\")
+  CASE WHEN regexp_matches(value, '^\d+$') THEN 0 ELSE 1 END, TRY_CAST(value AS BIGINT) NULLS FIRST, lower(value), value) AS INTEGER) AS position FROM v
+"""
 )
 def freq_then_alpha(t: Tables) -> DataFrame:
     """D17, F3."""

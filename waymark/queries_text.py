@@ -26,7 +26,7 @@ def _lines(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", spelled.alias("number"), letter.alias("letter"), F.get(F.array(*map(F.lit, STREETS)), (F.col("l_partkey") % 10).cast("int")).alias("street"))
 
 
-_NUMBER_SQL = """
+_NUMBER_SQL = r"""
 WITH l AS (
   SELECT l_orderkey, l_linenumber, CAST(l_orderkey % 97 + 1 AS VARCHAR) AS a, CAST(l_partkey % 40 + 1 AS VARCHAR) AS b,
          ['A','B','C','D','E','F','G'][l_linenumber % 7 + 1] AS letter, l_partkey FROM lineitem),
@@ -39,16 +39,16 @@ n AS (
   FROM l),
 u AS (
   SELECT *, trim(number) AS t,
-         regexp_matches(trim(number), '(?i)^unit\\s*([A-Za-z0-9]+)\\s*/\\s*(\\d+[A-Za-z]?)$') AS uf,
-         regexp_matches(trim(number), '(?i)^(\\d+[A-Za-z]?)\\s*/\\s*unit\\s*([A-Za-z0-9]+)$') AS hf
+         regexp_matches(trim(number), '(?i)^unit\s*([A-Za-z0-9]+)\s*/\s*(\d+[A-Za-z]?)$') AS uf,
+         regexp_matches(trim(number), '(?i)^(\d+[A-Za-z]?)\s*/\s*unit\s*([A-Za-z0-9]+)$') AS hf
   FROM n),
 s AS (
   SELECT *,
-    CASE WHEN uf THEN 'Unit' || regexp_extract(t, '(?i)^unit\\s*([A-Za-z0-9]+)\\s*/', 1)
-         WHEN hf THEN 'Unit' || regexp_extract(t, '(?i)unit\\s*([A-Za-z0-9]+)$', 1) ELSE '' END AS unit,
-    CASE WHEN uf THEN regexp_extract(t, '/\\s*(\\d+[A-Za-z]?)$', 1) WHEN hf THEN regexp_extract(t, '^(\\d+[A-Za-z]?)', 1) ELSE '' END AS house
+    CASE WHEN uf THEN 'Unit' || regexp_extract(t, '(?i)^unit\s*([A-Za-z0-9]+)\s*/', 1)
+         WHEN hf THEN 'Unit' || regexp_extract(t, '(?i)unit\s*([A-Za-z0-9]+)$', 1) ELSE '' END AS unit,
+    CASE WHEN uf THEN regexp_extract(t, '/\s*(\d+[A-Za-z]?)$', 1) WHEN hf THEN regexp_extract(t, '^(\d+[A-Za-z]?)', 1) ELSE '' END AS house
   FROM u)
-""".replace("\\\\", "\\")
+"""
 
 
 @query(
@@ -394,9 +394,10 @@ def submission_check(t: Tables) -> DataFrame:
 
 @query(
     r"""
-SELECT event_id, list_sort(list_distinct(list_concat(CASE WHEN regexp_matches(props, '\d') THEN ['digit'] ELSE [] END, list_transform(regexp_extract_all(props, '[^A-Za-z0-9_\s''\-]'), lambda s: 'symbol:' || s)))) AS labels
+SELECT event_id, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN regexp_matches(props, '\d') THEN ['digit'] ELSE [] END,
+  list_transform(regexp_extract_all(props, '[^A-Za-z0-9_\s''\-]'), lambda s: 'symbol:' || s)))), ' ') AS labels
 FROM events
-""".replace("SELECT event_id, list_sort", "SELECT event_id, array_to_string(list_sort").replace("))) AS labels", "))), ' ') AS labels")
+"""
 )
 def issue_labels(t: Tables) -> DataFrame:
     """H18."""
