@@ -32,12 +32,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables written so far; call it once the results made from them are themselves written."""
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete tables, all that were written so far or those of ``paths``; call it once the results made from them are written."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in list(_written if paths is None else paths):
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        if name in _written:
+            _written.remove(name)
+
+
+def written() -> list[str]:
+    """The tables that are there now."""
+    return list(_written)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
