@@ -138,9 +138,9 @@ def limits(sized: DataFrame, gives: Iterable[tuple[str, int, int]], most: int =
     spark = sized.sparkSession
     gives = list(gives)
     given = _by_size(spark.createDataFrame(gives, "pattern string, gives long, has long"), len(gives))
-    # Buckets hold some thousands of documents each, and a pattern has 65,536 of them at most.
+    # Buckets hold some hundreds of documents each, and a pattern has 65,536 of them at most.
     n = sized.count()
-    digits = next(d for d in (1, 2, 3, 4) if n <= 4096 * 16**d or d == 4)
+    digits = next(d for d in (1, 2, 3, 4) if n <= 256 * 16**d or d == 4)
     bucketed = sized.withColumn("bucket", F.substring("at", 1, digits))
     sums = bucketed.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
