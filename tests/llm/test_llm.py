@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from waymark.llm import components, line_windows, mixing, packing, pii, pretokens, quality_net, quality_rules, queries, repeats, scratch, simhash, token_counts, topk
+from waymark.llm import components, line_windows, mixing, packing, pii, pretokens, quality_net, quality_rules, queries, repeats, scratch, shingles, simhash, token_counts, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -392,6 +392,60 @@ def test_representatives_of_near_copies(spark):
     assert simhash.bits_at(1.0) == 0 and 28 < simhash.bits_at(0.8) < 36
 
 
+def _shingles(t):
+    w = t.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_links_are_the_pairs_at_the_similarity(spark):
+    """Brute force over pairs at 0.7 to 0.95, in short lists and, by blocks, in long ones: all at 0.8 or more are connected, none below is."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(4000)]
+    texts = []
+    for k in range(60):
+        base = [rng.choice(words) for _ in range(240)]
+        for _ in range(60 if k < 3 else 2):  # three large groups
+            c = list(base)
+            for i in rng.sample(range(len(c)), rng.randint(1, 9) if k >= 3 else rng.randint(0, 5)):
+                c[i] = rng.choice(words)
+            texts.append(" ".join(c))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
+    marked = shingles.marked(keyed).cache()
+    id_of = {r.doc_id: r.id for r in marked.collect()}
+    sets = [_shingles(t) for t in texts]
+    assert all(len(shingles.shingles(t)) == len(s) for t, s in zip(texts, sets, strict=True))
+    parent, bands = list(range(len(texts))), Counter()
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            both = len(sets[i] & sets[j])
+            share = both / (len(sets[i]) + len(sets[j]) - both)
+            bands[int(share * 20 + 1e-9)] += 1
+            if share >= 0.8:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert all(bands[b] for b in range(14, 19))
+    distinct = marked.dropDuplicates(["id"]).select("id", "_k", "bands")
+    root = {i: i for i in id_of.values()}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in shingles.links(keyed, distinct, 0.8, block=40).collect():
+        root[max(top(r.a), top(r.b))] = min(top(r.a), top(r.b))
+    met = {(find(i), top(id_of[i])) for i in range(len(texts))}
+    assert len(met) == len({a for a, _ in met}) == len({b for _, b in met})
+    kept = {r.doc_id for r in simhash.representatives(docs).collect()}
+    assert kept == {find(i) for i in range(len(texts))}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (7, 7), (901, 900)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}

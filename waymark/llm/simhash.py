@@ -11,11 +11,8 @@ Only distinct fingerprints are indexed. A list that is too long for one task is
 each two blocks meet in a task of their own. A task returns a forest for its part of a list (each linked
 fingerprint with the smallest of its group), not all pairs; what is linked stays linked through it.
 
-For a similarity of shingle sets rather than a number of bits (:func:`representatives`), fingerprints are three words wide. Sets that
-share the part J of their shingles differ in about acos(2 J / (1 + J)) / pi of their bits; fingerprints within that number are
-linked. No few positions are then sure to agree, so lists are of fixed, spread triples of the 24 positional bytes, and a
-pair is a candidate if it shares one: measured, about 8 in 10 pairs at J = 0.85, 9 in 10 at 0.9, nearly all from 0.95 on;
-groups are connected by any of their pairs.
+For a similarity of shingle sets rather than a number of bits (:func:`representatives`), see :mod:`waymark.llm.shingles`: no
+fingerprint decides there.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any others; fewer than
 four words make one shingle of all words; a null ``doc_id`` keeps its row, and groups of only such rows have a
@@ -35,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm import scratch
+from waymark.llm import scratch, shingles
 from waymark.llm.components import components
 
 SEED = 42
@@ -240,9 +237,13 @@ def _id(words: int) -> Column:
 
 def representatives(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates: that of its smallest ``doc_id`` (null last; ties by a hash of the
-    text). Documents are linked at ``similarity`` of their shingles of ``width`` words, or more, as wide fingerprints tell it."""
+    text). Documents are linked at ``similarity`` of their sets of shingles of ``width`` words, or more, verified exactly."""
     keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
-    grouped = _grouped(keyed.select("doc_id", "text", "_k"), bits_at(similarity), width, WIDE)
+    marked = scratch.stored(shingles.marked(keyed.select("doc_id", "text", "_k"), width), "marked")
+    distinct = scratch.stored(marked.groupBy("id").agg(F.min("_k").alias("_k"), F.first("bands").alias("bands")), "distinct")
+    linked = components(shingles.links(keyed, distinct, similarity, width))
+    linked = scratch.stored(linked.selectExpr("node as id", "root as component"), "linked")
+    grouped = marked.drop("bands").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_k")).alias("m"))
     stay = scratch.stored(first.select(F.col("m._k").alias("_k")), "representatives")
     return keyed.join(stay, "_k", "left_semi").dropDuplicates(["_k"]).select(*docs.columns)
