@@ -482,3 +482,20 @@ def test_sql(spark, name):
     assert cols == sorted(want.columns)
     a, b = (d[cols].sort_values(cols).reset_index(drop=True) for d in (got, want))
     assert a.equals(b)
+
+
+def test_field_reads_long_rows_of_numbers():
+    """No number in a long row is cut where a stretch ended."""
+    w = pii.weights()
+    for one, kind in (("555-234-{:04d}", 3), ("4539 1488 0343 6467", 2)):
+        numbers = [one.format(1000 + 7 * i) for i in range(12)]
+        text = " ".join(numbers)
+        at, spans = 0, set()
+        for n in numbers:
+            spans.add((at, at + len(n), kind))
+            at += len(n) + 1
+        stretch = pii._STRETCH.search(text)
+        assert (stretch.start(), stretch.end()) == (0, len(text))
+        bounds, segments = pii._lattice(text, *stretch.span())
+        assert spans <= {(bounds[i], bounds[j], k) for i, j, k, _ in segments}
+        assert all(0 <= a < b <= len(text) for a, b, _ in pii.added(text, [], w))

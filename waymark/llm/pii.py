@@ -75,7 +75,7 @@ def base(text: str) -> list[Span]:
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s+|[^0-9A-Za-z\s]")
 LONGEST = 17
 #: A stretch worth reading: an at sign (written out, too) between words, or six digits with little between them.
-_STRETCH = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[(\[]at[)\]])\s?[A-Za-z0-9-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?)[A-Za-z0-9-]+){1,4}|[+(]{0,2}[0-9](?:[().\x20/-]{0,2}[0-9]){6,40}")
+_STRETCH = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[(\[]at[)\]])\s?[A-Za-z0-9-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?)[A-Za-z0-9-]+){1,4}|[+(]{0,2}[0-9](?:[().\x20/-]{0,2}[0-9]){6,}")
 _BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z0-9]{0,3}$")
 #: Words that announce a kind.
 _CUES = {
