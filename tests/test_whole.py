@@ -4,8 +4,23 @@ from waymark import catalog
 
 catalog.load()
 DATA = "/root/testdata/sf0.01"  # more customers than the old limits let in
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_fuzzy_best_match_asks_for_every_customer(spark):
     got = [r.c_custkey for r in catalog.QUERIES["fuzzy_best_match"](spark, DATA).select("c_custkey").collect()]
     assert sorted(got) == sorted(r.c_custkey for r in spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey").collect())
+
+
+def test_components_of_all_edges(spark):
+    edges = [(f"p{r.l_partkey}", f"s{r.l_suppkey}") for r in spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().collect()]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert {r.node: r.component for r in catalog.QUERIES["components_whole"](spark, SMALL).collect()} == {x: find(x) for x in parent}

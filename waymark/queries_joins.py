@@ -362,3 +362,16 @@ def benchmark_semi_gate(t: Tables) -> DataFrame:
     """C5."""
     key = fold(F.lower(F.substring("text", 1, 3))).alias("key")
     return joins.gated(t.benchmark.select("item_id", key), t.documents.select(key), "key").select("item_id", "duplicate")
+
+
+# The whole tables, beside queries whose SQL is over a part of them.
+
+
+def _part_suppliers(t: Tables) -> DataFrame:
+    return t.lineitem.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b"))
+
+
+@query()
+def components_whole(t: Tables) -> DataFrame:
+    """P2 over all edges; a test holds it against union-find."""
+    return graph.components(_part_suppliers(t))
