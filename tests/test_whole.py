@@ -24,3 +24,18 @@ def test_components_of_all_edges(spark):
     for a, b in edges:
         parent[max(find(a), find(b))] = min(find(a), find(b))
     assert {r.node: r.component for r in catalog.QUERIES["components_whole"](spark, SMALL).collect()} == {x: find(x) for x in parent}
+
+
+def test_shortest_paths_of_all_customers(spark):
+    rows = spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey", "c_nationkey").collect()
+    n, to = max(r.c_custkey for r in rows) + 1, {}
+    for r in rows:
+        to[r.c_custkey] = {(r.c_custkey * 7 + r.c_nationkey) % n, (r.c_custkey * 3 + 1) % n}
+    there, want = {r.c_custkey for r in rows}, {}
+    for s in range(3):
+        seen, front = {s: 0}, [s]
+        for d in range(1, 7):
+            front = sorted({y for x in front for y in to.get(x, ()) if y not in seen})
+            seen |= dict.fromkeys(front, d)
+        want |= {(str(s), str(x)): d for x, d in seen.items() if d and x % 10 == 9 and x in there}
+    assert {(r.source, r.target): r.length for r in catalog.QUERIES["shortest_path_whole"](spark, DATA).collect()} == want

@@ -375,3 +375,30 @@ def _part_suppliers(t: Tables) -> DataFrame:
 def components_whole(t: Tables) -> DataFrame:
     """P2 over all edges; a test holds it against union-find."""
     return graph.components(_part_suppliers(t))
+
+
+@query()
+def shortest_path_whole(t: Tables) -> DataFrame:
+    """P3 over all customers' edges, to the default depth; a test holds it against a search by breadth."""
+    k, n = F.col("c_custkey"), t.customer.agg((F.max("c_custkey") + 1).alias("n"))
+    c = t.customer.crossJoin(F.broadcast(n))
+    edges = c.select(k.cast("string").alias("a"), ((k * 7 + F.col("c_nationkey")) % F.col("n")).cast("string").alias("b")).union(c.select(k.cast("string"), ((k * 3 + 1) % F.col("n")).cast("string")))
+    sources = t.spark.range(3).select(F.col("id").cast("string").alias("node"))
+    targets = t.customer.where("c_custkey % 10 = 9").select(k.cast("string").alias("node"))
+    return graph.shortest_paths(edges, sources, targets).withColumn("path", F.array_join("path", ">"))
+
+
+@query(
+    """
+WITH n AS (SELECT 'dir' || (c_custkey % 7) || '/m' || c_custkey || '.py' AS node, c_custkey AS k FROM customer),
+q AS (SELECT node AS a, CASE WHEN k % 2 = 0 THEN 'dir' || ((k + 1) % 7) || '/M' || (k + 1) || '.py' ELSE 'm' || (k * 2) || '.py' END AS ref FROM n)
+SELECT DISTINCT q.a, n.node AS b FROM q JOIN n ON lower(regexp_extract(q.ref, '([^/]+)$', 1)) = lower(regexp_extract(n.node, '([^/]+)$', 1)) WHERE q.a <> n.node
+"""
+)
+def resolved_references_whole(t: Tables) -> DataFrame:
+    """P1 for all customers."""
+    k = F.col("k")
+    name = lambda x, m="m": F.concat(F.lit("dir"), (x % 7).cast("string"), F.lit(f"/{m}"), x.cast("string"), F.lit(".py"))
+    n = t.customer.select(name(F.col("c_custkey")).alias("node"), F.col("c_custkey").alias("k"))
+    ref = F.when(k % 2 == 0, name(k + 1, "M")).otherwise(F.concat(F.lit("m"), (k * 2).cast("string"), F.lit(".py")))
+    return graph.resolved(n.select(F.col("node").alias("a"), ref.alias("ref")), n.select("node"))
