@@ -1,6 +1,7 @@
 """Queries cover whole tables, not a subset of fixed size."""
 
 from waymark import catalog
+from waymark.functions.text import canon_text
 
 catalog.load()
 DATA = "/root/testdata/sf0.01"  # more customers than the old limits let in
@@ -39,3 +40,10 @@ def test_shortest_paths_of_all_customers(spark):
             seen |= dict.fromkeys(front, d)
         want |= {(str(s), str(x)): d for x, d in seen.items() if d and x % 10 == 9 and x in there}
     assert {(r.source, r.target): r.length for r in catalog.QUERIES["shortest_path_whole"](spark, DATA).collect()} == want
+
+
+def test_benchmark_semi_gate_reads_whole_texts(spark):
+    key = lambda t: t.select(canon_text("text")).collect()
+    docs = {r[0] for r in key(spark.read.parquet(f"{SMALL}/documents.parquet"))}
+    want = {r[0]: bool(r[1]) and r[1] in docs for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", canon_text("text")).collect()}
+    assert {r.item_id: r.duplicate for r in catalog.QUERIES["benchmark_semi_gate_whole"](spark, SMALL).collect()} == want

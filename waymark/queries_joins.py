@@ -402,3 +402,9 @@ def resolved_references_whole(t: Tables) -> DataFrame:
     n = t.customer.select(name(F.col("c_custkey")).alias("node"), F.col("c_custkey").alias("k"))
     ref = F.when(k % 2 == 0, name(k + 1, "M")).otherwise(F.concat(F.lit("m"), (k * 2).cast("string"), F.lit(".py")))
     return graph.resolved(n.select(F.col("node").alias("a"), ref.alias("ref")), n.select("node"))
+
+
+@query()
+def benchmark_semi_gate_whole(t: Tables) -> DataFrame:
+    """C5 on the canonical key of the whole text; a test holds it against brute force."""
+    return joins.gated(t.benchmark.select("item_id", canon_text("text").alias("key")), t.documents.select(canon_text("text").alias("key")), "key").select("item_id", "duplicate")
