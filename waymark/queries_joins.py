@@ -408,3 +408,35 @@ def resolved_references_whole(t: Tables) -> DataFrame:
 def benchmark_semi_gate_whole(t: Tables) -> DataFrame:
     """C5 on the canonical key of the whole text; a test holds it against brute force."""
     return joins.gated(t.benchmark.select("item_id", canon_text("text").alias("key")), t.documents.select(canon_text("text").alias("key")), "key").select("item_id", "duplicate")
+
+
+@query(
+    """
+WITH r AS (SELECT * FROM part WHERE p_partkey % 4 = 0),
+q AS (SELECT p_partkey AS id, p_brand, p_type, p_size FROM part WHERE p_partkey % 4 <> 0),
+m AS (
+  SELECT id, 1 AS tier, min(r.p_partkey) AS hit FROM q JOIN r USING (p_brand, p_type, p_size) GROUP BY 1
+  UNION ALL SELECT id, 2, min(r.p_partkey) FROM q JOIN r USING (p_brand, p_type) GROUP BY 1
+  UNION ALL SELECT id, 3, min(r.p_partkey) FROM q JOIN r USING (p_brand) GROUP BY 1)
+SELECT q.id, arg_min(tier, tier) AS tier, arg_min(hit, tier) AS hit FROM q LEFT JOIN m ON q.id = m.id GROUP BY q.id
+"""
+)
+def tiered_lookup_whole(t: Tables) -> DataFrame:
+    """C9, N3, N5, O8 for every part that is not in the reference."""
+    r = t.part.where("p_partkey % 4 = 0").withColumn("hit", F.col("p_partkey"))
+    q = t.part.where("p_partkey % 4 <> 0").withColumnRenamed("p_partkey", "id")
+    keys = (["p_brand", "p_type", "p_size"], ["p_brand", "p_type"], ["p_brand"])
+    return joins.tiered(q, "id", [(r, k) for k in keys], ["hit"], ["p_partkey"]).select("id", "tier", "hit")
+
+
+@query(
+    """
+SELECT p_partkey, CAST(x.nth AS INTEGER) AS nth, CAST(p_size + x.d AS INTEGER) AS probe
+FROM part, (SELECT d, CASE WHEN d < 0 THEN -2 * d - 1 ELSE 2 * d END AS nth FROM range(-5, 6) r(d)) x WHERE p_size + x.d > 0
+"""
+)
+def neighbour_probes_whole(t: Tables) -> DataFrame:
+    """I9, N6 for all parts at the default reach."""
+    d = t.part.select("p_partkey", F.col("p_size").alias("num"), F.explode(neighbours("p_size")).alias("probe"))
+    away = F.col("probe") - F.col("num")
+    return d.select("p_partkey", F.when(away < 0, -2 * away - 1).otherwise(2 * away).cast("int").alias("nth"), "probe")
