@@ -347,7 +347,7 @@ def _fingerprint(t):
 
 
 def test_simhash(docs, texts):
-    assert [simhash.fingerprint(t) for t in texts] == [[_fingerprint(t)] for t in texts]
+    assert [simhash.fingerprint(t) for t in texts] == [_fingerprint(t) for t in texts]
     rng, base = random.Random(0), random.Random(9).getrandbits(64)
     near = {base}
     while len(near) < 700:
@@ -355,7 +355,7 @@ def test_simhash(docs, texts):
     far = {rng.getrandbits(64) for _ in range(500)}
     fps = np.array(sorted(near | far), np.uint64)
     d = docs.sparkSession.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    for block in (4096, 64):
+    for block in (8192, 64, 1):  # 64 and 1: longer lists go by the words between
         root = {r.node: r.root for r in components.components(simhash.links(d, block=block)).collect()}
         parent = {int(x): int(x) for x in fps.view(np.int64)}
 
@@ -389,7 +389,6 @@ def test_representatives_of_near_copies(spark):
             rows.append(" ".join(c))
     kept = {r.doc_id for r in simhash.representatives(made(spark, rows, 100)).collect()}
     assert {r - 100 for r in kept if r is not None} >= set(range(40)) - {3} and len(kept) <= 40 + 6  # the null id's row counts as last
-    assert simhash.bits_at(1.0) == 0 and 28 < simhash.bits_at(0.8) < 36
 
 
 def _shingles(t):
@@ -446,10 +445,33 @@ def test_links_are_the_pairs_at_the_similarity(spark):
     assert kept == {find(i) for i in range(len(texts))}
 
 
+def test_long_lists_link_as_short_ones(spark):
+    """A dense group: the words between give the same groups as the index."""
+    rng = random.Random(5)
+    near = [rng.getrandbits(64)]
+    for _ in range(400):
+        near.append(rng.choice(near) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))))
+    fps = np.array(sorted(set(near)), np.uint64)
+    d = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    groups = []
+    for radius_two in (True, False):
+        e = simhash._between(d, 2) if radius_two else spark.createDataFrame([(int(x), int(y)) for x, y in zip(*(v.view(np.int64) for v in simhash.forest(fps, 4)), strict=True)], "a long, b long")
+        groups.append({r.node: r.root for r in components.components(e).collect()})
+    assert groups[0] == groups[1] and len(groups[0]) > 100
+    pairs = {(i, j) for i in range(len(fps)) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 4}
+    index = simhash.Index(fps)
+    assert pairs <= {(i, j) for i in range(len(fps)) for j in index.sharing(i, 4).tolist() if j < i}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (7, 7), (901, 900)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
     assert all(got[i] == 0 for i in range(201)) and got[901] == 900 and 7 in got
+    components.PER_TASK, whole = 16, components.PER_TASK  # several tasks, none of which sees a whole chain
+    try:
+        assert {r.node: r.root for r in components.components(edges.repartition(5)).collect()} == got
+    finally:
+        components.PER_TASK = whole
     assert components.components(edges.where("false")).count() == 0
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Used only where spark.checkpoint.dir is unset and Spark runs in one process.
 LOCAL_FOLDER = "file:///tmp/checkpoints/waymark"
@@ -32,6 +32,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str, **wanted: Column) -> tuple[DataFrame, dict]:
+    """As :func:`stored`, with aggregates of the table that are taken as it is written, not by another pass."""
+    seen = Observation()
+    table = stored(df.observe(seen, *[c.alias(k) for k, c in wanted.items()]), name)
+    return table, seen.get
+
+
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Delete tables, all that were written so far or those of ``paths``; call it once the results made from them are written."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -4,15 +4,15 @@ A fingerprint's eight bytes are eight features (position, byte). Two fingerprint
 bits agree in at least four of the eight. The index lists fingerprints under *triples* of positional bytes:
 twenty triples, chosen so that any four positions contain one of them (:func:`_triples`), so each pair in
 question shares a list, and lists stay 2 ** 24 times shorter than the table of fingerprints rather than 2 ** 8.
-In a list, pairs are tallied by the positional bytes that they share; those that reach
-the guaranteed four are verified bit by bit.
+A list is indexed by each single positional byte, pairs are tallied over that index by the bytes that they share,
+and those that reach the guaranteed four are verified bit by bit.
 
-Only distinct fingerprints are indexed. A list that is too long for one task is cut into blocks by a hash, and
-each two blocks meet in a task of their own. A task returns a forest for its part of a list (each linked
-fingerprint with the smallest of its group), not all pairs; what is linked stays linked through it.
+Only distinct fingerprints are indexed. A task returns a forest for a list (each linked fingerprint with the smallest of
+its group), not all pairs; what is linked stays linked through it. Lists too long for a task need no pairs
+either (:func:`links`).
 
 For a similarity of shingle sets rather than a number of bits (:func:`representatives`), see :mod:`waymark.llm.shingles`: no
-fingerprint decides there.
+fingerprint decides there, as no number of its bits goes with a similarity for sure.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any others; fewer than
 four words make one shingle of all words; a null ``doc_id`` keeps its row, and groups of only such rows have a
@@ -21,14 +21,13 @@ null component; repeated rows are all returned; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,184 +54,155 @@ def _triples() -> list[tuple[int, int, int]]:
 TRIPLES = _triples()
 
 
-def _spread(positions: int, n: int) -> list[tuple[int, int, int]]:
-    """``n`` triples of positions, each position equally often: steps (1, s) round the ring, for s from 2 on."""
-    out = []
-    for s in range(2, positions):
-        out += [tuple(sorted((p, (p + s) % positions, (p + 2 * s + 1) % positions))) for p in range(positions)]
-    return list(dict.fromkeys(t for t in out if len(set(t)) == 3))[:n]
-
-
-#: Words of a wide fingerprint, and its lists.
-WIDE, WIDE_TRIPLES = 3, _spread(24, 80)
-
-
-def bits_at(similarity: float, words: int = WIDE, spread: float = 0.6) -> int:
-    """Bits in which fingerprints of sets of this similarity differ on average, and ``spread`` standard deviations more, so that
-    most pairs of just this similarity are within."""
-    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return math.floor(64 * words * share + spread * math.sqrt(64 * words * share * (1 - share)))
-
-
-def fingerprint(text: str | None, width: int = 4, words: int = 1) -> list[int]:
-    """The SimHash of a text's shingles of ``width`` words, in ``words`` words of 64 bits.
-
-    The first word is of XXH64 with the seed; each further one of that hash multiplied and shifted by fixed values.
-    """
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """The SimHash of a text's shingles of ``width`` words."""
     found = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not found:
-        return [0] * words
+        return 0
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n, digest = max(1, len(found) - width + 1), xxhash.xxh64_digest
     last = ends[width - 1 :] if len(found) >= width else ends[-1:]
-    hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)]), ">u8").astype(np.uint64)
-    out = []
-    for k in range(words):
-        if k:
-            hashes = hashes * np.uint64(0x9E3779B97F4A7C15)
-            hashes ^= hashes >> np.uint64(29)
-            hashes *= np.uint64(0xBF58476D1CE4E5B9)
-            hashes ^= hashes >> np.uint64(32)
-        rows = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
-        set_in = np.zeros(64, np.int64)
-        for i in range(0, len(rows), 4096):
-            set_in += np.unpackbits(rows[i : i + 4096], axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * set_in > len(rows)).tobytes(), "big"))
-    return out
+    hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)]), np.uint8).reshape(-1, 8)
+    set_in = np.zeros(64, np.int64)
+    for i in range(0, n, 4096):
+        set_in += np.unpackbits(hashes[i : i + 4096], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * set_in > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 4, words: int = 1) -> DataFrame:
-    """The columns of ``docs`` but its text, and the fingerprint as signed longs (``fp``; ``fp_1``… for further words), for every row."""
+def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
+    """The columns of ``docs`` but its text, and the fingerprint as a signed long (``fp``), for every row."""
     kept = [f for f in docs.schema.fields if f.name != "text"]
-    names = _words(words)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py(), width, words) for x in batch.column("text")], np.uint64).reshape(-1, words).view(np.int64)
-            columns = [pa.array(np.ascontiguousarray(found[:, k])) for k in range(words)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *columns], names=[*(f.name for f in kept), *names])
+            found = np.array([fingerprint(x.as_py(), width) for x in batch.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(found)], names=[*(f.name for f in kept), "fp"])
 
-    schema = T.StructType([*kept, *(T.StructField(n, T.LongType()) for n in names)])
+    schema = T.StructType([*kept, T.StructField("fp", T.LongType())])
     return docs.select(*(f.name for f in kept), F.col("text").cast("string")).mapInArrow(work, schema)
 
 
-def _words(words: int) -> list[str]:
-    return ["fp", *(f"fp_{k}" for k in range(1, words))]
+def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b)
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positional bytes that rows share, and bits in which they differ."""
-    x = np.ascontiguousarray(a ^ b)
-    return (x.view(np.uint8).reshape(len(x), -1) == 0).sum(axis=1), np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+class Index:
+    """Fingerprints by positional byte: for each of eight positions, the places that hold each value of the byte."""
 
+    def __init__(self, fps: np.ndarray) -> None:
+        self.fps, self.bytes = fps, fps.view(np.uint8).reshape(-1, 8)
+        self.places = [np.argsort(column, kind="stable") for column in self.bytes.T]
+        self.bounds = [np.searchsorted(column[at], np.arange(257)) for column, at in zip(self.bytes.T, self.places, strict=True)]
 
-def _shared_at_least(most_bits: int, words: int) -> int:
-    return max(0, 8 * words - most_bits)
+    def sharing(self, place: int, least: int) -> np.ndarray:
+        """Places that share ``least`` or more positional bytes with ``place``, by a tally of its eight lists."""
+        tally = np.zeros(len(self.fps), np.uint8)
+        for value, places, bounds in zip(self.bytes[place].tolist(), self.places, self.bounds, strict=True):
+            tally[places[bounds[value] : bounds[value + 1]]] += 1
+        return np.flatnonzero(tally >= least)
 
 
-def _links(ids: np.ndarray, fps: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest over a part of a list: (fingerprint's id, smallest id in its group), linked ones only.
+def forest(fps: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, smallest of its group) for the groups of a list; what a group has reached is verified no more.
 
-    Grows one group after another: the frontier is held against what no group has reached yet, so what is
-    reached once is never compared again.
+    Candidates are those that a tally over the index gives the guaranteed minimum of shared bytes.
     """
-    order = np.argsort(ids, kind="stable")
-    ids, left = ids[order], fps[order]
-    least = _shared_at_least(most_bits, fps.shape[1])
-    a, b = [], []
-    while len(left) > 1:
-        root, frontier, group = ids[0], left[:1], []
-        ids, left = ids[1:], left[1:]
-        while len(frontier) and len(left):
-            hit = np.zeros(len(left), bool)
-            for f in frontier:
-                rest = np.flatnonzero(~hit)
-                if not len(rest):
-                    break
-                shared, bits = _apart(left[rest], f[None])
-                hit[rest[(shared >= least) & (bits <= most_bits)]] = True
-            group.append(ids[hit])
-            frontier, ids, left = left[hit], ids[~hit], left[~hit]
-        reached = np.concatenate(group) if group else ids[:0]
-        if len(reached):
-            a.append(reached)
-            b.append(np.full(len(reached), root))
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
-
-
-def _pairs_of_short(ids: np.ndarray, fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The verified pairs of all short lists, those of one size at once."""
+    fps = fps[np.argsort(fps.view(np.int64), kind="stable")]
+    index, reached = Index(fps), np.zeros(len(fps), bool)
     a, b = [], []
-    least = _shared_at_least(most_bits, fps.shape[1])
+    for root in range(len(fps)):
+        if reached[root]:
+            continue
+        reached[root] = True
+        frontier = [root]
+        while frontier:
+            place = frontier.pop()
+            near = index.sharing(place, 8 - most_bits)
+            near = near[~reached[near]]
+            near = near[_bits(fps[near], fps[place]) <= most_bits]
+            reached[near] = True
+            frontier += near.tolist()
+            a.append(fps[near])
+            b.append(np.full(len(near), fps[root]))
+    return np.concatenate(a or [fps[:0]]), np.concatenate(b or [fps[:0]])
+
+
+def _pairs_of_short(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The verified pairs of all short lists, those of one size at once; bits are counted for those with the minimum of shared bytes."""
+    a, b = [fps[:0]], [fps[:0]]
+    held = fps.view(np.uint8).reshape(-1, 8)
     for n in np.unique(sizes):
         at = starts[sizes == n]
         for i, j in combinations(range(n), 2):
-            shared, bits = _apart(fps[at + i], fps[at + j])
-            near = (shared >= least) & (bits <= most_bits)
-            a.append(ids[at[near] + i])
-            b.append(ids[at[near] + j])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
-
-
-def links(distinct: DataFrame, most_bits: int = 4, block: int = 4096, words: int = 1) -> DataFrame:
-    """Edges ``a``, ``b`` between ids that connect all fingerprints linked at ``most_bits`` or fewer bits.
-
-    ``distinct`` has distinct fingerprints; the id is the fingerprint itself, or a hash of its words if it has several.
+            x, y = at + i, at + j
+            tally = (held[x] == held[y]).sum(axis=1)
+            x, y = x[tally >= 8 - most_bits], y[tally >= 8 - most_bits]
+            near = _bits(fps[x], fps[y]) <= most_bits
+            a.append(fps[x[near]])
+            b.append(fps[y[near]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def links(distinct: DataFrame, most_bits: int = 4, block: int = 8192) -> DataFrame:
+    """Edges ``a``, ``b`` that connect all fingerprints (``fp``, each once) linked at ``most_bits`` or fewer bits.
+
+    Lists of up to ``block`` fingerprints are read by the task that holds them. Those of longer lists are linked through what lies
+    between: two fingerprints are linked at four bits just if some 64-bit word is within two bits of both, so each names the
+    2,081 words within two bits of it, and those that name a word are linked, which needs no pairs; a word is named
+    by 2,081 distinct fingerprints at most.
     """
-    if words == 1 and most_bits > 4:
-        raise ValueError("the index guarantees a common list up to four bits")
-    names = _words(words)
-    triples = TRIPLES if words == 1 else WIDE_TRIPLES
-    byte = [F.shiftrightunsigned(n, 56 - 8 * p).bitwiseAND(F.lit(255)) for n in names for p in range(8)]
-    key = [F.lit(k << 24).cast("long") + byte[x] * 65536 + byte[y] * 256 + byte[z] for k, (x, y, z) in enumerate(triples)]
-    ided = distinct.select(_id(words).alias("id"), *names)
-    posted = ided.select("id", *names, F.explode(F.array(*key)).alias("key"))
-    counts = scratch.stored(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
-    # Lists of one fingerprint leave here; long lists are dealt out by pairs of blocks.
-    listed = posted.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    listed = listed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = listed.select("id", *names, F.explode(F.transform(other, lambda o: F.xxhash64("key", F.least("own", o), F.greatest("own", o)))).alias("part"))
+    if most_bits not in (0, 2, 4):
+        raise ValueError("the index guarantees a common list up to four bits, and long lists are halved evenly")
+    byte = [F.shiftrightunsigned("fp", 56 - 8 * p).bitwiseAND(F.lit(255)) for p in range(8)]
+    key = [F.lit(k << 24).cast("long") + byte[x] * 65536 + byte[y] * 256 + byte[z] for k, (x, y, z) in enumerate(TRIPLES)]
+    posted = distinct.select("fp", F.explode(F.array(*key)).alias("key"))
+    counts, about = scratch.measured(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists", longest=F.max("n"))
+    listed = posted.join(counts, "key")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
 
-        def handled(parts: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
-            sizes = np.diff(np.concatenate([starts, [len(parts)]]))
+        def handled(key: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.concatenate([starts, [len(key)]]))
             short = (sizes > 1) & (sizes <= 8)
-            found = [_pairs_of_short(ids, fps, starts[short], sizes[short], most_bits)]
-            found += [_links(ids[s : s + n], fps[s : s + n], most_bits) for s, n in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True)]
-            pairs = set(zip(*(np.concatenate(x).tolist() for x in zip(*found, strict=True)), strict=True)) - seen
+            found = [_pairs_of_short(fps, starts[short], sizes[short], most_bits)]
+            found += [forest(fps[s : s + n], most_bits) for s, n in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True)]
+            pairs = set(zip(*(np.concatenate(x).view(np.int64).tolist() for x in zip(*found, strict=True)), strict=True)) - seen
             seen.update(pairs)  # within one task: a pair that several lists hold leaves it once
             if len(seen) > 200_000:
                 seen.clear()
             rows = list(pairs)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        part, ids, fps = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, words), np.uint64)
+        key, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for batch in batches:
-            part = np.concatenate([part, batch.column("part").to_numpy()])
-            ids = np.concatenate([ids, batch.column("id").to_numpy()])
-            fps = np.concatenate([fps, np.stack([batch.column(n).to_numpy() for n in names], axis=1).view(np.uint64)])
-            if not len(part):
+            key = np.concatenate([key, batch.column("key").to_numpy()])
+            fps = np.concatenate([fps, batch.column("fp").to_numpy().view(np.uint64)])
+            if not len(key):
                 continue
-            cut = int(np.searchsorted(part, part[-1]))  # the last part may go on in the next batch
+            cut = int(np.searchsorted(key, key[-1]))  # the last list may go on in the next batch
             if cut:
-                yield handled(part[:cut], ids[:cut], fps[:cut])
-                part, ids, fps = part[cut:], ids[cut:], fps[cut:]
-        if len(part):
-            yield handled(part, ids, fps)
+                yield handled(key[:cut], fps[:cut])
+                key, fps = key[cut:], fps[cut:]
+        if len(key):
+            yield handled(key, fps)
 
-    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(work, "a long, b long")
+    found = listed.where(F.col("n") <= block).select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(work, "a long, b long")
+    if (about["longest"] or 0) > block:
+        found = found.unionByName(_between(listed.where(F.col("n") > block).select("fp").distinct(), most_bits // 2))
+    return found
 
 
-def _id(words: int) -> Column:
-    return F.col("fp") if words == 1 else F.xxhash64(*_words(words))
+def _between(fps: DataFrame, radius: int) -> DataFrame:
+    """Edges between fingerprints that are within ``radius`` (at most two) bits of one word."""
+    second = "transform(sequence(i + 1, 64), j -> shiftleft(1L, i) ^ if(j < 64, shiftleft(1L, j), 0L))"
+    flips = ("array(0L)", "concat(array(0L), transform(sequence(0, 63), i -> shiftleft(1L, i)))", f"concat(array(0L), flatten(transform(sequence(0, 63), i -> {second})))")[radius]
+    named = fps.select("fp", F.explode(F.expr(f"transform({flips}, x -> x ^ fp)")).alias("word"))
+    held = named.groupBy("word").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    return held.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b").distinct()
 
 
 def representatives(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
@@ -251,15 +221,10 @@ def representatives(docs: DataFrame, similarity: float = 0.8, width: int = 5) ->
 
 def near_duplicates(docs: DataFrame, most_bits: int = 4, width: int = 4) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``, the smallest ``doc_id`` reachable over links, for every row."""
-    found = _grouped(docs.select("doc_id", "text"), most_bits, width, 1)
-    least = scratch.stored(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
-    return found.join(least, "component").select("doc_id", "fp", "component_id")
-
-
-def _grouped(docs: DataFrame, most_bits: int, width: int, words: int) -> DataFrame:
-    """The columns of ``docs`` but its text, with its fingerprint and ``component``, the smallest id reachable."""
-    marked = scratch.stored(fingerprints(docs, width, words), "fingerprints").withColumn("_id", _id(words))
-    distinct = scratch.stored(marked.select(*_words(words)).distinct(), "distinct")
-    linked = components(links(distinct, most_bits, words=words))
-    linked = scratch.stored(linked.selectExpr("node as _id", "root as component"), "linked")
-    return marked.join(linked, "_id", "left").withColumn("component", F.coalesce("component", "_id")).drop("_id")
+    marked = scratch.stored(fingerprints(docs.select("doc_id", "text"), width), "fingerprints")
+    distinct = scratch.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    linked = components(links(distinct.select("fp"), most_bits)).withColumnRenamed("node", "fp")
+    held = linked.join(distinct, "fp")
+    least = held.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = distinct.join(linked.join(least, "root").select("fp", "component_id"), "fp", "left")
+    return marked.join(named.select("fp", F.coalesce("component_id", "least").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
