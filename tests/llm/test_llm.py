@@ -304,6 +304,25 @@ def test_quality_counts_and_verdicts(spark, docs, texts):
         assert r.base_failed == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and not (r.base_failed and r.kept)
 
 
+def _estimated(rows, rounds, b=quality_rules.Belief()):
+    """Expectation-maximisation as a plain loop, and the posterior it ends with."""
+    total, k_all = sum(rows.values()), range(len(next(iter(rows))))
+    weight = total * b.weight + 1
+    prior, good, bad = b.good, [b.alarm_good for _ in k_all], [b.alarm_bad for _ in k_all]
+
+    def post(v):
+        odds = np.log(prior / (1 - prior)) + sum(np.log(good[k] / bad[k]) if x == -1 else np.log((1 - good[k]) / (1 - bad[k])) if x == 1 else 0 for k, x in enumerate(v))
+        return 1 / (1 + np.exp(-odds))
+
+    for _ in range(rounds):
+        p = {v: post(v) for v in rows}
+        prior = (sum(n * p[v] for v, n in rows.items()) + weight * b.good) / (total + weight)
+        share = lambda f, k, believed, w: (sum(n * f(p[v]) for v, n in rows.items() if v[k] == -1) + w * believed) / (sum(n * f(p[v]) for v, n in rows.items() if v[k]) + w)  # noqa: B023, E731
+        good = [share(lambda g: g, k, b.alarm_good, weight) for k in k_all]
+        bad = [share(lambda g: 1 - g, k, b.alarm_bad, weight * (1 - b.good)) for k in k_all]
+    return prior, good, bad, post
+
+
 def test_quality_estimation(spark):
     """The nested expression gives what a plain loop gives."""
     rng = random.Random(0)
@@ -313,16 +332,37 @@ def test_quality_estimation(spark):
         rows[tuple(0 if rng.random() < 0.2 else (1 if rng.random() > (0.001 if good else p) else -1) for p in (0.6, 0.3, 0.5))] += 1
     d = spark.createDataFrame([(list(k), n) for k, n in rows.items()], "votes array<int>, n long")
     got = quality_rules.estimated(d, 3, 8).first()
-    prior, a, b = 0.8, [0.002] * 3, [0.2] * 3
-    for _ in range(8):
-        post = {}
-        for v in rows:
-            odds = np.log(prior / (1 - prior)) + sum(np.log(a[k] / b[k]) if x == -1 else np.log((1 - a[k]) / (1 - b[k])) if x == 1 else 0 for k, x in enumerate(v))
-            post[v] = 1 / (1 + np.exp(-odds))
-        prior = min(max((sum(n * post[v] for v, n in rows.items()) + 1) / (sum(rows.values()) + 2), 0.02), 0.98)
-        share = lambda f, k: (sum(n * f(post[v]) for v, n in rows.items() if v[k] == -1) + 1) / (sum(n * f(post[v]) for v, n in rows.items() if v[k]) + 2)  # noqa: B023, E731
-        a, b = [min(max(share(lambda g: g, k), 0.0001), 0.002) for k in range(3)], [min(max(share(lambda g: 1 - g, k), 0.02), 0.98) for k in range(3)]
-    assert np.allclose([got.prior, *got.alarm_good, *got.alarm_bad], [prior, *a, *b])
+    prior, good, bad, _ = _estimated(rows, 8)
+    assert np.allclose([got.prior, *got.alarm_good, *got.alarm_bad], [prior, *good, *bad])
+    none = quality_rules.estimated(d.where("false"), 3, 8).first()
+    assert np.allclose([none.prior, *none.alarm_good, *none.alarm_bad], [0.85, 0.01, 0.01, 0.01, 0.15, 0.15, 0.15])
+
+
+def test_a_wrong_rule_is_outvoted(spark):
+    """A rule that says bad of a third of all documents, whatever they are, loses its say; the others keep theirs."""
+    rng = random.Random(1)
+    rows, truth = Counter(), {}
+    for _ in range(6000):
+        good = rng.random() < 0.85
+        v = tuple(1 if rng.random() > (0.005 if good else 0.6) else -1 for _ in range(4)) + (-1 if rng.random() < 0.33 else 1,)
+        rows[v] += 1
+        truth.setdefault(v, Counter())[good] += 1
+    d = spark.createDataFrame([(list(k), n) for k, n in rows.items()], "votes array<int>, n long")
+    state = quality_rules.estimated(d, 5).first()
+    assert state.alarm_good[4] > 0.25 and all(x < 0.02 for x in state.alarm_good[:4]) and all(x > 0.4 for x in state.alarm_bad[:4])
+    post = {tuple(r.votes): r.p for r in d.select("votes", quality_rules.posterior(F.col("votes"), F.struct(*[F.lit(state[x]).alias(x) for x in ("prior", "alarm_good", "alarm_bad")])).alias("p")).collect()}
+    assert post[(1, 1, 1, 1, -1)] > 0.9  # its lone vote is outvoted
+    assert post[(-1, -1, 1, 1, 1)] < 0.1  # two of the others decide
+    right = sum(n for v in truth for good, n in truth[v].items() if (post[v] >= 0.5) == good)
+    assert right / 6000 > 0.97
+
+
+def test_lone_bad_votes_fall_on_both_sides(spark):
+    """Over the driver's documents, a bad vote alone decides for some rules and is outvoted for others."""
+    judged = quality_rules.judge(spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text"))
+    lone = judged.where(F.size(F.filter("votes", lambda v: v == -1)) == 1)
+    sides = {r.good: r.n for r in lone.groupBy((F.col("p_good") >= 0.5).alias("good")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sides[True] > 0 and sides[False] > 0
 
 
 def test_quality_net(spark):

@@ -45,9 +45,10 @@ def _share(count: str, of: str = "n_words") -> Column:
 
 RULES = (
     Rule("symbols", lambda: _share("n_symbols") <= 0.01, lambda: _share("n_symbols") > 0.1),
-    Rule("repeats", lambda: _share("n_repeat_words") < 0.2, lambda: _share("n_repeat_words") > 0.5),
+    Rule("dense_symbols", lambda: _share("n_symbols", "word_chars") <= 0.005, lambda: _share("n_symbols", "word_chars") > 0.04),
+    Rule("repeats", lambda: _share("n_repeat_words") < 0.15, lambda: _share("n_repeat_words") > 0.3),
     Rule("lines", lambda: (F.col("n_lines") > 2) & (_share("n_dup_lines", "n_lines") <= 0.1), lambda: (F.col("n_dup_lines") >= 3) & (_share("n_dup_lines", "n_lines") > 0.3)),
-    Rule("word_length", lambda: _share("word_chars").between(3.5, 7.5), lambda: ~_share("word_chars").between(2.5, 12)),
+    Rule("word_length", lambda: (F.col("n_words") >= 20) & _share("word_chars").between(4.4, 6.6), lambda: (F.col("n_words") >= 20) & ~_share("word_chars").between(4.2, 7)),
     Rule("capitals", lambda: _share("n_capitals", "word_chars") < 0.15, lambda: _share("n_capitals", "word_chars") > 0.4),
     Rule("length", lambda: F.col("n_words") >= 80, lambda: F.col("n_words") < 20),
     Rule("sentences", lambda: _share("n_stops").between(0.02, 0.35), lambda: _share("n_stops") < 0.004),
@@ -106,35 +107,47 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def estimated(patterns: DataFrame, rules: int, rounds: int = 25, false_alarms: float = 0.002) -> DataFrame:
+@dataclass(frozen=True)
+class Belief:
+    """What is held before any document is seen, as if it came from ``weight`` times the documents (one more, at least).
+
+    It tells the classes apart, as votes alone don't say which one is good: most documents are, and few of those raise
+    an alarm. Rules that contradict it move away from it.
+    """
+
+    good: float = 0.85
+    alarm_good: float = 0.01
+    alarm_bad: float = 0.15
+    weight: float = 0.05
+
+
+def estimated(patterns: DataFrame, rules: int, rounds: int = 25, belief: Belief = Belief()) -> DataFrame:
     """One row with ``prior``, ``alarm_good`` and ``alarm_bad`` (arrays, by rule) from rows of ``votes`` and ``n``.
 
     ``alarm_good`` is the share of a rule's votes on good documents that say bad, ``alarm_bad`` that share on
-    bad documents; abstentions are no evidence. Rules are written to raise few false alarms, so the first is
-    held below ``false_alarms``: without that bound two classes would rather tell kinds of junk apart. One
-    good and one bad document are added to every count, which defines the result of an empty table.
+    bad documents; abstentions are no evidence. An empty table gives the belief.
     """
     held = F.collect_list(F.struct(F.col("votes"), F.col("n").cast("double").alias("n")))
-    one = patterns.agg(held.alias("held"))
+    one = patterns.agg(held.alias("held"), (F.coalesce(F.sum("n"), F.lit(0)) * belief.weight + 1).alias("weight"))
     summed = lambda items, f: F.aggregate(items, F.lit(0.0), lambda a, x: a + f(x))
-    between = lambda x, least, most: F.least(F.greatest(x, F.lit(least)), F.lit(most))
-    begin = F.struct(F.lit(0.8).alias("prior"), F.array_repeat(F.lit(false_alarms), rules).alias("alarm_good"), F.array_repeat(F.lit(0.2), rules).alias("alarm_bad"))
+    begin = F.struct(F.lit(belief.good).alias("prior"), F.array_repeat(F.lit(belief.alarm_good), rules).alias("alarm_good"), F.array_repeat(F.lit(belief.alarm_bad), rules).alias("alarm_bad"))
 
     def step(state: Column) -> Column:
         rows = F.transform(F.col("held"), lambda p: F.struct(p["votes"].alias("votes"), p["n"].alias("n"), posterior(p["votes"], state).alias("good")))
 
         def again(rows: Column) -> Column:
-            prior = (summed(rows, lambda r: r["n"] * r["good"]) + 1) / (summed(rows, lambda r: r["n"]) + 2)
+            worth = F.col("weight")
+            prior = (summed(rows, lambda r: r["n"] * r["good"]) + worth * belief.good) / (summed(rows, lambda r: r["n"]) + worth)
 
-            def share(weight, k: Column) -> Column:
-                said = lambda wanted: summed(rows, lambda r: F.when(wanted(F.get(r["votes"], k)), r["n"] * weight(r["good"])).otherwise(0.0))
-                return (said(lambda v: v == -1) + 1) / (said(lambda v: v != 0) + 2)
+            def share(part, believed: float, worth: Column, k: Column) -> Column:
+                said = lambda wanted: summed(rows, lambda r: F.when(wanted(F.get(r["votes"], k)), r["n"] * part(r["good"])).otherwise(0.0))
+                return (said(lambda v: v == -1) + worth * believed) / (said(lambda v: v != 0) + worth)
 
             each = lambda f: F.transform(F.sequence(F.lit(0), F.lit(rules - 1)), f)
             return F.struct(
-                between(prior, 0.02, 0.98).alias("prior"),
-                each(lambda k: between(share(lambda g: g, k), false_alarms / 20, false_alarms)).alias("alarm_good"),
-                each(lambda k: between(share(lambda g: 1 - g, k), 0.02, 0.98)).alias("alarm_bad"),
+                prior.alias("prior"),
+                each(lambda k: share(lambda g: g, belief.alarm_good, worth, k)).alias("alarm_good"),
+                each(lambda k: share(lambda g: 1 - g, belief.alarm_bad, worth * (1 - belief.good), k)).alias("alarm_bad"),
             )
 
         return F.get(F.transform(F.array(rows), again), F.lit(0))
