@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from waymark.llm import scratch
 
 SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+#: Signs that are counted, by the name of their count.
+SIGNS = {"n_symbols": "[#*$%&|<>]", "n_capitals": "[A-Z]", "n_stops": "[.,;:?]", "n_shouts": "!"}
 
 
 @dataclass(frozen=True)
@@ -60,34 +61,30 @@ def measured(docs: DataFrame, text: str = "text", with_text: bool = False) -> Da
     """``docs``, without ``text`` unless ``with_text``, and with the counts that the rules use.
 
     ``n_repeat_words`` counts the words inside three-word windows that the text has twice or more. Windows
-    are compared by 64-bit hashes within one text: sorted, equal neighbours are the repeated ones. Texts
-    with few repeated windows look their positions up in that short list, the others sort positions along.
+    are compared by 64-bit hashes of their words' within one text. Where they aren't all distinct they are sorted: equal
+    neighbours are the repeated ones. Texts with few repeated windows look their positions up in that short list,
+    the others sort positions along.
     """
     body = "_q_text"
     keep = [c for c in docs.columns if with_text or c != text]
     d = docs.withColumn(body, F.coalesce(F.col(text), F.lit("")))
     d = d.withColumn("_q_words", F.filter(F.split(body, SPACE), lambda w: w != ""))
     d = d.withColumn("_q_lines", F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    chars = F.length(body)
-    left = lambda drop: (chars - F.length(F.translate(F.col(body), drop, ""))).cast("long")
     d = d.select(
         *keep,
-        "_q_words",
+        F.transform("_q_words", lambda w: F.xxhash64(w)).alias("_q_words"),
         F.size("_q_words").cast("long").alias("n_words"),
-        left(" \t\n\x0b\f\r").alias("_q_space"),
-        chars.cast("long").alias("_q_chars"),
-        left(SYMBOLS).alias("n_symbols"),
-        left("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_capitals"),
-        left(".,;:?").alias("n_stops"),
-        left("!").alias("n_shouts"),
+        F.length(F.array_join("_q_words", "")).cast("long").alias("word_chars"),
+        *[F.regexp_count(body, F.lit(signs)).cast("long").alias(name) for name, signs in SIGNS.items()],
         F.size("_q_lines").cast("long").alias("n_lines"),
         (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("n_dup_lines"),
-    ).withColumn("word_chars", F.col("_q_chars") - F.col("_q_space"))
+    )
     w = F.col("_q_words")
-    window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    window = lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))
     none = F.array().cast("array<bigint>")
-    d = d.withColumn("_q_win", F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), window)).otherwise(none))
-    d = d.drop("_q_words", "_q_space", "_q_chars").withColumn("_q_sorted", F.sort_array("_q_win"))
+    d = d.withColumn("_q_win", F.when(F.col("n_words") >= 3, F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), window)).otherwise(none))
+    lone = F.size(F.array_distinct("_q_win")) == F.size("_q_win")
+    d = d.drop("_q_words").withColumn("_q_sorted", F.when(lone, none).otherwise(F.sort_array("_q_win")))
     s = F.col("_q_sorted")
     d = d.withColumn("_q_twice", F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1)))))
     twice, win = F.col("_q_twice"), F.col("_q_win")
