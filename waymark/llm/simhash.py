@@ -227,4 +227,6 @@ def near_duplicates(docs: DataFrame, most_bits: int = 4, width: int = 4) -> Data
     held = linked.join(distinct, "fp")
     least = held.groupBy("root").agg(F.min("least").alias("component_id"))
     named = distinct.join(linked.join(least, "root").select("fp", "component_id"), "fp", "left")
-    return marked.join(named.select("fp", F.coalesce("component_id", "least").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
+    # A table of its own: rows that share a fingerprint by the thousands then meet it in a join that can be split.
+    named = scratch.stored(named.select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
