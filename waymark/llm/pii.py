@@ -2,9 +2,11 @@
 
 The base finds emails, IP addresses, payment cards and phone numbers by their patterns, on whole texts, in time that
 grows with the length of the text. The field then looks at the stretches that hold digits or an at sign: every run
-of up to ``LONGEST`` tokens there whose shape fits a kind is a candidate segment. Features of the whole segment (groups,
-separators, digits, Luhn, word before) give it a score; a dynamic program over the tokens picks the segments, their
-boundaries and kinds together, against leaving tokens out. Segments that overlap no base span are added.
+of tokens there whose shape fits a kind is a candidate segment, within the bounds of an entity: ``LONGEST`` tokens,
+``MOST_GROUPS`` groups of digits, the digits of its kind. Features of the whole segment (groups, separators, digits,
+Luhn, word before) give it a score; a dynamic program over the tokens picks the segments, their boundaries and kinds
+together, against leaving tokens out. Segments that overlap no base span are added. All of this takes time in
+proportion to the text, however long its words, numbers and lists of numbers.
 
 The field's weights are learned by maximum likelihood, with exact gradients from the forward-backward recursion, on
 lines made from a seed: numbers and addresses written in many ways, among dates, prices, versions and codes.
@@ -19,6 +21,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -73,9 +76,13 @@ def base(text: str) -> list[Span]:
 # The field.
 
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s+|[^0-9A-Za-z\s]")
-LONGEST = 17
-#: A stretch worth reading: an at sign (written out, too) between words, or six digits with little between them.
-_STRETCH = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[(\[]at[)\]])\s?[A-Za-z0-9-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?)[A-Za-z0-9-]+){1,4}|[+(]{0,2}[0-9](?:[().\x20/-]{0,2}[0-9]){6,}")
+#: Bounds of an entity: tokens in all, and groups of digits of a number.
+LONGEST, MOST_GROUPS = 32, 6
+_AT = re.compile(r"\s?(?:@|[(\[]at[)\]])\s?")
+_DOT = r"(?:\.|\s?[(\[]dot[)\]]\s?)"
+_WRITTEN_DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
+#: Seven digits with little between them, or four short groups with dots between them.
+_NUMBERS = re.compile(r"[+(]{0,2}[0-9](?:[().\x20/-]{0,2}[0-9]){6,}|(?<![0-9])[0-9]{1,3}(?:(?:\s?\.\s?|\s?[(\[]dot[)\]]\s?)[0-9]{1,3}){3}")
 _BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z0-9]{0,3}$")
 #: Words that announce a kind.
 _CUES = {
@@ -84,49 +91,106 @@ _CUES = {
     "card": "card", "visa": "card", "mastercard": "card", "amex": "card", "credit": "card", "debit": "card",
     "ip": "ip", "host": "ip", "server": "ip", "address": "ip", "ping": "ip",
 }
-_SHAPE_EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*\s?(?:@|[(\[]at[)\]])\s?[A-Za-z0-9-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?)[A-Za-z0-9-]+)*(?:\.|\s?[(\[]dot[)\]]\s?)[A-Za-z]{2,}")
+_SHAPE_EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]*\s?(?:@|[(\[]at[)\]])\s?[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}")
 _SHAPE_IP = re.compile(r"(?:[0-9]{1,3}(?:\.|\s?[(\[]dot[)\]]\s?|\s\.\s?)){3}[0-9]{1,3}")
-_SHAPE_NUMBER = re.compile(r"[+(]{0,2}[0-9][0-9().\x20/-]*[0-9]")
+_GOES_ON = re.compile(r"[.\[(@]\w|\s[(\[](?:dot|at)[)\]]")
+_DIGITS = "0123456789"
+_MASK = str.maketrans(_DIGITS, "0" * 10)
 
 
-def _features(text: str, start: int, end: int) -> dict[int, list[str]]:
-    """The kinds that a segment's shape allows, with the features of the whole segment."""
-    s = text[start:end]
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Where personal data may be, in order and apart: round an at sign (written out, too), and numbers.
+
+    Found from anchors outwards, so that the time grows with the length of the text whatever it holds.
+    """
+    mails: list[tuple[int, int]] = []
+    end = 0
+    for m in _AT.finditer(text):
+        if m.start() >= end and (domain := _WRITTEN_DOMAIN.match(text, m.end())):
+            start = m.start()
+            while start > end and text[start - 1] in _LOCAL:
+                start -= 1
+            if start < m.start():
+                end = domain.end()
+                mails.append((start, end))
+    out, at = [], 0
+    for start, end in [*mails, (len(text), len(text))]:
+        out += [m.span() for m in _NUMBERS.finditer(text, at, start)]
+        if start < end:
+            out.append((start, end))
+        at = end
+    return out
+
+
+def _around(text: str, start: int, end: int) -> tuple[str, str, bool, str | None]:
+    """The signs before and after a segment, whether it goes on behind that, and the kind that a word before announces."""
     left, right = text[start - 1 : start], text[end : end + 1]
     before = _BEFORE.search(text[max(0, start - 24) : start])
-    cue = _CUES.get(before[1].lower()) if before else None
-    common = [f"edge:{left.isalnum()}{right.isalnum()}", f"goes on:{right in '.[(@' and right != '' and text[end + 1 : end + 2].isalnum()}"]
-    out: dict[int, list[str]] = {}
-
-    def add(kind: int, names: list[str]) -> None:
-        own = [f"cue:{cue == KINDS[kind]}", f"other cue:{cue is not None and cue != KINDS[kind]}"]
-        out[kind] = [f"{KINDS[kind]} {n}" for n in ["bias", *common, *own, *names]]
-
-    if _SHAPE_EMAIL.fullmatch(s):
-        add(0, [f"plain:{'@' in s}", f"spaced:{' ' in s}", f"written:{'at' in s and '@' not in s}"])
-    if _SHAPE_IP.fullmatch(s):
-        parts = [int(x) for x in re.findall(r"[0-9]+", s)]
-        add(1, [f"range:{max(parts) <= 255}", f"zeros:{any(len(x) > 1 and x[0] == '0' for x in re.findall(r'[0-9]+', s))}", f"small:{max(parts) < 20}", f"dotted:{left == '.' or right == '.'}", f"spaced:{' ' in s}"])
-    if _SHAPE_NUMBER.fullmatch(s):
-        groups = re.findall(r"[0-9]+", s)
-        n = sum(map(len, groups))
-        kinds = "".join(sorted({c for c in s if not c.isdigit()}))
-        shape = "-".join(str(len(g)) for g in groups)
-        if 13 <= n <= 19:
-            add(2, [f"luhn:{luhn(''.join(groups))}", f"sep:{kinds}", f"fours:{all(len(g) == 4 for g in groups[:-1])}", f"one:{len(groups) == 1}", f"length:{n}"])
-        if 7 <= n <= 15:
-            add(3, [f"plus:{s[0] == '+'}", f"paren:{'(' in s}", f"balanced:{s.count('(') == s.count(')')}", f"sep:{kinds}", f"shape:{shape}", f"digits:{n}", f"groups:{len(groups)}", f"zero:{groups[0][0] == '0'}", f"beside:{left in '.,/-:#$' and left != ''}{right in '/-:%' and right != ''}"])
+    return left, right, _GOES_ON.match(text, end) is not None, _CUES.get(before[1].lower()) if before else None
+
+
+def _named(kind: int, around: tuple, names: list[str]) -> list[str]:
+    left, right, goes_on, cue = around
+    common = ["bias", f"edge:{left.isalnum()}{right.isalnum()}", f"goes on:{goes_on}", f"cue:{cue == KINDS[kind]}", f"other cue:{cue is not None and cue != KINDS[kind]}"]
+    return [f"{KINDS[kind]} {n}" for n in [*common, *names]]
+
+
+@lru_cache(1 << 16)
+def _number(shape: str, zero: bool, sound: bool, around: tuple) -> list[tuple[int, list[str]]]:
+    """Kinds and features of a number, all digits of which are masked: with what it starts, and its Luhn sum, aside."""
+    groups = [len(g) for g in re.findall("0+", shape)]
+    n, between = sum(groups), "".join(sorted({c for c in shape if c != "0"}))
+    left, right = around[:2]
+    out = []
+    if 13 <= n <= 19:
+        out.append((2, _named(2, around, [f"luhn:{sound}", f"sep:{between}", f"fours:{all(g == 4 for g in groups[:-1])}", f"one:{len(groups) == 1}", f"length:{n}"])))
+    if 7 <= n <= 15:
+        beside = f"beside:{left in tuple('.,/-:#$')}{right in tuple('/-:%')}"
+        out.append((3, _named(3, around, [f"plus:{shape[0] == '+'}", f"paren:{'(' in shape}", f"balanced:{shape.count('(') == shape.count(')')}", f"sep:{between}", f"shape:{'-'.join(map(str, groups))}", f"digits:{n}", f"groups:{len(groups)}", f"zero:{zero}", beside])))
     return out
 
 
-def _lattice(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int, int, list[str]]]]:
-    """Token boundaries of a stretch, and its candidate segments by end: (first token, last + 1, kind, features)."""
+Segment = tuple[int, int, int, list[str]]  # first token, last + 1, kind, features
+
+
+def _lattice(text: str, start: int, end: int) -> tuple[list[int], list[Segment]]:
+    """Token boundaries of a stretch, and its candidate segments."""
     bounds = [start, *(m.end() for m in _TOKEN.finditer(text, start, end))]
-    segments = []
-    for j in range(1, len(bounds)):
-        for i in range(max(0, j - LONGEST), j):
-            for kind, names in _features(text, bounds[i], bounds[j]).items():
-                segments.append((i, j, kind, names))
+    tokens = [text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    segments: list[Segment] = []
+    digits = [i for i, t in enumerate(tokens) if t[0] in _DIGITS]
+    for nth, last in enumerate(digits):
+        to, size = bounds[last + 1], 0
+        for groups in range(1, min(MOST_GROUPS, nth + 1) + 1):
+            i = digits[nth + 1 - groups]
+            if groups > 1 and tokens[i + 1 : digits[nth + 2 - groups]] and not all(t in tuple("()./-") or not t.strip(" ") for t in tokens[i + 1 : digits[nth + 2 - groups]]):
+                break
+            size += len(tokens[i])
+            if size > 19:
+                break
+            if size >= 7:
+                for first in range(i, max(-1, i - 3), -1):
+                    if first < i and tokens[first] not in ("+", "("):
+                        break
+                    if last - first < LONGEST:
+                        s = text[bounds[first] : to]
+                        sound = 13 <= size and luhn("".join(filter(str.isdigit, s)))
+                        segments += [(first, last + 1, kind, names) for kind, names in _number(s.translate(_MASK), tokens[i][0] == "0", sound, _around(text, bounds[first], to))]
+        i = digits[nth - 3] if nth >= 3 else last
+        if 0 < last - i < LONGEST and _SHAPE_IP.fullmatch(text, bounds[i], to):
+            parts, around = [tokens[d] for d in digits[nth - 3 : nth + 1]], _around(text, bounds[i], to)
+            names = [f"range:{max(map(int, parts)) <= 255}", f"zeros:{any(len(p) > 1 and p[0] == '0' for p in parts)}", f"small:{max(map(int, parts)) < 20}", f"dotted:{'.' in around[:2]}", f"spaced:{' ' in text[bounds[i] : to]}"]
+            segments.append((i, last + 1, 1, _named(1, around, names)))
+    for m in _AT.finditer(text, start, end):
+        a, b = bisect_left(bounds, m.start()), bisect_left(bounds, m.end())
+        for i in range(a - 1, max(-1, a - LONGEST), -1):
+            if not (tokens[i][0] in _LOCAL):
+                break
+            for j in range(b + 1, min(len(tokens), i + LONGEST) + 1):
+                if tokens[j - 1].isalpha() and _SHAPE_EMAIL.fullmatch(text, bounds[i], bounds[j]):
+                    s = text[bounds[i] : bounds[j]]
+                    names = [f"plain:{'@' in s}", f"spaced:{' ' in s}", f"written:{'at' in s and '@' not in s}", f"cut:{text[bounds[i] - 1 : bounds[i]] in tuple('._%+-')}"]
+                    segments.append((i, j, 0, _named(0, _around(text, bounds[i], bounds[j]), names)))
     return bounds, segments
 
 
@@ -204,7 +268,7 @@ def _made(seed: int, lines: int) -> list[tuple[str, set[Span]]]:
 
     def email() -> str:
         at, dot = rng.choice((("@", "."), ("@", "."), (" [at] ", " [dot] "), ("(at)", "."), (" @ ", ".")))
-        return f"{word()}{rng.choice(('', '.' + digits(2), '_' + word()))}{at}{word()}{dot}{rng.choice(('com', 'org', 'net', 'co.uk'))}"
+        return f"{word()}{rng.choice(('', '.' + digits(2), '_' + word()))}{at}{word()}{dot}{rng.choice(('com', 'org', 'net', f'co{dot}uk'))}"
 
     def ip() -> str:
         return rng.choice((".", ".", " . ", "[dot]")).join(str(rng.randint(0, 255)) for _ in range(4))
@@ -240,8 +304,8 @@ def weights(seed: int = 0, lines: int = 700, rounds: int = 6) -> dict[str, float
     """The field's weights: stochastic gradient ascent with AdaGrad steps and a small L2 penalty."""
     made = []
     for text, truth in _made(seed, lines):
-        for m in _STRETCH.finditer(text):
-            bounds, segments = _lattice(text, m.start(), m.end())
+        for start, end in stretches(text):
+            bounds, segments = _lattice(text, start, end)
             if segments:
                 known = {(s[0], s[1], s[2]) for s in truth}
                 made.append((bounds, segments, known))
@@ -262,22 +326,26 @@ def added(text: str, fixed: list[Span], w: dict[str, float]) -> list[Span]:
     """The field's segments that overlap none of the fixed spans."""
     if "@" not in text and "(at)" not in text and "[at]" not in text and not _DIGIT.search(text):
         return []
-    out, starts = [], sorted((s[0], s[1]) for s in fixed)
-    for m in _STRETCH.finditer(text):
-        if any(a < m.end() and m.start() < b for a, b in starts):
-            # What the base has stays as it is; the field reads what lies beside it.
-            pieces, at = [], m.start()
-            for a, b in starts:
-                if a < m.end() and m.start() < b:
-                    if a > at:
-                        pieces.append((at, a))
-                    at = max(at, b)
-            pieces.append((at, m.end()))
+    held: list[list[int]] = []  # what the base has stays as it is; the field reads what lies beside it
+    for start, end, _ in sorted(fixed):
+        if held and start <= held[-1][1]:
+            held[-1][1] = max(held[-1][1], end)
         else:
-            pieces = [(m.start(), m.end())]
-        for a, b in pieces:
-            if a < b:
-                out += _decoded(*_lattice(text, a, b), w)
+            held.append([start, end])
+    out, k = [], 0
+    for start, end in stretches(text):
+        while k < len(held) and held[k][1] <= start:
+            k += 1
+        at = start
+        while k < len(held) and held[k][0] < end:
+            if held[k][0] > at:
+                out += _decoded(*_lattice(text, at, held[k][0]), w)
+            at = held[k][1]
+            if at > end:
+                break  # the next stretch may lie within it, too
+            k += 1
+        if at < end:
+            out += _decoded(*_lattice(text, at, end), w)
     return out
 
 
