@@ -6,11 +6,13 @@ words a first time costs nothing, each further time costs more (convex), so noth
 used. The flow has a node for each pattern and source, whose number doesn't follow the number of documents.
 
 Then each pattern takes documents in a seeded order until its words are met, to the nearest document: the order is
-the MD5 of the document's id and a seed, running sums are taken in buckets of that hash and over the buckets, and
+the MD5 of the document's id, a seed and its text, running sums are taken in buckets of that hash and over the buckets, and
 the result is one limit of the hash for each pattern and repetition. A document's share is read off its own hash.
 
 Defined results: a null text has no words; a null source is a source, after all others; documents without words
-take none; rows that share ``doc_id`` share the order's place and are taken together; an empty table gives no rows.
+take none; rows that share ``doc_id`` and text share the order's place and are taken together, so that a source's words
+miss its target by half the largest such group at most; an empty table gives no rows. The driver holds one row for
+each pattern, and plans no more than ``MOST_PATTERNS``: sources as many as hosts are to be grouped first.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 
 from waymark.llm import scratch
 
+#: Patterns of membership that the driver plans; more are refused, none is left out.
+MOST_PATTERNS = 200_000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -52,8 +56,7 @@ def targets(sizes: dict[str | None, int], weights: Sequence[int] = (5, 2, 1), sh
 def flow(patterns: dict[frozenset, int], wanted: dict, most: int = 2) -> dict[frozenset, int]:
     """Words that each pattern gives, so that sources (members of patterns) get what is wanted, repetitions last.
 
-    Successive shortest paths, each part of the graph by itself; a pattern and a source that touch no others
-    need none.
+    Successive shortest paths, each connected part of the graph by itself.
     """
     beside = defaultdict(set)
     for p in patterns:
@@ -70,11 +73,7 @@ def flow(patterns: dict[frozenset, int], wanted: dict, most: int = 2) -> dict[fr
                     part.add(p)
                     queue.append(p)
         seen |= part
-        sources = set().union(*part)
-        if len(part) == 1 and len(sources) == 1:
-            out[first] = min(wanted[next(iter(sources))], most * patterns[first])
-        else:
-            out |= _flow({p: patterns[p] for p in part}, {s: wanted[s] for s in sources}, most)
+        out |= _flow({p: patterns[p] for p in part}, {s: wanted[s] for s in set().union(*part)}, most)
     return out
 
 
@@ -120,8 +119,10 @@ def _flow(patterns: dict[frozenset, int], wanted: dict, most: int) -> dict[froze
             edges[e ^ 1][1] += n
 
 
-def order_of(doc_id: str, seed: int) -> Column:
-    return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f":{seed}")))
+def order_of(doc_id: str, text: str, seed: int) -> Column:
+    """A document's place in the seeded order: the text is in it, so that rows without an id, or with one id, are apart."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.md5(F.concat(blank(doc_id), F.lit(f":{seed}:"), blank(text)))
 
 
 def _by_size(table: DataFrame, rows: int) -> DataFrame:
@@ -157,8 +158,10 @@ def planned(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 0,
     """The documents (``doc_id``, ``pattern``, ``size``, ``at``), and for each pattern its sources' ``source_size`` and
     ``target`` (of its first source) with the limits. ``docs`` has ``doc_id``, ``text`` and ``sources`` (an array)."""
     pattern = F.to_json(F.array_sort(F.array_distinct("sources")), {"ignoreNullFields": "false"})
-    sized = scratch.stored(docs.select(F.col("doc_id").cast("long"), pattern.alias("pattern"), F.array_sort(F.array_distinct("sources")).alias("sources"), n_words().alias("size"), order_of("doc_id", seed).alias("at")), "sizes")
-    found = sized.groupBy("pattern", "sources").agg(F.sum("size").alias("size")).collect()  # a row for each pattern
+    sized = scratch.stored(docs.select(F.col("doc_id").cast("long"), pattern.alias("pattern"), F.array_sort(F.array_distinct("sources")).alias("sources"), n_words().alias("size"), order_of("doc_id", "text", seed).alias("at")), "sizes")
+    found = sized.groupBy("pattern", "sources").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()  # a row for each pattern
+    if len(found) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} sets of sources: group the rare sources before mixing")
     sizes: dict[str | None, int] = defaultdict(int)
     for row in found:
         for s in row.sources:
@@ -188,7 +191,7 @@ def sampled(docs: DataFrame, source: str = "source", weights: Sequence[int] = (5
     _, table = planned(own.select("doc_id", "text", F.col("_sources").alias("sources")), weights, seed, most)
     table = table.withColumnRenamed("pattern", "_pattern")
     pattern = F.to_json(F.array_sort(F.array_distinct("_sources")), {"ignoreNullFields": "false"})
-    d = own.withColumns({"_pattern": pattern, "at": order_of("doc_id", seed)}).join(table.select("_pattern", *[f"limit_{r + 1}" for r in range(most)]), "_pattern")
+    d = own.withColumns({"_pattern": pattern, "at": order_of("doc_id", "text", seed)}).join(table.select("_pattern", *[f"limit_{r + 1}" for r in range(most)]), "_pattern")
     d = d.withColumn("_copies", F.when(n_words() > 0, copies(most)).otherwise(0)).where("_copies > 0")
     return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 

@@ -32,7 +32,7 @@ OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
 ]+')) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':0') AS spot
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':0:' || coalesce(text, '')) AS spot
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
