@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +12,14 @@ from waymark.functions.text import _col, canon_number, canon_text, squeeze
 _UNIT_FIRST = r"(?i)^unit\s*([A-Za-z0-9]+)\s*/\s*(\d+[A-Za-z]?)$"
 _HOUSE_FIRST = r"(?i)^(\d+[A-Za-z]?)\s*/\s*unit\s*([A-Za-z0-9]+)$"
 _HOUSE_OR_RANGE = r"\d+[A-Za-z]?(?:\s*-\s*\d+[A-Za-z]?)?"
-#: Month names as spreadsheets put them into numbers.
-MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
+#: Month names as spreadsheets put them into numbers; signs that separate unit and house.
+MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
+SEPARATORS = "~_-,.\\:;!=+\"'()"
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _text(c: Column | str) -> Column:
@@ -20,11 +28,14 @@ def _text(c: Column | str) -> Column:
 
 def split_unit(c: Column | str) -> Column:
     """``unit`` (as ``Unit…``) and ``house`` of ``UnitA/12`` or ``12/UnitA``; both blank for any other value."""
-    n = _text(c)
-    a, b = n.rlike(_UNIT_FIRST), n.rlike(_HOUSE_FIRST)
-    unit = F.when(a, F.regexp_extract(n, _UNIT_FIRST, 1)).when(b, F.regexp_extract(n, _HOUSE_FIRST, 2)).otherwise("")
-    house = F.when(a, F.regexp_extract(n, _UNIT_FIRST, 2)).when(b, F.regexp_extract(n, _HOUSE_FIRST, 1)).otherwise("")
-    return F.struct(F.when(unit != "", F.concat(F.lit("Unit"), unit)).otherwise("").alias("unit"), house.alias("house"))
+
+    def split(n: Column) -> Column:
+        # The two sides of the stroke, whichever way round; a value of another form has neither.
+        sides = F.when(n.rlike(_UNIT_FIRST), F.array(F.regexp_extract(n, _UNIT_FIRST, 1), F.regexp_extract(n, _UNIT_FIRST, 2)))
+        sides = sides.when(n.rlike(_HOUSE_FIRST), F.array(F.regexp_extract(n, _HOUSE_FIRST, 2), F.regexp_extract(n, _HOUSE_FIRST, 1)))
+        return _let(sides, lambda x: F.struct(F.coalesce(F.concat(F.lit("Unit"), F.get(x, F.lit(0))), F.lit("")).alias("unit"), F.coalesce(F.get(x, F.lit(1)), F.lit("")).alias("house")))
+
+    return _let(_text(c), split)
 
 
 def house_first(c: Column | str) -> Column:
@@ -50,22 +61,29 @@ def toggle_unit(c: Column | str) -> Column:
 def normal_number(c: Column | str) -> Column:
     """One spelling of unit and house number.
 
-    Spaces go; a month that a spreadsheet made of ``n-m`` becomes its number; a letter after a number becomes the unit;
-    separators become ``/``, with ``Unit`` before it; letters are capital.
+    A value is read as tokens: numbers, words and single signs, spaces left out. What it is shows in the sequence of their kinds: a
+    month beside a number (a spreadsheet made it of ``n-m``) is that month's number, and the first two stand as unit and
+    house; a number and one letter are house and unit. All else keeps its tokens, capital, with ``/`` for every
+    separator; a value that has one then, or begins with it, begins with ``Unit``.
     """
-    n = F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"\s+", "")
-    month = r"(?i)^(\d*)[-_/]*([a-z]{3})(?:[-_/]*(\d+))?$"
-    before, after = F.regexp_extract(n, month, 1), F.regexp_extract(n, month, 3)
-    named = F.lower(F.regexp_extract(n, month, 2))
-    months = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv]), named), F.lit(1)).cast("string")
-    from_month = F.when(before != "", F.concat(F.lit("Unit"), before, F.lit("/"), months)).when(after != "", F.concat(F.lit("Unit"), months, F.lit("/"), after)).otherwise(F.concat(F.lit("Unit"), months))
-    letter = r"^(\d+)([A-Za-z])$"
-    from_letter = F.concat(F.lit("Unit"), F.upper(F.regexp_extract(n, letter, 2)), F.lit("/"), F.regexp_extract(n, letter, 1))
-    cut = F.regexp_replace(n, r"[~_\-,.\\:;!=+\"'()]", "/")
-    is_unit = F.lower(cut).startswith("unit")
-    cut = F.when((F.instr(cut, "/") > 0) & ~is_unit, F.concat(F.lit("Unit"), cut)).otherwise(cut)
-    cased = F.when(F.lower(cut).startswith("unit"), F.concat(F.lit("Unit"), F.upper(F.substring(cut, F.lit(5), F.length(cut))))).otherwise(F.upper(cut))
-    return F.when(n.rlike(month), from_month).when(n.rlike(letter), from_letter).otherwise(cased)
+    month = F.create_map(*[F.lit(str(x)) for kv in MONTHS.items() for x in kv])
+    tokens = F.regexp_extract_all(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"\s+", ""), F.lit(r"(\d+|[A-Za-z]+|[^\dA-Za-z])"), F.lit(1))
+
+    def kind(t: Column) -> Column:
+        word = F.element_at(F.array(*map(F.lit, "awmw")), F.least(F.length(t), F.lit(4)))
+        return F.when(t.rlike(r"^\d"), "n").when(t.rlike("^[A-Za-z]"), word).when(t.isin("-", "_", "/"), "-").otherwise("s")
+
+    def spelt(tokens: Column) -> Column:
+        parts = F.filter(tokens, lambda t: t.rlike(r"^[\dA-Za-z]"))
+        dated = F.transform(parts, lambda t: F.when(t.rlike(r"^\d"), t).otherwise(F.coalesce(F.element_at(month, F.lower(t)), F.lit("1"))))
+        joined = F.array_join(F.transform(tokens, lambda t: F.when(t.isin(*SEPARATORS), "/").otherwise(t)), "")
+        named = F.lower(F.substring(joined, 1, 4)) == "unit"
+        rest = F.upper(F.when(named, F.substring(joined, F.lit(5), F.length(joined))).otherwise(joined))
+        unit = lambda items: F.concat(F.lit("Unit"), F.array_join(items, "/"))
+        kinds = F.array_join(F.transform(tokens, kind), "")
+        return _let(kinds, lambda k: F.when(k.rlike("^n?-*m(-*n)?$"), unit(F.slice(dated, 1, 2))).when(k == "na", unit(F.reverse(F.transform(parts, F.upper)))).when(named | F.contains(joined, F.lit("/")), F.concat(F.lit("Unit"), rest)).otherwise(rest))
+
+    return _let(tokens, spelt)
 
 
 def loose_number(c: Column | str) -> Column:
@@ -115,14 +133,17 @@ def _bare_unit(c: Column) -> Column:
 
 def gate_key(unit: Column | str, house: Column | str, street: Column | str, legacy: bool = False) -> Column:
     """(unit, house, street) as the reference table compares them (C5); the unit may stand in the number, the suburb is left out."""
-    own, parts = _bare_unit(_text(unit)), split_unit(house)
-    inner = _bare_unit(parts["unit"])
-    takes = (parts["house"] != "") & ((own == "") | (canon_text(own) == canon_text(inner)))
-    return F.struct(
-        canon_number(F.when((own == "") & (parts["house"] != ""), inner).otherwise(own), legacy).alias("unit"),
-        canon_number(F.when(takes, parts["house"]).otherwise(_text(house)), legacy).alias("house"),
-        canon_text(street).alias("street"),
-    )
+
+    def key(parts: Column) -> Column:
+        own, inner = _bare_unit(_text(unit)), _bare_unit(parts["unit"])
+        takes = (parts["house"] != "") & ((own == "") | (canon_text(own) == canon_text(inner)))
+        return F.struct(
+            canon_number(F.when((own == "") & (parts["house"] != ""), inner).otherwise(own), legacy).alias("unit"),
+            canon_number(F.when(takes, parts["house"]).otherwise(_text(house)), legacy).alias("house"),
+            canon_text(street).alias("street"),
+        )
+
+    return _let(split_unit(house), key)
 
 
 def address_key(unit: Column | str, house: Column | str, street: Column | str, suburb: Column | str) -> Column:
