@@ -1,15 +1,18 @@
-"""Names that mean the same: scores, blocked matching, clusters and their spelling."""
+"""Names that mean the same: scores, matching, clusters and their spelling."""
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Collection, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from waymark import rank
 from waymark.functions.text import fold, split_suffix
@@ -42,68 +45,154 @@ def score(a: str, b: str) -> float:
     return max(ratio(a, b), partial_ratio(a, b), token_set_ratio(a, b))
 
 
-@pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([score(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
-
-
-@pandas_udf(DoubleType())
+@pandas_udf(T.DoubleType())
 def plain_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def matched(queries: DataFrame, choices: DataFrame, text: str, choice: str, order: str, threshold: float, block: int = 3) -> DataFrame:
+def _counts(texts: Sequence[str]) -> np.ndarray:
+    """How often each text holds each sign, signs that differ beyond the first 96 taken together by their remainder."""
+    out = np.zeros((len(texts), 96), np.int32)
+    for row, x in zip(out, texts, strict=True):
+        np.add.at(row, np.frombuffer(x.encode("utf-32-le"), np.uint32) % 96, 1)
+    return out
+
+
+class Choices:
+    """A bounded list of choices, and the best of them for a text.
+
+    Of ``c`` common signs and ``n`` in the shorter text, no score exceeds ``2 c / (n + c)``, unless a word is common; so choices
+    are scored in the order of that bound, and no more once it falls below the best score found.
+    """
+
+    def __init__(self, choices: Sequence[tuple[str, object]]) -> None:
+        self.choices = sorted(choices, key=lambda c: (c[1], c[0]))
+        low = [c.lower() for c, _ in self.choices]
+        self.low, self.words = low, [set(x.split()) for x in low]
+        self.counts, self.sizes = _counts(low), np.array([min(len(x), len(" ".join(set(x.split())))) for x in low])
+        self.holding: dict[str, list[int]] = {}
+        for i, words in enumerate(self.words):
+            for w in words:
+                self.holding.setdefault(w, []).append(i)
+
+    def best(self, text: str, threshold: float) -> tuple[int, float] | None:
+        words = set(text.split())
+        common = np.minimum(self.counts, _counts([text])).sum(axis=1)
+        shorter = np.minimum(self.sizes, min(len(text), len(" ".join(words))))
+        most = 100 * np.minimum(2 * common / np.maximum(shorter + common, 1), 1)
+        most[self.sizes == 0] = 100
+        for w in words:
+            most[self.holding.get(w, [])] = 100
+        found = None
+        for i in np.argsort(-most, kind="stable").tolist():
+            if most[i] < threshold - 1e-9 or found and most[i] < found[1] - 1e-9:
+                break
+            value = score(text, self.low[i])
+            if value >= threshold and (found is None or (value, -i) > (found[1], -found[0])):
+                found = i, value
+        return found
+
+
+def matched(queries: DataFrame, choices: DataFrame, text: str, choice: str, order: str, threshold: float, block: int = 2000) -> DataFrame:
     """The best choice for each distinct query text, if it scores enough (C13): ``match`` and ``score``, ties to the first choice.
 
-    Only texts with the same first ``block`` letters (folded) meet. Distinct texts are matched once, and each query text keeps
-    one row.
+    Every distinct text is held against every choice, in blocks of ``block`` choices that come as one array each; a bound on
+    the score spares most of the scoring, and loses nothing (:class:`Choices`).
     """
-    key = lambda c: F.substring(F.regexp_replace(fold(F.lower(c)), "[^a-z0-9]", ""), 1, block)
-    q = queries.select(text).distinct().withColumn("_k", key(F.col(text)))
-    c = choices.groupBy(choice).agg(F.min(order).alias("_o")).withColumn("_k", key(F.col(choice)))
-    pairs = q.join(c, "_k").withColumn("score", similarity(F.lower(text), F.lower(choice))).where(F.col("score") >= threshold)
-    best = rank.first_by(pairs, [text], [F.desc("score"), "_o", choice]).select(text, F.col(choice).alias("match"), "score")
+    q = queries.select(F.col(text).alias("text")).distinct().where("text is not null")
+    c = choices.where(F.col(choice).isNotNull()).groupBy(F.col(choice).alias("choice")).agg(F.min(order).alias("o"))
+    parts = -(-max(1, c.count()) // block)
+    lists = c.groupBy(F.pmod(F.xxhash64("choice"), F.lit(parts)).alias("part")).agg(F.sort_array(F.collect_list(F.struct("o", "choice"))).alias("choices"))
+    dealt = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(left) and len(right):
+            held = Choices([(x["choice"], x["o"]) for x in right["choices"].iloc[0]])
+            for x in left["text"]:
+                if hit := held.best(x.lower(), threshold):
+                    rows.append((x, *held.choices[hit[0]], hit[1]))
+        return pd.DataFrame(rows, columns=["text", "match", "o", "score"])
+
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("match", T.StringType()), T.StructField("o", c.schema["o"].dataType), T.StructField("score", T.DoubleType())])
+    # A block of choices meets the texts in tasks of at most about 10,000 texts.
+    deals = -(-max(1, q.count()) // 10_000)
+    dealt = dealt.withColumn("deal", F.pmod(F.xxhash64("text"), F.lit(deals)))
+    lists = lists.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long"))))
+    pairs = dealt.groupBy("part", "deal").cogroup(lists.groupBy("part", "deal")).applyInPandas(work, schema)
+    best = rank.first_by(pairs, ["text"], [F.desc("score"), "o", "match"]).select(F.col("text").alias(text), "match", "score")
     return queries.join(best, text, "left")
 
 
-def close_pairs(names: DataFrame, name: str, most: int, block: int = 3) -> DataFrame:
-    """Pairs of distinct names with the same beginning and at most ``most`` edits."""
-    d = names.select(F.col(name).alias("a")).distinct().withColumn("_k", F.substring(F.lower("a"), 1, block))
-    p = d.join(d.withColumnRenamed("a", "b"), "_k").where("a < b").where(F.abs(F.length("a") - F.length("b")) <= most)
-    return p.withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 0").drop("_k")
+def close_pairs(names: DataFrame, name: str, most: int) -> DataFrame:
+    """Pairs of distinct names at most ``most`` edits apart (C13), all of them.
+
+    A name cut into ``most + 1`` pieces keeps one of them under ``most`` edits, moved by as many signs at most. So names are
+    listed by their pieces, with their length and the piece's number, and asked for by the stretches of the other name that
+    may hold one: an equality join.
+    """
+    d = names.select(F.col(name).cast("string").alias("a")).where("a is not null").distinct()
+    begin = lambda i, size: F.floor(F.lit(i) * size / (most + 1)).cast("int")
+    length = F.length("a")
+    piece = lambda i: F.struct(length.alias("n"), F.lit(i).alias("i"), F.substring(F.col("a"), begin(i, length) + 1, begin(i + 1, length) - begin(i, length)).alias("s"))
+    listed = d.select("a", F.explode(F.array(*map(piece, range(most + 1)))).alias("k")).select("a", "k.*")
+    asks = []
+    for other in range(-most, most + 1):
+        size = length + other
+        for i in range(most + 1):
+            for move in range(-most, most + 1):
+                at, width = begin(i, size) + move, begin(i + 1, size) - begin(i, size)
+                asks.append(F.when((size >= 0) & (at >= 0) & (at + width <= length), F.struct(size.alias("n"), F.lit(i).alias("i"), F.substring(F.col("a"), at + 1, width).alias("s"))))
+    asked = d.select(F.col("a").alias("b"), F.explode(F.array_distinct(F.array_compact(F.array(*asks)))).alias("k")).select("b", "k.*")
+    pairs = listed.join(asked, ["n", "i", "s"]).where("a < b").select("a", "b").distinct()
+    return pairs.withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 0")
 
 
 def clustered(names: DataFrame, name: str, threshold: float = 86, longer: int = 2, protect: Collection[str] = (), block: int = 4) -> DataFrame:
     """``name`` and ``alias``, the name that stands for it (O2).
 
-    Within a block of equal beginnings, names are taken by frequency, then length, then alphabet; each becomes the alias of
-    all later ones that are close enough. A name that only goes on for three letters or more after four common ones is
-    another name. The order matters, so a block is one task: of distinct names with their counts, not of rows.
+    Names meet if their first ``block`` letters are the same; they are taken by frequency, then length, then alphabet, and each
+    becomes the alias of all later ones that are close enough. Names that share four letters and end in different ways for three
+    or more aren't close. The order matters, so a block is one task: of distinct names with their counts, not of rows, and a
+    bound on the score leaves few to be scored.
     """
     kept = {p.lower() for p in protect}
     counts = names.groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n")).where("name <> ''")
-    counts = counts.withColumn("block", F.substring(fold(F.lower("name")), 1, block))
+    counts = counts.withColumn("block", F.substring(F.regexp_replace(fold(F.lower("name")), "[^a-z]", ""), 1, block))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(zip(group["name"], group["n"], strict=True), key=lambda r: (-r[1], -len(r[0]), r[0]))
+        names = [r[0] for r in rows]
+        low = [x.lower() for x in names]
+        counted, sizes = _counts(low), np.array([len(x) for x in low])
+        letters = np.array([len(_letters(x)) for x in low])
+        free = np.array([x not in kept for x in low])
         alias: dict[str, str] = {}
-        for i, (a, _) in enumerate(rows):
+        for i, a in enumerate(names):
             if a in alias:
                 continue
             alias[a] = a
-            for b, _ in rows[i + 1 :]:
-                if b in alias or b.lower() in kept or abs(len(a) - len(b)) > longer or _extends(a.lower(), b.lower()):
-                    continue
-                if ratio(a.lower(), b.lower()) >= threshold:
-                    alias[b] = a
+            if not free[i]:
+                continue
+            rest = np.flatnonzero(free[i + 1 :] & (np.abs(letters[i + 1 :] - letters[i]) <= longer)) + i + 1
+            bound = 200 * np.minimum(counted[rest], counted[i]).sum(axis=1) / np.maximum(sizes[rest] + sizes[i], 1)
+            for j in rest[bound >= threshold - 1e-9].tolist():
+                if names[j] not in alias and not _ends_apart(low[i], low[j]) and ratio(low[i], low[j]) >= threshold:
+                    alias[names[j]] = a
         return pd.DataFrame({"name": list(alias), "alias": list(alias.values())})
 
     return counts.groupBy("block").applyInPandas(one, "name string, alias string")
 
 
-def _extends(a: str, b: str) -> bool:
-    short, long = sorted((a, b), key=len)
-    return len(short) >= 4 and long.startswith(short) and len(long) - len(short) >= 3
+def _letters(x: str) -> str:
+    return re.sub("[^a-z]", "", x)
+
+
+def _ends_apart(a: str, b: str) -> bool:
+    """Whether two names begin with four common letters and either goes on for three or more of its own."""
+    x, y = _letters(a), _letters(b)
+    both = len(os.path.commonprefix([x, y]))
+    return both >= 4 and max(len(x), len(y)) - both >= 3
 
 
 def hardened(aliases: DataFrame, names: DataFrame, name: str, protect: Collection[str] = (), apart: Collection[tuple[str, str]] = (), support: int = 2) -> DataFrame:

@@ -77,31 +77,34 @@ def coverage(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def containing(df: DataFrame, names: DataFrame, column: str, name: str, gram: int = 4) -> DataFrame:
-    """Pairs where ``column`` contains ``name`` (C14). Names of ``gram`` signs and more meet the texts that hold their first
-    signs; only shorter ones are held against every text, and Spark decides by size how."""
-    head = names.where(F.length(name) >= gram).withColumn("_g", F.substring(name, 1, gram))
-    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - gram + 1, F.lit(1))), lambda i: F.substring(F.col(column), i, F.lit(gram)))))
-    long = df.withColumn("_g", grams).join(head, "_g").where(F.contains(F.col(column), F.col(name))).drop("_g")
-    short = df.join(names.where(F.length(name).between(1, gram - 1)), F.contains(F.col(column), F.col(name)))
-    return long.unionByName(short)
+    """Pairs where ``column`` contains ``name`` (C14), for names that aren't blank. A name meets the texts that hold its first
+    ``gram`` signs, or the whole of it if it is shorter: an equality join on the distinct stretches of a text, of those
+    lengths only that names ask for."""
+    head = names.where(F.length(name) > 0).withColumn("_g", F.substring(name, 1, gram))
+    sizes = [r[0] for r in head.select(F.length("_g")).distinct().collect()]  # ``gram`` at most
+    if not sizes:
+        return df.join(names.where("false"), F.lit(True))
+    stretch = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - n + 1, F.lit(1))), lambda i: F.substring(F.col(column), i, F.lit(n)))
+    grams = F.explode(F.array_distinct(F.concat(*map(stretch, sorted(sizes)))))
+    return df.withColumn("_g", grams).join(head, "_g").where(F.contains(F.col(column), F.col(name))).drop("_g")
 
 
 def nearest_number(df: DataFrame, row_id: str, street: str, number: str, area: str) -> DataFrame:
     """``area`` of rows without one, from the row of the same street whose number is nearest; ties to the first row (C17).
 
-    Rows of a street are put in order of number; the nearest one that has an area is the last before or the first after.
+    A street's rows are first brought down to its numbers: whether rows with it lack an area, and the first one that has one.
+    Only these are put in order; the nearest that has an area is the last before or the first after. Rows find the
+    answer by street and number, a join that adaptive execution can split.
     """
-    known = F.col(area).isNotNull()
-    order = Window.partitionBy(street).orderBy(F.col(number), F.col(row_id))
-    # Of equal numbers below, the first row counts: take the first row of each number.
-    lead = F.when(known, F.min(F.when(known, F.struct(row_id, area))).over(Window.partitionBy(street, number)))
-    d = df.withColumn("_lead", lead)
-    below = F.last(F.when(known, F.struct(F.col(number).alias("n"), F.col(f"_lead.{row_id}").alias("id"), F.col(f"_lead.{area}").alias("area"))), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first(F.when(known, F.struct(F.col(number).alias("n"), F.col(f"_lead.{row_id}").alias("id"), F.col(f"_lead.{area}").alias("area"))), True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    d = d.withColumns({"_b": below, "_a": above})
-    gap = lambda s: F.abs(F.col(number) - F.col(f"{s}.n"))
-    near = F.least(*[F.when(F.col(s).isNotNull(), F.struct(gap(s).alias("g"), F.col(f"{s}.id").alias("id"), F.col(f"{s}.area").alias("area"))) for s in ("_b", "_a")])
-    return d.withColumn(area, F.when(known | F.col(number).isNull(), F.col(area)).otherwise(near["area"])).drop("_lead", "_b", "_a")
+    first = F.min(F.when(F.col(area).isNotNull(), F.struct(F.col(row_id).alias("id"), F.col(area).alias("area"))))
+    numbers = df.where(F.col(number).isNotNull()).groupBy(street, number).agg(first.alias("_own"))
+    order = Window.partitionBy(street).orderBy(number)
+    held = F.when(F.col("_own").isNotNull(), F.struct(F.col(number).alias("n"), F.col("_own.id").alias("id"), F.col("_own.area").alias("area")))
+    sides = [F.last(held, True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.first(held, True).over(order.rowsBetween(0, Window.unboundedFollowing))]
+    d = numbers.withColumns(dict(zip(("_b", "_a"), sides, strict=True)))
+    side = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col(number) - F.col(f"{s}.n")).alias("g"), F.col(f"{s}.id").alias("id"), F.col(f"{s}.area").alias("area")))
+    near = d.select(street, number, F.least(side("_b"), side("_a"))["area"].alias("_near"))
+    return df.join(near, [street, number], "left").withColumn(area, F.coalesce(area, "_near")).select(*df.columns)
 
 
 def verified(candidates: DataFrame, reverse: DataFrame, keys: Sequence[str], number: str, street: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.catalog import Tables, query
 from waymark.functions.numbers import neighbours
-from waymark.functions.text import canon_text, fold
+from waymark.functions.text import canon_text, split_suffix
 from waymark.operators import entity, graph, joins, routing
 
 _CANON = "regexp_replace(strip_accents(regexp_replace(lower(trim({})), '\\b\\d{{4}}\\s*$', '')), '[^a-z0-9]+', '', 'g')"
@@ -107,7 +107,7 @@ def bulk_lookup(t: Tables) -> DataFrame:
 @query(
     """
 WITH r AS (SELECT * FROM part WHERE p_partkey % 4 = 0),
-q AS (SELECT p_partkey AS id, p_brand, p_type, p_size FROM part WHERE p_partkey % 4 = 1),
+q AS (SELECT p_partkey AS id, p_brand, p_type, p_size FROM part WHERE p_partkey % 4 <> 0),
 m AS (
   SELECT id, 1 AS tier, min(r.p_partkey) AS hit FROM q JOIN r USING (p_brand, p_type, p_size) GROUP BY 1
   UNION ALL SELECT id, 2, min(r.p_partkey) FROM q JOIN r USING (p_brand, p_type) GROUP BY 1
@@ -116,9 +116,9 @@ SELECT q.id, arg_min(tier, tier) AS tier, arg_min(hit, tier) AS hit FROM q LEFT
 """
 )
 def tiered_lookup(t: Tables) -> DataFrame:
-    """C9, N3, N5, O8."""
+    """A quarter of the parts is the reference, all others ask."""
     r = t.part.where("p_partkey % 4 = 0").withColumn("hit", F.col("p_partkey"))
-    q = t.part.where("p_partkey % 4 = 1").withColumnRenamed("p_partkey", "id")
+    q = t.part.where("p_partkey % 4 <> 0").withColumnRenamed("p_partkey", "id")
     keys = (["p_brand", "p_type", "p_size"], ["p_brand", "p_type"], ["p_brand"])
     return joins.tiered(q, "id", [(r, k) for k in keys], ["hit"], ["p_partkey"]).select("id", "tier", "hit")
 
@@ -140,13 +140,13 @@ def multi_key_restore(t: Tables) -> DataFrame:
 
 @query(
     """
-WITH n AS (SELECT DISTINCT substr(p_type, 1, 1 + p_size % 6) AS name FROM part WHERE p_size < 12)
+WITH n AS (SELECT DISTINCT substr(p_type, 1 + p_size % 3, 1 + p_size % 6) AS name FROM part)
 SELECT p_partkey, name FROM part JOIN n ON contains(p_type, name) WHERE name <> ''
 """
 )
 def containment_join(t: Tables) -> DataFrame:
     """C14."""
-    names = t.part.where("p_size < 12").select(F.expr("substr(p_type, 1, 1 + p_size % 6)").alias("name")).distinct()
+    names = t.part.select(F.expr("substr(p_type, 1 + p_size % 3, 1 + p_size % 6)").alias("name")).distinct()
     return joins.containing(t.part.select("p_partkey", "p_type"), names, "p_type", "name").select("p_partkey", "name")
 
 
@@ -195,21 +195,21 @@ def known_street_snap(t: Tables) -> DataFrame:
 
 @query(
     """
-WITH n AS (SELECT p_partkey, CAST(p_size AS INTEGER) AS num FROM part WHERE p_size < 8)
-SELECT p_partkey, x.o AS nth, CAST(num + x.d AS INTEGER) AS probe FROM n, (VALUES (0, 0), (1, -1), (2, 1), (3, -2), (4, 2)) x(o, d) WHERE num + x.d > 0
+SELECT p_partkey, CAST(x.nth AS INTEGER) AS nth, CAST(p_size + x.d AS INTEGER) AS probe
+FROM part, (SELECT d, CASE WHEN d < 0 THEN -2 * d - 1 ELSE 2 * d END AS nth FROM range(-5, 6) r(d)) x WHERE p_size + x.d > 0
 """
 )
 def neighbour_probes(t: Tables) -> DataFrame:
-    """I9, N6; ``nth`` is renumbered over the positive ones in the expression, so the pair of distance and side is shown."""
-    d = t.part.where("p_size < 8").select("p_partkey", F.col("p_size").alias("num"), F.explode(neighbours("p_size", 2)).alias("probe"))
-    nth = F.when(F.col("probe") == F.col("num"), 0).when(F.col("probe") < F.col("num"), (F.col("num") - F.col("probe")) * 2 - 1).otherwise((F.col("probe") - F.col("num")) * 2)
-    return d.select("p_partkey", nth.cast("int").alias("nth"), "probe")
+    """I9; the place in the sequence is shown as the pair of distance and side."""
+    d = t.part.select("p_partkey", F.col("p_size").alias("num"), F.explode(neighbours("p_size")).alias("probe"))
+    away = F.col("probe") - F.col("num")
+    return d.select("p_partkey", F.when(away < 0, -2 * away - 1).otherwise(2 * away).cast("int").alias("nth"), "probe")
 
 
 @query(
     """
 WITH n AS (SELECT DISTINCT lower(p_type) || ' ' || lower(p_brand) AS a FROM part)
-SELECT x.a, y.a AS b, CAST(levenshtein(x.a, y.a) AS INTEGER) AS distance FROM n x JOIN n y ON x.a < y.a AND substr(x.a, 1, 3) = substr(y.a, 1, 3) WHERE levenshtein(x.a, y.a) <= 2
+SELECT x.a, y.a AS b, CAST(levenshtein(x.a, y.a) AS INTEGER) AS distance FROM n x JOIN n y ON x.a < y.a WHERE levenshtein(x.a, y.a) <= 2
 """
 )
 def blocking_fuzzy_levenshtein(t: Tables) -> DataFrame:
@@ -219,73 +219,73 @@ def blocking_fuzzy_levenshtein(t: Tables) -> DataFrame:
 
 @query()
 def fuzzy_best_match(t: Tables) -> DataFrame:
-    """C13, H15."""
+    """C13, H15; a test holds it against brute force."""
     q = t.customer.select("c_custkey", F.concat(F.translate("c_mktsegment", "IO", "10"), F.lit(" Rd")).alias("text"))
     choices = t.customer.select(F.initcap("c_mktsegment").alias("choice"), "c_custkey").groupBy("choice").agg(F.min("c_custkey").alias("o"))
     return entity.matched(q, choices, "text", "choice", "o", 60).select("c_custkey", "text", "match", F.round("score", 6).alias("score"))
 
 
 def _misspelt(t: Tables) -> DataFrame:
-    names = F.array(*[F.lit(x) for x in ("Kauri Road", "Kaurri Road", "Kauri Rd", "Rimutaka Street", "Rimutake Street", "Totara Drive", "Totara Place", "Tāwa Lane")])
-    return t.orders.select("o_orderkey", F.get(names, (F.col("o_custkey") % 8).cast("int")).alias("street"))
+    """Streets after the parts' names, a letter doubled in every fifth."""
+    name, at = F.initcap("p_name"), F.lit(1) + (F.col("p_partkey") % F.length("p_name")).cast("int")
+    spelt = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.substring(name, F.lit(1), at), F.substring(name, at, F.length(name)))).otherwise(name)
+    suffix = F.get(F.array(*map(F.lit, ("Road", "Street", "Drive"))), (F.col("p_partkey") % 3).cast("int"))
+    return t.part.select("p_partkey", F.concat(spelt, F.lit(" "), suffix).alias("street"))
 
 
 @query()
 def alias_cluster(t: Tables) -> DataFrame:
-    """O2, O3."""
-    d = _misspelt(t)
-    return entity.hardened(entity.clustered(d, "street"), d, "street")
+    """O2, O3: of names without their suffix; a test holds it against a plain loop."""
+    d = _misspelt(t).select(split_suffix("street")["base"].alias("base"))
+    return entity.hardened(entity.clustered(d, "base"), d, "base")
 
 
 @query()
 def unified_streets(t: Tables) -> DataFrame:
-    """O1, O4, O6, O7, T8."""
-    return entity.unified_streets(_misspelt(t), "street", "o_orderkey", 80)
-
-
-def _edges(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_quantity > 48").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b")).where(F.col("l_orderkey") % 23 == 0)
+    """O1, O4, O6, O7, T8; a test holds it against a plain loop."""
+    return entity.unified_streets(_misspelt(t), "street", "p_partkey", 80)
 
 
-_EDGES = "WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_quantity > 48 AND l_orderkey % 23 = 0)"
+def _part_suppliers(t: Tables) -> DataFrame:
+    return t.lineitem.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b"))
 
 
 @query(
-    _EDGES
-    + """
-, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(node, label) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, r.label FROM r JOIN u ON r.node = u.a),
-m AS (SELECT node, min(label) AS component FROM r GROUP BY 1)
-SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM m
+    """
+WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, label) USING KEY (node) AS (
+  SELECT a, min(a) FROM u GROUP BY a
+  UNION
+  SELECT u.b, min(r.label) FROM r JOIN u ON r.node = u.a JOIN recurring.r AS x ON x.node = u.b WHERE r.label < x.label GROUP BY u.b)
+SELECT node, label AS component, count(*) OVER (PARTITION BY label) AS size FROM r
 """
 )
 def components(t: Tables) -> DataFrame:
-    """P2."""
-    return graph.components(t.lineitem.where("l_quantity > 48 and l_orderkey % 23 = 0").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b")))
-
-
-def _path_edges(t: Tables) -> DataFrame:
-    k = F.col("c_custkey")
-    return t.customer.where("c_custkey < 400").select(k.cast("string").alias("a"), ((k * 7 + F.col("c_nationkey")) % 400).cast("string").alias("b")).union(t.customer.where("c_custkey < 400").select(k.cast("string"), ((k * 3 + 1) % 400).cast("string")))
+    """P2 over all edges."""
+    return graph.components(_part_suppliers(t))
 
 
 @query(
     """
-WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM (
-    SELECT CAST(c_custkey AS VARCHAR) AS a, CAST((c_custkey * 7 + c_nationkey) % 400 AS VARCHAR) AS b FROM customer WHERE c_custkey < 400
-    UNION ALL SELECT CAST(c_custkey AS VARCHAR), CAST((c_custkey * 3 + 1) % 400 AS VARCHAR) FROM customer WHERE c_custkey < 400)),
-r(source, at_node, path, n) AS (
-  SELECT CAST(s AS VARCHAR), CAST(s AS VARCHAR), [CAST(s AS VARCHAR)], 0 FROM range(3) x(s)
-  UNION ALL SELECT source, b, list_append(path, b), n + 1 FROM r JOIN e ON at_node = a WHERE n < 4 AND NOT list_contains(path, b)),
-k AS (SELECT source, at_node, n, path, row_number() OVER (PARTITION BY source, at_node ORDER BY n, path) AS nth FROM r WHERE CAST(at_node AS BIGINT) % 10 = 9 AND source <> at_node)
-SELECT source, at_node AS target, CAST(n AS INTEGER) AS length, array_to_string(path, '>') AS path FROM k WHERE nth = 1
+WITH RECURSIVE c AS (SELECT *, (SELECT max(c_custkey) + 1 FROM customer) AS n FROM customer),
+e AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS a, CAST(unnest([(c_custkey * 7 + c_nationkey) % n, (c_custkey * 3 + 1) % n]) AS VARCHAR) AS b FROM c),
+r(source, at_node, n, path) USING KEY (source, at_node) AS (
+  SELECT CAST(s AS VARCHAR), CAST(s AS VARCHAR), 0, [CAST(s AS VARCHAR)] FROM range(3) x(s)
+  UNION
+  SELECT r.source, e.b, min(r.n) + 1, min(list_append(r.path, e.b)) FROM r JOIN e ON r.at_node = e.a
+  LEFT JOIN recurring.r AS x ON x.source = r.source AND x.at_node = e.b WHERE x.source IS NULL AND r.n < 6 GROUP BY r.source, e.b)
+SELECT source, at_node AS target, CAST(n AS INTEGER) AS length, array_to_string(path, '>') AS path FROM r WHERE CAST(at_node AS BIGINT) % 10 = 9 AND source <> at_node
 """
 )
 def shortest_path(t: Tables) -> DataFrame:
-    """P3."""
+    """P3 over all customers' edges, from three sources to every tenth customer, to the default depth."""
+    k, n = F.col("c_custkey"), t.customer.agg((F.max("c_custkey") + 1).alias("n"))
+    c = t.customer.crossJoin(F.broadcast(n))  # one row
+    edges = c.select(k.cast("string").alias("a"), ((k * 7 + F.col("c_nationkey")) % F.col("n")).cast("string").alias("b")).union(c.select(k.cast("string"), ((k * 3 + 1) % F.col("n")).cast("string")))
     sources = t.spark.range(3).select(F.col("id").cast("string").alias("node"))
-    targets = t.spark.range(400).where("id % 10 = 9").select(F.col("id").cast("string").alias("node"))
-    return graph.shortest_paths(_path_edges(t), sources, targets, 4).withColumn("path", F.array_join("path", ">"))
+    targets = t.customer.where("c_custkey % 10 = 9").select(k.cast("string").alias("node"))
+    return graph.shortest_paths(edges, sources, targets).withColumn("path", F.array_join("path", ">"))
 
 
 @query("SELECT 's' || l_suppkey AS node, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1")
@@ -331,17 +331,17 @@ def producer_consumer(t: Tables) -> DataFrame:
 
 @query(
     """
-WITH n AS (SELECT 'dir' || (c_custkey % 7) || '/m' || c_custkey || '.py' AS node, c_custkey AS k FROM customer WHERE c_custkey < 300),
+WITH n AS (SELECT 'dir' || (c_custkey % 7) || '/m' || c_custkey || '.py' AS node, c_custkey AS k FROM customer),
 q AS (SELECT node AS a, CASE WHEN k % 2 = 0 THEN 'dir' || ((k + 1) % 7) || '/M' || (k + 1) || '.py' ELSE 'm' || (k * 2) || '.py' END AS ref FROM n)
 SELECT DISTINCT q.a, n.node AS b FROM q JOIN n ON lower(regexp_extract(q.ref, '([^/]+)$', 1)) = lower(regexp_extract(n.node, '([^/]+)$', 1)) WHERE q.a <> n.node
 """
 )
 def resolved_references(t: Tables) -> DataFrame:
-    """P1."""
-    k = F.col("c_custkey")
+    """P1 for all customers."""
+    k = F.col("k")
     name = lambda x, m="m": F.concat(F.lit("dir"), (x % 7).cast("string"), F.lit(f"/{m}"), x.cast("string"), F.lit(".py"))
-    n = t.customer.where("c_custkey < 300").select(name(k).alias("node"), k.alias("k"))
-    ref = F.when(F.col("k") % 2 == 0, name(F.col("k") + 1, "M")).otherwise(F.concat(F.lit("m"), (F.col("k") * 2).cast("string"), F.lit(".py")))
+    n = t.customer.select(name(F.col("c_custkey")).alias("node"), F.col("c_custkey").alias("k"))
+    ref = F.when(k % 2 == 0, name(k + 1, "M")).otherwise(F.concat(F.lit("m"), (k * 2).cast("string"), F.lit(".py")))
     return graph.resolved(n.select(F.col("node").alias("a"), ref.alias("ref")), n.select("node"))
 
 
@@ -357,86 +357,20 @@ def allow_list(t: Tables) -> DataFrame:
     return routing.allowed(routing.allowed(t.documents, "lang", ["EN", "fr"]), "source", ["SRC1"]).select("doc_id")
 
 
-@query("SELECT item_id, EXISTS (SELECT 1 FROM documents d WHERE strip_accents(lower(substr(d.text, 1, 3))) = strip_accents(lower(substr(b.text, 1, 3)))) AS duplicate FROM benchmark b")
+@query(f"SELECT item_id, {_CANON.format('b.text')} <> '' AND EXISTS (SELECT 1 FROM documents d WHERE {_CANON.format('d.text')} = {_CANON.format('b.text')}) AS duplicate FROM benchmark b")
 def benchmark_semi_gate(t: Tables) -> DataFrame:
-    """C5."""
-    key = fold(F.lower(F.substring("text", 1, 3))).alias("key")
-    return joins.gated(t.benchmark.select("item_id", key), t.documents.select(key), "key").select("item_id", "duplicate")
-
-
-# The whole tables, beside queries whose SQL is over a part of them.
-
-
-def _part_suppliers(t: Tables) -> DataFrame:
-    return t.lineitem.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b"))
-
-
-@query()
-def components_whole(t: Tables) -> DataFrame:
-    """P2 over all edges; a test holds it against union-find."""
-    return graph.components(_part_suppliers(t))
-
-
-@query()
-def shortest_path_whole(t: Tables) -> DataFrame:
-    """P3 over all customers' edges, to the default depth; a test holds it against a search by breadth."""
-    k, n = F.col("c_custkey"), t.customer.agg((F.max("c_custkey") + 1).alias("n"))
-    c = t.customer.crossJoin(F.broadcast(n))
-    edges = c.select(k.cast("string").alias("a"), ((k * 7 + F.col("c_nationkey")) % F.col("n")).cast("string").alias("b")).union(c.select(k.cast("string"), ((k * 3 + 1) % F.col("n")).cast("string")))
-    sources = t.spark.range(3).select(F.col("id").cast("string").alias("node"))
-    targets = t.customer.where("c_custkey % 10 = 9").select(k.cast("string").alias("node"))
-    return graph.shortest_paths(edges, sources, targets).withColumn("path", F.array_join("path", ">"))
-
-
-@query(
-    """
-WITH n AS (SELECT 'dir' || (c_custkey % 7) || '/m' || c_custkey || '.py' AS node, c_custkey AS k FROM customer),
-q AS (SELECT node AS a, CASE WHEN k % 2 = 0 THEN 'dir' || ((k + 1) % 7) || '/M' || (k + 1) || '.py' ELSE 'm' || (k * 2) || '.py' END AS ref FROM n)
-SELECT DISTINCT q.a, n.node AS b FROM q JOIN n ON lower(regexp_extract(q.ref, '([^/]+)$', 1)) = lower(regexp_extract(n.node, '([^/]+)$', 1)) WHERE q.a <> n.node
-"""
-)
-def resolved_references_whole(t: Tables) -> DataFrame:
-    """P1 for all customers."""
-    k = F.col("k")
-    name = lambda x, m="m": F.concat(F.lit("dir"), (x % 7).cast("string"), F.lit(f"/{m}"), x.cast("string"), F.lit(".py"))
-    n = t.customer.select(name(F.col("c_custkey")).alias("node"), F.col("c_custkey").alias("k"))
-    ref = F.when(k % 2 == 0, name(k + 1, "M")).otherwise(F.concat(F.lit("m"), (k * 2).cast("string"), F.lit(".py")))
-    return graph.resolved(n.select(F.col("node").alias("a"), ref.alias("ref")), n.select("node"))
-
-
-@query()
-def benchmark_semi_gate_whole(t: Tables) -> DataFrame:
-    """C5 on the canonical key of the whole text; a test holds it against brute force."""
+    """C5 on the canonical key of the whole text."""
     return joins.gated(t.benchmark.select("item_id", canon_text("text").alias("key")), t.documents.select(canon_text("text").alias("key")), "key").select("item_id", "duplicate")
 
 
 @query(
-    """
-WITH r AS (SELECT * FROM part WHERE p_partkey % 4 = 0),
-q AS (SELECT p_partkey AS id, p_brand, p_type, p_size FROM part WHERE p_partkey % 4 <> 0),
-m AS (
-  SELECT id, 1 AS tier, min(r.p_partkey) AS hit FROM q JOIN r USING (p_brand, p_type, p_size) GROUP BY 1
-  UNION ALL SELECT id, 2, min(r.p_partkey) FROM q JOIN r USING (p_brand, p_type) GROUP BY 1
-  UNION ALL SELECT id, 3, min(r.p_partkey) FROM q JOIN r USING (p_brand) GROUP BY 1)
-SELECT q.id, arg_min(tier, tier) AS tier, arg_min(hit, tier) AS hit FROM q LEFT JOIN m ON q.id = m.id GROUP BY q.id
+    f"""
+WITH l AS (SELECT text FROM documents UNION ALL SELECT unnest(string_split(text, chr(10))) FROM documents),
+k AS (SELECT DISTINCT {_CANON.format('l.text')} AS key FROM l)
+SELECT conv_id, turn, EXISTS (SELECT 1 FROM k WHERE key = {_CANON.format('c.text')} AND key <> '') AS duplicate FROM conversations c
 """
 )
-def tiered_lookup_whole(t: Tables) -> DataFrame:
-    """C9, N3, N5, O8 for every part that is not in the reference."""
-    r = t.part.where("p_partkey % 4 = 0").withColumn("hit", F.col("p_partkey"))
-    q = t.part.where("p_partkey % 4 <> 0").withColumnRenamed("p_partkey", "id")
-    keys = (["p_brand", "p_type", "p_size"], ["p_brand", "p_type"], ["p_brand"])
-    return joins.tiered(q, "id", [(r, k) for k in keys], ["hit"], ["p_partkey"]).select("id", "tier", "hit")
-
-
-@query(
-    """
-SELECT p_partkey, CAST(x.nth AS INTEGER) AS nth, CAST(p_size + x.d AS INTEGER) AS probe
-FROM part, (SELECT d, CASE WHEN d < 0 THEN -2 * d - 1 ELSE 2 * d END AS nth FROM range(-5, 6) r(d)) x WHERE p_size + x.d > 0
-"""
-)
-def neighbour_probes_whole(t: Tables) -> DataFrame:
-    """I9, N6 for all parts at the default reach."""
-    d = t.part.select("p_partkey", F.col("p_size").alias("num"), F.explode(neighbours("p_size")).alias("probe"))
-    away = F.col("probe") - F.col("num")
-    return d.select("p_partkey", F.when(away < 0, -2 * away - 1).otherwise(2 * away).cast("int").alias("nth"), "probe")
+def turns_gate(t: Tables) -> DataFrame:
+    """Turns of conversations that a document, or a line of one, says as well."""
+    lines = t.documents.select("text").unionByName(t.documents.select(F.explode(F.split("text", "\n")).alias("text")))
+    return joins.gated(t.conversations.select("conv_id", "turn", canon_text("text").alias("key")), lines.select(canon_text("text").alias("key")), "key").select("conv_id", "turn", "duplicate")

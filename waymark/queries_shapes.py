@@ -184,7 +184,7 @@ def props_json(t: Tables) -> DataFrame:
     """
 SELECT o_orderkey AS address, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'a' || o_orderkey END AS label, CAST(o_orderkey AS DOUBLE) AS lat,
        CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_custkey AS DOUBLE) END AS lon, CASE WHEN o_orderkey % 3 = 2 THEN '0610' ELSE '' END AS postcode, o_orderkey % 5 <> 0 AS found
-FROM orders WHERE o_orderkey < 600
+FROM orders
 """
 )
 def cache_json_parse(t: Tables) -> DataFrame:
@@ -192,22 +192,6 @@ def cache_json_parse(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     lon = F.when(k % 5 == 0, "").otherwise(F.col("o_custkey").cast("string"))
     parts = F.when(k % 3 == 0, F.array(k.cast("string"), lon)).when(k % 3 == 1, F.array(F.concat(F.lit("a"), k.cast("string")), k.cast("string"), lon)).otherwise(F.array(F.concat(F.lit("a"), k.cast("string")), k.cast("string"), lon, F.lit("0610")))
-    d = t.orders.where("o_orderkey < 600").select(k.alias("address"), files.hit_of(F.from_json(F.to_json(parts), "array<string>")).alias("h"))
-    return d.select("address", "h.*", files.is_hit(F.col("h")).alias("found"))
-
-
-@query(
-    """
-SELECT o_orderkey AS address, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'a' || o_orderkey END AS label, CAST(o_orderkey AS DOUBLE) AS lat,
-       CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_custkey AS DOUBLE) END AS lon, CASE WHEN o_orderkey % 3 = 2 THEN '0610' ELSE '' END AS postcode, o_orderkey % 5 <> 0 AS found
-FROM orders
-"""
-)
-def cache_json_parse_whole(t: Tables) -> DataFrame:
-    """A8, L4, T22 for all orders, beside the query whose SQL is over a part of them."""
-    k = F.col("o_orderkey")
-    lon = F.when(k % 5 == 0, "").otherwise(F.col("o_custkey").cast("string"))
-    parts = F.when(k % 3 == 0, F.array(k.cast("string"), lon)).when(k % 3 == 1, F.array(F.concat(F.lit("a"), k.cast("string")), k.cast("string"), lon)).otherwise(F.array(F.concat(F.lit("a"), k.cast("string")), k.cast("string"), lon, F.lit("0610")))
     d = t.orders.select(k.alias("address"), files.hit_of(F.from_json(F.to_json(parts), "array<string>")).alias("h"))
     return d.select("address", "h.*", files.is_hit(F.col("h")).alias("found"))
 
