@@ -18,8 +18,8 @@ Prefix-free parsing, dealt out over a cluster:
 5. Repeats go back along the parse to the texts, where covered bytes are merged and cut.
 
 A trigger shared by very many phrases (a common line in changing surroundings) is split further by the triggers
-of other hash functions, which again depend on the window alone. Phrases and triggers are compared by hashes of
-64 bits each, 128 in all; suffixes by their bytes.
+of other hash functions, which again depend on the window alone. Whole phrases are compared by their XXH3 hashes and
+those of their triggers, two functions of 64 bits each; suffixes by their bytes.
 
 Defined results: a null text is empty; texts under 200 bytes are kept whole; repeated rows are repeats of each other;
 ``doc_id`` may be null or repeat; an empty table gives no rows.
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,9 +68,6 @@ class Rolling:
         np.cumsum(self.table[data] * self.up[: len(data)], out=out[1:], dtype=np.uint64)
         return out
 
-    def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((sums[end] - sums[start]) * self.down[start])
-
     def grams(self, sums: np.ndarray) -> np.ndarray:
         n = len(sums) - GRAM
         return _mixed((sums[GRAM:] - sums[:n]) * self.down[:n])
@@ -100,12 +98,11 @@ def _function(level: int) -> Rolling:
     return _functions.setdefault(level, Rolling(1000 + level))
 
 
-def _triggers(data: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the windows of ``data``: their triggers; the hash at each byte; the sums that give hashes of its parts."""
+def _triggers(data: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows of ``data``: their triggers; and the hash at each byte."""
     f = _function(level)
-    sums = f.sums(data)
-    grams = f.grams(sums)
-    return _least(grams, WIDTH), grams, sums
+    grams = f.grams(f.sums(data))
+    return _least(grams, WIDTH), grams
 
 
 def _several(grams: np.ndarray, trigger: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -123,7 +120,7 @@ def _several(grams: np.ndarray, trigger: np.ndarray, start: np.ndarray, size: np
 def _phrases(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of joined texts that start at ``bounds``: text, place in ``data``, windows, trigger and hash of each phrase, and
     whether it holds its trigger more than once."""
-    trigger, grams, sums = _triggers(data, 0)
+    trigger, grams = _triggers(data, 0)
     new = np.ones(len(trigger), bool)
     new[1:] = trigger[1:] != trigger[:-1]
     whole = np.zeros(len(trigger) + 1, np.int64)  # windows that lie in one text
@@ -143,7 +140,8 @@ def _phrases(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         size = np.diff(np.append(start, len(trigger)))
     start, size = start[whole[start]], size[whole[start]]
     text = np.searchsorted(bounds, start, side="right") - 1
-    phrase = _function(0).of(sums, start, start + size + WINDOW - 1)
+    raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+    phrase = np.fromiter((digest(raw[a:b]) for a, b in zip(start.tolist(), (start + size + WINDOW - 1).tolist(), strict=True)), np.uint64, len(start))
     return text, start, size, trigger[start].view(np.int64), phrase.view(np.int64), _several(grams, trigger, start, size)
 
 
