@@ -3,12 +3,15 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -48,18 +51,56 @@ def in_order(rows, texts):
     return [next(r for r in rows if r.doc_id == (None if i == 3 else i)) for i in range(len(texts))]
 
 
-def test_repeats(spark, docs, texts):
-    body = [(t or "").encode() for t in texts]
-    times = Counter(b[i : i + 200] for b in body for i in range(len(b) - 199))
-    got = in_order(repeats.removed(docs).collect(), texts)
-    for b, r in zip(body, got, strict=True):
+def _without_repeats(body):
+    """Length, removed bytes, spans and digest of each text, by brute force."""
+    times = Counter(hash(b[i : i + 200]) for b in body for i in range(len(b) - 199))
+    out = []
+    for b in body:
         gone = bytearray(len(b))
         for i in range(len(b) - 199):
-            if times[b[i : i + 200]] > 1:
+            if times[hash(b[i : i + 200])] > 1:
                 gone[i : i + 200] = b"\1" * 200
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        spans = len(re.findall(b"\1+", bytes(gone)))
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        out.append((len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def _removed(rows):
+    return [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows]
+
+
+def test_repeats(spark, docs, texts):
+    assert _removed(in_order(repeats.removed(docs).collect(), texts)) == _without_repeats([(t or "").encode() for t in texts])
+
+
+def test_repeats_in_very_long_texts(spark):
+    """Texts beyond a block, phrases beyond the longest, repeats across a block's end."""
+    rng = random.Random(6)
+    noise = lambda n: f"{rng.getrandbits(4 * n):0{n}x}"
+    passage = noise(700)
+    long = noise(repeats.BLOCK - 350) + passage + noise(90_000)
+    rows = [long, noise(900) + passage[100:600] + noise(50), "x" * 3 * repeats.LONGEST, noise(300) + "x" * 5000 + noise(200), "ab" * 6000 + "c", noise(250), long[5000:5400], None]
+    got = repeats.removed(made(spark, rows, 10).repartition(4)).collect()
+    got = [next(r for r in got if r.doc_id == (None if i == 3 else i + 10)) for i in range(len(rows))]
+    assert _removed(got) == _without_repeats([(t or "").encode() for t in rows])
+
+
+def test_dictionary_beyond_one_sort():
+    """Groups of more than ``SORTED`` bytes go through several sorts and none is torn."""
+    rng = random.Random(8)
+    rows, at = [], 0
+    for g in range(900):
+        stem = rng.randbytes(2400)
+        for ph in range(2):  # they share all but their last bytes
+            data = stem + bytes([ph]) + rng.randbytes(59)
+            rows.append((g, g, 2 * g + ph, 1, 0, len(data) - 199, data))
+            at += len(data)
+    assert at > 2 * repeats.SORTED
+    names = ["g", "v", "ph", "c", "at", "n", "data"]
+    columns = list(zip(*rows, strict=True))
+    table = pa.Table.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], names=names)
+    out = [r for b in repeats._sorted_repeats(iter(table.to_batches(max_chunksize=333))) for r in b.to_pylist()]
+    assert sorted((r["ph"], r["a"], r["b"]) for r in out) == [(ph, 0, 2400) for ph in range(1800)]
 
 
 def test_repeats_of_a_very_common_line(spark):
@@ -183,6 +224,43 @@ def test_targets_and_flow():
     assert mixing.targets({"a": 0}) == {"a": 0}
 
 
+def test_overlapping_sources(spark):
+    """Patterns of one and two sources: words go by the flow, each source gets its target, nothing more often than needed."""
+    rng = random.Random(7)
+    rows = [(i if i % 50 else None, " ".join("w" * 3 for _ in range(rng.randint(1, 30))) + f" t{i}", rng.choice((["a"], ["a", "b"], ["b", "c"], ["c"], ["b", "a"]))) for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
+    got = mixing.mixed(d).collect()
+    sizes, have = defaultdict(int), defaultdict(int)
+    for _, t, s in rows:
+        have[frozenset(s)] += len(t.split())
+        for x in s:
+            sizes[x] += len(t.split())
+    wanted = {s: int(t + Fraction(1, 2)) for s, t in mixing.targets(dict(sizes)).items()}
+    gives = mixing.flow(dict(have), wanted)
+    assert len(got) == 900 and all(0 <= r.taken <= 2 * r.size for r in got)
+    cuts = [frozenset(c) for n in range(4) for c in combinations("abc", n)]
+    assert sum(gives.values()) == min(sum(wanted[s] for s in cut) + sum(2 * n for p, n in have.items() if not p <= cut) for cut in cuts)  # the largest flow
+    sized, table = mixing.planned(d)
+    taken = defaultdict(int)
+    for r in sized.join(table, "pattern").withColumn("n", F.col("size") * mixing.copies()).collect():
+        taken[frozenset(r.sources)] += r.n
+    assert all(abs(taken[p] - gives[p]) <= 31 for p in gives)  # to the nearest document
+    mixing.MOST_PATTERNS, most = 3, mixing.MOST_PATTERNS
+    try:
+        with pytest.raises(ValueError):
+            mixing.planned(d)
+    finally:
+        mixing.MOST_PATTERNS = most
+
+
+def test_rows_without_an_id_are_apart(spark):
+    d = spark.createDataFrame([(None, f"word {i} again", ["s" if i % 10 else "t"]) for i in range(400)], "doc_id long, text string, sources array<string>")
+    got = mixing.mixed(d).collect()
+    for s in {r.source_size for r in got}:
+        mine = [r for r in got if r.source_size == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 3
+
+
 def test_mixture_repeats_documents(spark, docs):
     plan = {r.doc_id: r for r in mixing.mixed(docs.withColumn("sources", F.array("source"))).collect()}
     out = Counter(r.doc_id for r in mixing.sampled(docs).collect())
@@ -267,15 +345,30 @@ def test_topk(spark):
 
 def test_lists_stop_early():
     rng = np.random.default_rng(1)
-    x = np.abs(rng.normal(0, 1, (5000, 3)) ** 5 * 100).astype(np.int64)
-    lists, q = topk.Lists(x), np.array([[3, 1, 2], [-1, -1, -2], [1, 0, -5]])
-    left, depth = lists.best(q, 5, 64, np.array([-1, 7, -1]))
-    assert depth[0] < len(x) and len(left[0]) <= 64
-    for i in range(3):
-        score = x @ q[i]
-        if i == 1:
-            score[7] = score.min() - 1
-        assert set(np.flatnonzero(score >= np.sort(score)[-5])) <= set(left[i])
+    for x, most in ((np.abs(rng.normal(0, 1, (5000, 3)) ** 5 * 100).astype(np.int64), 0.5), (np.floor(rng.normal(0, 32, (6000, 64))).astype(np.int64), 0.95)):
+        lists, d = topk.Lists(x), x.shape[1]
+        for query, own in ((x[9], 9), (np.resize([3, 1, 2], d), -1), (np.resize([-1, -1, -2], d), 7), (np.resize([1, 0, -5], d), -1), (np.zeros(d, np.int64), -1)):
+            left, share = lists.best(query, 5, 64, own)
+            score = x @ query
+            if own >= 0:
+                score[own] = score.min() - 1
+            assert set(np.flatnonzero(score >= np.sort(score)[-5])) <= set(left)
+            if query.max() > 0:  # else the best are ties at nothing
+                assert len(left) <= 64 and share < most
+
+
+def test_topk_of_hot_vectors_empty_ones_and_clashing_columns(spark):
+    """A third of all rows is one vector: ties go to the smaller ids."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [3.0, -4.0, 5.0] if i % 3 == 0 else rng.integers(-5, 5, 3).astype(float).tolist(), i) for i in range(600)] + [(1000, [], 0), (1050, [], 0), (1001, [], 0)]
+    d = spark.createDataFrame(rows, "vec_id long, x array<double>, row long").withColumns({"width": F.lit("w"), "qb": F.lit(1), "cb": F.lit(2)})
+    got = defaultdict(list)
+    for r in sorted(topk.top(d, F.col("vec_id") % 50 == 0, block=128, query_block=4).collect(), key=lambda r: r.rank):
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got[1000] == [(1001, 0), (1050, 0)] and got[1050] == [(1000, 0), (1001, 0)]
+    for i in range(0, 600, 50):
+        best = sorted((-int(np.dot(v, rows[i][1])), j) for j, v, _ in rows[:600] if j != i)[:5]
+        assert got[i] == [(j, -s) for s, j in best]
 
 
 def test_lines(docs, texts):
@@ -556,8 +649,29 @@ def test_field_reads_long_rows_of_numbers():
         for n in numbers:
             spans.add((at, at + len(n), kind))
             at += len(n) + 1
-        stretch = pii._STRETCH.search(text)
-        assert (stretch.start(), stretch.end()) == (0, len(text))
-        bounds, segments = pii._lattice(text, *stretch.span())
+        assert pii.stretches(text) == [(0, len(text))]
+        bounds, segments = pii._lattice(text, 0, len(text))
         assert spans <= {(bounds[i], bounds[j], k) for i, j, k, _ in segments}
         assert all(0 <= a < b <= len(text) for a, b, _ in pii.added(text, [], w))
+
+
+def test_personal_data_in_very_long_texts(spark):
+    """A megabyte of each kind of text takes seconds, and what stands in it is found."""
+    n = 1_000_000
+    parts = ["a" * n, "1" * n, "." * n, "a1" * (n // 2), "a." * (n // 2), "1 2 3 " * (n // 6), "12-34-" * (n // 6), "1." * (n // 2), "a@" * (n // 2), "(at)" * (n // 4), "+1(" * (n // 3), "555-234-1000 " * (n // 13), "a@b.cc " * (n // 7), " " * n, "4539 1488 0343 6467 " * (n // 20), "x.y-" * (n // 4) + "@b.cc"]
+    end = " Call (555) 234-1000 or write joe [at] example [dot] org, mail b@c.de"
+    w = pii.weights()
+    for part in parts:
+        began = time.perf_counter()
+        text = part + end
+        fixed = pii.base(text)
+        spans = {(text[a:b], k) for a, b, k in fixed + pii.added(text, fixed, w)}
+        assert ("b@c.de", 0) in spans and ("joe [at] example [dot] org", 0) in spans, part[:20]
+        assert time.perf_counter() - began < 20, part[:20]
+    row = pii.found(made(spark, ["word" * 300_000 + end], 1)).first()
+    assert row.n_email == 1 and row.n_added >= 2
+
+
+def test_long_emails_are_candidates():
+    text = "write john.smith [at] mail.example [dot] co [dot] uk now"
+    assert [text[a:b] for a, b, k in pii.added(text, [], pii.weights()) if k == 0] == ["john.smith [at] mail.example [dot] co [dot] uk"]
