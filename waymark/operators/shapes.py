@@ -18,11 +18,16 @@ Ring = np.ndarray
 RINGS = "struct<x:double,y:double>"
 
 
-def area(ring: Ring) -> float:
+def signed_area(ring: Ring) -> float:
+    """Positive if the ring runs anticlockwise."""
     if len(ring) < 3:
         return 0.0
     a, b = ring, np.roll(ring, -1, axis=0)
-    return float(abs(np.sum(a[:, 0] * b[:, 1] - b[:, 0] * a[:, 1])) / 2)
+    return float(np.sum(a[:, 0] * b[:, 1] - b[:, 0] * a[:, 1]) / 2)
+
+
+def area(ring: Ring) -> float:
+    return abs(signed_area(ring))
 
 
 def hull(points: Ring) -> Ring:
@@ -254,3 +259,36 @@ def hulls(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
     schema = "key string, place long, x double, y double"
     parts = p.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(64))).groupBy("key", "part").applyInPandas(thin, schema)
     return parts.groupBy("key").applyInPandas(thin, schema)
+
+
+def banded(points: DataFrame, key: str, x: str, y: str, parts: int) -> DataFrame:
+    """Each key's hull in ``parts`` of equal area across the axis of most spread (K9): ``key``, ``band``, ``ring``. The axis is an
+    aggregate (D20) and the hull is thinned first, so no task gets all points of a key."""
+    p = points.select(F.col(key).cast("string").alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    spread = p.groupBy("key").agg(F.var_pop("x").alias("sxx"), F.covar_pop("x", "y").alias("sxy"), F.var_pop("y").alias("syy"))
+    angle = 0.5 * F.atan2(2 * F.col("sxy"), F.col("sxx") - F.col("syy"))
+    ringed = hulls(p, "key", "x", "y").join(spread.select("key", angle.alias("angle")), "key")
+
+    def cut(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("place")
+        ring, t = g[["x", "y"]].to_numpy(), float(g["angle"].iloc[0])
+        pieces = bands(ring, parts, (math.cos(t), math.sin(t))) if len(ring) > 2 else []
+        return pd.DataFrame({"key": [g["key"].iloc[0]] * len(pieces), "band": np.arange(len(pieces), dtype=np.int64), "ring": [[{"x": float(a), "y": float(b)} for a, b in r] for r in pieces]})
+
+    return ringed.groupBy("key").applyInPandas(cut, f"key string, band long, ring array<{RINGS}>")
+
+
+def reduced(areas: DataFrame, size_of: Callable[[Ring], int], budget: int, farthest: float = 5.0, most: float = 50.0) -> DataFrame:
+    """Areas (``name``, ``ring``, in metres) whose rings are simplified to ``budget`` bytes (K16), with ``bytes`` and the ``distance`` from the
+    original."""
+
+    def work(batches):
+        for batch in batches:
+            rows = []
+            for name, held in zip(batch["name"], batch["ring"], strict=True):
+                ring = np.array([(p["x"], p["y"]) for p in held], float).reshape(-1, 2)
+                new = within_budget(ring, size_of, budget, farthest, most)
+                rows.append((name, [{"x": float(a), "y": float(b)} for a, b in new], size_of(new), 0.0 if len(new) == len(ring) else hausdorff(ring, new)))
+            yield pd.DataFrame(rows, columns=["name", "ring", "bytes", "distance"])
+
+    return areas.select("name", "ring").mapInPandas(work, f"name string, ring array<{RINGS}>, bytes long, distance double")

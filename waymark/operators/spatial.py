@@ -15,6 +15,7 @@ from waymark import rank
 from waymark.functions import geo
 from waymark.operators.aggregates import pulled
 from waymark.operators.joins import nearest_number
+from waymark.stage import cut
 
 
 def _cell(x: Column, size: float) -> Column:
@@ -37,16 +38,32 @@ def containing(points: DataFrame, areas: DataFrame, x: str, y: str, size: float
     return inside.withColumn("edge", geo.edge_distance(F.col(x), F.col(y), F.col("ring"))).drop("_cx", "_cy", "_b", "ring")
 
 
-def nearest(points: DataFrame, areas: DataFrame, row_id: str, x: str, y: str) -> DataFrame:
+def nearest(points: DataFrame, areas: DataFrame, row_id: str, x: str, y: str, size: float = 0.05) -> DataFrame:
     """``area`` and ``edge`` of the area whose border is nearest to each point (C16), ties by name.
 
-    Every point is held against every area, which are few and whose rings come as one array; give only points that
-    lie in none.
+    Points meet areas through cells of a grid again, whose cells are as wide as the search reaches: an area is listed under
+    the cells round its bounds too. Points whose nearest border is farther go into the next round, four times as wide, until the
+    reach is that of all points and areas together.
     """
-    table = areas.where("size(ring) >= 2").groupBy("name").agg(F.collect_list("ring").alias("rings"))
-    far = points.select(row_id, x, y).join(table, F.lit(True)).withColumn("edge", F.array_min(F.transform("rings", lambda r: geo.edge_distance(F.col(x), F.col(y), r))))
-    best = far.groupBy(row_id).agg(F.min(F.struct("edge", "name")).alias("b"))
-    return points.join(best.select(row_id, F.col("b.name").alias("area"), F.col("b.edge").alias("edge")), row_id, "left")
+    held = areas.where("size(ring) >= 2").select("name", "ring", geo.bounds(F.col("ring")).alias("_b"))
+    left = cut(points.select(row_id, F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null"))
+    spans = held.select(F.col("_b.west").alias("x"), F.col("_b.south").alias("y")).unionByName(held.select(F.col("_b.east").alias("x"), F.col("_b.north").alias("y"))).unionByName(left.selectExpr("_x as x", "_y as y"))
+    whole = spans.agg((F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("reach")).first().reach or 0.0
+    reach, found = size, None
+    while True:
+        span = lambda lo, hi: F.explode(F.sequence(_cell(F.col(lo) - reach, reach), _cell(F.col(hi) + reach, reach)))  # noqa: B023, E731
+        listed = held.withColumn("_cx", span("_b.west", "_b.east")).withColumn("_cy", span("_b.south", "_b.north"))
+        near = left.withColumns({"_cx": _cell(F.col("_x"), reach), "_cy": _cell(F.col("_y"), reach)}).join(listed, ["_cx", "_cy"])
+        near = near.select(row_id, geo.edge_distance(F.col("_x"), F.col("_y"), F.col("ring")).alias("edge"), "name").where(F.col("edge") <= reach)
+        best = cut(near.groupBy(row_id).agg(F.min(F.struct("edge", "name")).alias("b")))
+        found = best if found is None else found.unionByName(best)
+        if reach > whole:
+            break
+        left = cut(left.join(best, row_id, "left_anti"))
+        if left.isEmpty():
+            break
+        reach *= 4
+    return points.join(found.select(row_id, F.col("b.name").alias("area"), F.col("b.edge").alias("edge")), row_id, "left")
 
 
 def deepest(points: DataFrame, areas: DataFrame, row_id: str, x: str, y: str, size: float = 0.05) -> DataFrame:
@@ -61,7 +78,7 @@ def assigned(points: DataFrame, areas: DataFrame, row_id: str, x: str, y: str, s
     inside = containing(points.select(row_id, x, y), areas, x, y, size).groupBy(row_id).agg(F.sort_array(F.collect_set("area")).alias("areas"))
     d = points.join(inside, row_id, "left")
     outside = d.where(F.col("areas").isNull() & F.col(x).isNotNull() & F.col(y).isNotNull()).select(row_id, x, y)
-    near = nearest(outside, areas, row_id, x, y).select(row_id, F.array("area").alias("_near"))
+    near = nearest(outside, areas, row_id, x, y, size).select(row_id, F.array("area").alias("_near"))
     d = d.join(near, row_id, "left")
     kind = F.when(F.size("areas") == 1, "IN").when(F.size("areas") > 1, "BORDER").when(F.col("_near").isNotNull(), "NEAREST")
     return d.withColumn("kind", kind).withColumn("areas", F.coalesce("areas", "_near")).drop("_near")
@@ -80,7 +97,7 @@ def settled(points: DataFrame, areas: DataFrame, adjacent: DataFrame, row_id: st
     one = F.when(F.size("areas") == 1, F.get("areas", F.lit(0)))
     d = d.withColumns({"area": one, "kind": F.when(F.size("areas") == 1, "IN").when(F.size("areas") > 1, "BORDER")})
     outside = d.where(F.col("areas").isNull() & F.col(x).isNotNull()).select(row_id, x, y)
-    near = nearest(outside, areas.select("name", "ring"), row_id, x, y).select(row_id, F.col("area").alias("_near"))
+    near = nearest(outside, areas.select("name", "ring"), row_id, x, y, size).select(row_id, F.col("area").alias("_near"))
     d = d.join(near, row_id, "left").withColumns({"area": F.coalesce("area", "_near"), "kind": F.coalesce("kind", F.when(F.col("_near").isNotNull(), "NEAREST"))}).drop("_near")
     before = d.withColumn("_was", F.col("area"))
     d = nearest_number(before, row_id, street, number, "area").withColumn("kind", F.when(F.col("_was").isNull() & F.col("area").isNotNull(), "NUMBER").otherwise(F.col("kind"))).drop("_was")

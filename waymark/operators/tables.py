@@ -89,3 +89,8 @@ def searched(df: DataFrame, value: str, query: str, row_id: str, most: int = 100
     cut = F.substring(F.lit(q), F.lit(1), F.col("_n"))
     tier = F.when((F.col("_n") > 0) & t.startswith(cut), 1).when(F.contains(F.concat(F.lit(" "), t), F.lit(" " + q)), 2).when(F.contains(t, F.lit(q)), 3)
     return held.withColumn("tier", tier).where("tier is not null").drop("_n").orderBy("tier", row_id).limit(most)
+
+
+def examples(df: DataFrame, order: Sequence[Column | str], most: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The number of rows (``n``), and the first ``most`` of them for a report."""
+    return df.agg(F.count(F.lit(1)).alias("n")), df.orderBy(*order).limit(most)

@@ -12,6 +12,7 @@ from waymark.functions import numbers, text
 from waymark.functions.geo import Box, unswapped
 from waymark.operators import aggregates, entity, joins, routing, tables
 from waymark.operators.routing import Vocabulary, first_set
+from waymark.plans import places
 from waymark.stage import cut
 
 
@@ -29,6 +30,9 @@ class Config:
     note_phrases: Sequence[str] = ()
     unify: bool = True
     dominance: bool = True
+    settle: bool = True
+    verify: bool = False
+    retry: bool = True
     keep_status: bool = False
 
 
@@ -76,9 +80,20 @@ def with_points(d: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 
 def scheduler(rows: DataFrame, gazetteer: DataFrame, config: Config) -> DataFrame:
-    """The scheduler's flow (O10): every row once, with ``Final Status`` and ``route``. ``rows`` have a unique ``_row_id``."""
-    d = cut(with_points(cut(unified(cut(prepared(rows, config)), config)), gazetteer))
+    """The scheduler's flow (O10): every row once, with ``Final Status`` and ``route``. ``rows`` have a unique ``_row_id``.
+
+    Text and numbers are put right, streets and suburbs unified, conflicting suburbs settled by where rows lie (O5), coordinates
+    verified or filled (N6), rows classified, failed ones retried (N5) and reclassified, duplicates found, and the rest written
+    out; areas are assigned by :func:`waymark.operators.spatial.settled` on the result.
+    """
+    d = cut(unified(cut(prepared(rows, config)), config))
+    if config.settle:
+        d = cut(places.suburbs_settled(d, gazetteer, config.box, config.postcodes).drop("settled"))
+    d = cut(places.verified_or_filled(d, gazetteer, config.box, config.verify))
     d = routing.classified(d, config.words, F.col("_lat").isNotNull())
+    if config.retry:
+        failed = routing.is_retryable("Final Status", "Status", config.words) & ~text.blank("Number") & ~text.blank("Street")
+        d = cut(places.retried(d, gazetteer, config.box, failed, "Final Status"))
     d = routing.reclassified(d, "Final Status", "Status", config.words)
     d = routing.routed(d, "Final Status", words=config.words)
     d = d.withColumn("_key", F.when(F.col("route") == "clean", numbers.address_key(F.lit(""), "Number", "Street", "Suburb")).otherwise(""))

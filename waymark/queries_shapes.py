@@ -13,6 +13,7 @@ from waymark.operators import shapes, spatial
 from waymark.operators.routing import cascade
 from waymark.plans import cleaning
 from waymark.sources import files, geocoders, geodata
+from waymark.stage import folder
 from waymark.streaming import submissions
 
 #: Areas that overlap, touch and leave gaps: name, suburb, points.
@@ -76,7 +77,25 @@ def assign_in_border_nearest(t: Tables) -> DataFrame:
     return spatial.assigned(_points(t), _areas(t), "vec_id", "x", "y").select("vec_id", "kind", F.array_join("areas", ",").alias("areas"))
 
 
-@query()
+@query(
+    _INSIDE
+    + """
+, q AS (SELECT vec_id, vec_id % 25 AS street, vec_id % 60 AS num, CASE WHEN vec_id % 2 = 0 THEN 'west' ELSE 'north' END AS own, vec_id % 9 <> 0 AS placed FROM embeddings),
+i AS (
+  SELECT vec_id, name, CASE WHEN own = suburb THEN 1 WHEN own = 'west' AND suburb = 'east' THEN 2 ELSE 3 END AS pass FROM d JOIN q USING (vec_id) WHERE inside AND placed),
+f AS (SELECT vec_id, list(name ORDER BY name) AS areas FROM i WHERE (vec_id, pass) IN (SELECT vec_id, min(pass) FROM i GROUP BY 1) GROUP BY 1),
+e AS (SELECT vec_id, arg_min(name, (edge, name)) AS near FROM d GROUP BY 1),
+u AS (
+  SELECT q.*, areas, CASE WHEN len(areas) = 1 THEN areas[1] WHEN areas IS NULL AND placed THEN near END AS area,
+         CASE WHEN len(areas) = 1 THEN 'IN' WHEN len(areas) > 1 THEN 'BORDER' WHEN placed THEN 'NEAREST' END AS kind
+  FROM q LEFT JOIN f USING (vec_id) LEFT JOIN e USING (vec_id)),
+k AS (SELECT u.vec_id, arg_min(b.area, (abs(u.num - b.num), b.vec_id)) AS by_number FROM u JOIN u b ON u.street = b.street AND b.area IS NOT NULL WHERE u.area IS NULL GROUP BY 1),
+n AS (SELECT u.* EXCLUDE (area, kind), coalesce(area, by_number) AS area, CASE WHEN area IS NULL AND by_number IS NOT NULL THEN 'NUMBER' ELSE kind END AS kind FROM u LEFT JOIN k USING (vec_id)),
+c AS (SELECT street, area, count(*) AS n, min(vec_id) AS first, sum(count(*)) OVER (PARTITION BY street) AS total FROM n WHERE kind = 'IN' GROUP BY 1, 2),
+l AS (SELECT street, area AS lead FROM (SELECT *, row_number() OVER (PARTITION BY street ORDER BY n DESC, first) AS nth FROM c) WHERE nth = 1 AND n >= 3 AND n >= 0.6 * total)
+SELECT vec_id, kind, coalesce(CASE WHEN kind = 'IN' THEN area ELSE coalesce(lead, area) END, array_to_string(areas, '_')) AS area FROM n LEFT JOIN l USING (street)
+"""
+)
 def settled_areas(t: Tables) -> DataFrame:
     """K6."""
     beside = t.spark.createDataFrame([("west", "east")], "suburb string, beside string")
@@ -144,29 +163,52 @@ def bounds_join(t: Tables) -> DataFrame:
     return spatial.by_cells(b.where("vec_id % 2 = 0"), b.where("vec_id % 2 = 1"), [], 0.1).select(F.col("vec_id").alias("a"), F.col("r_vec_id").alias("b"))
 
 
-@query()
+_HULL = """
+WITH p AS (SELECT DISTINCT CAST(label AS VARCHAR) AS key, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+-- a point is a corner if all others lie within less than half a turn, seen from it
+g AS (SELECT a.key, a.x, a.y, atan2(b.y - a.y, b.x - a.x) AS t FROM p a JOIN p b ON a.key = b.key AND (a.x, a.y) <> (b.x, b.y)),
+s AS (SELECT *, coalesce(lead(t) OVER w, first(t) OVER (PARTITION BY key, x, y ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) + 2 * pi()) - t AS gap FROM g WINDOW w AS (PARTITION BY key, x, y ORDER BY t)),
+c AS (SELECT key, x, y FROM s GROUP BY ALL HAVING max(gap) > pi()),
+m AS (SELECT key, avg(x) AS mx, avg(y) AS my, min(x) AS x0 FROM c GROUP BY 1),
+o AS (SELECT key, x, y, atan2(y - my, x - mx) AS t, first(atan2(y - my, x - mx)) OVER (PARTITION BY key ORDER BY x, y) AS t0 FROM c JOIN m USING (key)),
+h AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN t >= t0 THEN t - t0 ELSE t - t0 + 2 * pi() END) - 1 AS place, x, y FROM o),
+z AS (SELECT a.key, sum(a.x * b.y - b.x * a.y) / 2 AS area FROM h a JOIN h b ON a.key = b.key AND b.place = (a.place + 1) % (SELECT count(*) FROM h c WHERE c.key = a.key) GROUP BY 1)
+"""
+
+
+@query(_HULL + "SELECT key, place, round(x, 9) AS x, round(y, 9) AS y FROM h")
 def hulls(t: Tables) -> DataFrame:
     """K7."""
     return shapes.hulls(t.embeddings.select("label", F.element_at("embedding", 1).alias("x"), F.element_at("embedding", 2).alias("y")), "label", "x", "y").select("key", "place", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
-@query()
+def _by_label(t: Tables) -> DataFrame:
+    return t.embeddings.select(F.col("label").alias("key"), F.element_at("embedding", 1).cast("double").alias("x"), F.element_at("embedding", 2).cast("double").alias("y"))
+
+
+@query(_HULL + "SELECT key, band, round(area / 3, 6) AS area FROM z, (VALUES (0), (1), (2)) b(band)")
 def area_bands(t: Tables) -> DataFrame:
-    """Each label's hull cut in three equal bands along its axis, each simplified, and put in two groups."""
+    """K8, K9: each label's hull in three bands along its axis; their areas are even."""
+    bands = shapes.banded(_by_label(t), "key", "x", "y", 3)
+    return bands.select("key", F.col("band").cast("int").alias("band"), F.round(F.abs(geo.signed_area(F.col("ring"))), 6).alias("area"))
+
+
+@query(_HULL + "SELECT key, CAST(4 AS BIGINT) AS parts, round(area, 6) AS area, true AS even FROM z")
+def density_parts(t: Tables) -> DataFrame:
+    """Each label's hull cut into four where points are sparse, which lose no ground; put in two groups whose difference no
+    single part exceeds."""
 
     def work(group):
         import numpy as np
         import pandas as pd
 
         points = group[["x", "y"]].to_numpy()
-        ring = shapes.hull(points)
-        parts = shapes.bands(ring, 3, shapes.axis_of(points))
-        groups = shapes.balanced([shapes.area(p) for p in parts], 2)
-        rows = [(str(group["key"].iloc[0]), i, round(shapes.area(p), 9), len(shapes.simplified(p, 1e-6)), g) for i, (p, g) in enumerate(zip(parts, groups, strict=True))]
-        return pd.DataFrame(rows, columns=["key", "band", "area", "points", "grouped"]).astype({"band": np.int64, "points": np.int64, "grouped": np.int64})
+        parts = [p for p in shapes.density_split(shapes.hull(points), points, 4) if len(p) > 2]
+        sizes = [shapes.area(p) for p in parts]
+        sums = np.bincount(shapes.balanced(sizes, 2), weights=sizes, minlength=2)
+        return pd.DataFrame([(str(group["key"].iloc[0]), len(parts), round(sum(sizes), 6), bool(abs(sums[0] - sums[1]) <= max(sizes) + 1e-9))], columns=["key", "parts", "area", "even"])
 
-    p = t.embeddings.select(F.col("label").alias("key"), F.element_at("embedding", 1).cast("double").alias("x"), F.element_at("embedding", 2).cast("double").alias("y"))
-    return p.groupBy("key").applyInPandas(work, "key string, band long, area double, points long, grouped long")
+    return _by_label(t).groupBy("key").applyInPandas(work, "key string, parts long, area double, even boolean")
 
 
 @query(
@@ -213,9 +255,20 @@ def provider_cascade(t: Tables) -> DataFrame:
     return found.select("c_custkey", "label", F.round("lat", 6).alias("lat"))
 
 
-@query()
+@query(
+    """
+WITH r AS (
+  SELECT o_orderkey AS k, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE CAST(o_custkey % 90 + 1 AS VARCHAR) END AS number, o_orderkey % 50 = 0 AS other,
+         ['Kauri Road', 'Kauri Road', 'Rimu Crescent', 'Rimu Crescent', 'Totara Street', ''][o_orderkey % 6 + 1] AS street FROM orders),
+-- a third has coordinates; the gazetteer knows Kauri Road 1 to 60, and numbers up to 65 are near enough
+p AS (SELECT *, k % 3 = 0 AS own, k % 3 = 0 OR (street = 'Kauri Road' AND number <> '' AND CAST(nullif(number, '') AS INTEGER) <= 65) AS point FROM r),
+s AS (SELECT *, CASE WHEN other THEN 'Pass' WHEN number = '' OR street = '' OR NOT point THEN 'Fail' ELSE 'Pass' END AS status FROM p),
+n AS (SELECT *, status = 'Pass' AND number <> '' AND street <> '' AND row_number() OVER (PARTITION BY status = 'Pass' AND number <> '' AND street <> '', number, street ORDER BY point DESC, k) > 1 AS again FROM s)
+SELECT k AS o_orderkey, number, street, 'Eastfield' AS suburb, CASE WHEN again THEN 'Duplicate' ELSE status END AS final_status, CASE WHEN again OR status = 'Fail' THEN 'fail' ELSE 'clean' END AS route FROM n
+"""
+)
 def scheduler_clean(t: Tables) -> DataFrame:
-    """O10 over orders as address rows: an outcome for every one."""
+    """O5, N5, N6, O10 over orders as address rows: an outcome for every one."""
     k = F.col("o_orderkey")
     streets = F.array(*map(F.lit, ["Kauri rd", "Kauri Road", "Rimu Cresent", "Rimu Crescent, Eastfield", "Totara St", ""]))
     rows = t.orders.select(
@@ -234,7 +287,18 @@ def scheduler_clean(t: Tables) -> DataFrame:
     return done.select(F.col("_row_id").alias("o_orderkey"), F.col("Number").alias("number"), F.col("Street").alias("street"), F.col("Suburb").alias("suburb"), F.col("Final Status").alias("final_status"), "route")
 
 
-@query()
+@query(
+    """
+WITH r AS (
+  SELECT c_custkey AS k, c_custkey % 120 + 1 AS n, c_custkey % 5 = 0 AS unit, c_custkey % 17 = 0 AS bare, c_custkey % 34 = 0 AS is_new, c_custkey % 19 = 0 AS far, c_custkey % 2 = 0 AS kauri FROM customer),
+s AS (
+  SELECT *, bare AND NOT unit AND NOT is_new AS lacks, CASE WHEN bare THEN (CASE WHEN unit THEN 'A' ELSE '' END) ELSE (CASE WHEN unit THEN 'UnitA/' ELSE '' END) || n END AS number,
+         kauri AND NOT bare AND n <= 30 AS known FROM r)
+SELECT k AS c_custkey, number, CASE WHEN kauri THEN 'Kauri Road' ELSE 'Rimu Crescent' END AS street, CASE WHEN kauri THEN 'Eastfield' ELSE 'West Bay' END AS suburb,
+       CASE WHEN lacks THEN 'Fail' WHEN known THEN 'Duplicate' WHEN far THEN 'Bad Geocode' ELSE 'Pass' END AS final_status, CASE WHEN lacks THEN 'missing number' ELSE '' END AS missing,
+       CASE WHEN lacks OR known OR far THEN 'fail' ELSE 'clean' END AS route FROM s
+"""
+)
 def sheets_clean(t: Tables) -> DataFrame:
     """O11, O12 over customers as sheet rows."""
     k = F.col("c_custkey")
@@ -262,8 +326,7 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 OR o_orderstatus = 'P' THEN 'rej
 def stream_append_route(t: Tables) -> DataFrame:
     """The same rows as a batch, through a stream."""
     spark = t.spark
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/waymark"
-    work = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    work = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
     d = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "").otherwise("4").alias("Number"), F.lit("Kauri Road").alias("Street"), F.col("o_orderstatus").alias("Type"), F.lit("").alias("Notes"), F.lit("").alias("Map"))
     d.repartition(3).write.parquet(f"{work}/in")
     stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 2).parquet(f"{work}/in")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import time
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waymark import rank
 from waymark.functions.text import file_stem, text
 from waymark.operators.tables import union_by_name
 
@@ -131,15 +134,47 @@ def is_hit(hit: Column) -> Column:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """``address`` and its hit, of a JSON file {address: [label, lat, lon, postcode]}."""
-    whole = spark.read.text(path, wholetext=True)
-    pairs = whole.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("address", "parts"))
+    """``address`` and its hit, of JSON objects {address: [label, lat, lon, postcode]} (A8): one over a whole file, or one to a line."""
+    lines = spark.read.text(path, wholetext=not _by_lines(spark, path))
+    pairs = lines.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("address", "parts"))
     return pairs.select("address", hit_of(F.col("parts")).alias("h")).select("address", "h.*")
 
 
-def write_cache(df: DataFrame, path: str) -> None:
-    """The cache as JSON lines, an entry each, which is what grows; :func:`cache_json` gives the one-object form."""
-    df.select(F.to_json(F.struct("address", "label", "lat", "lon", "postcode")).alias("value")).write.mode("overwrite").text(path)
+def _by_lines(spark: SparkSession, path: str) -> bool:
+    """Whether every line is an object of its own."""
+    return spark.read.text(path).where("trim(value) <> '' and not (trim(value) like '{%}')").isEmpty()
+
+
+def write_cache(df: DataFrame, path: str, entries: int = 1000) -> DataFrame:
+    """The cache as JSON objects in the order of their keys, one to a line with ``entries`` of them, which :func:`read_cache` reads.
+
+    The same entries give the same lines, whatever their order and partitions. Returns the manifest: ``chunk``, ``n``, its ``first`` and
+    ``last`` key and the SHA-256 of its line. Of an address's rows the first counts.
+    """
+    one = rank.first_by(df.select("address", "label", "lat", "lon", "postcode"), ["address"], ["label", "lat", "lon", "postcode"])
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    entry = F.concat(F.regexp_extract(F.to_json(F.struct("address")), r'^\{"address":(.*)\}$', 1), F.lit(":"), F.to_json(F.array(*map(plain, ("label", "lat", "lon", "postcode")))))
+    numbered = rank.with_row_id(one.withColumn("entry", entry).select("address", "entry"), ["address"])
+    chunk = F.floor((F.col("_row_id") - 1) / entries).cast("long").alias("chunk")
+    lines = numbered.groupBy(chunk).agg(F.sort_array(F.collect_list(F.struct("_row_id", "address", "entry"))).alias("e"))
+    lines = lines.withColumn("line", F.concat(F.lit("{"), F.array_join(F.transform("e", lambda x: x["entry"]), ","), F.lit("}")))
+    lines.select("chunk", F.col("line").alias("value")).repartitionByRange("chunk").sortWithinPartitions("chunk").select("value").write.mode("overwrite").text(path)
+    at = lambda i: F.element_at("e", i)["address"]
+    return lines.select("chunk", F.size("e").cast("long").alias("n"), at(1).alias("first"), at(-1).alias("last"), F.sha2("line", 256).alias("sha256"))
+
+
+def kept_fresh(spark: SparkSession, target: str, seconds: float, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is built again once it is older than ``seconds`` (N11). A new one is written beside the old one and then takes
+    its place, so that readers find a whole one; what they are reading of the old one goes."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(conf)
+    if not fs.exists(path) or time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > seconds:
+        new = jvm.org.apache.hadoop.fs.Path(f"{target}.{uuid.uuid4().hex}")
+        build().write.parquet(new.toString())
+        fs.delete(path, True)
+        fs.rename(new, path)
+    return spark.read.parquet(target)
 
 
 def without_keys(cache: DataFrame, streets: DataFrame, street: Column, suburb: Column | None = None) -> DataFrame:
@@ -187,16 +222,3 @@ def is_stale(spark: SparkSession, source: str, target: str) -> bool:
 
     made = written(target)
     return made is None or (written(source) or 0) > made
-
-
-def read_excel(path: str, sheet: str) -> object:
-    """A sheet as a pandas frame of strings (A11), the first sheet if there is none of that name. Needs an Excel reader, which is
-    optional: workbooks are small and read on the driver."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("reading workbooks needs the openpyxl package") from e
-    import pandas as pd
-
-    book = pd.ExcelFile(path)
-    return book.parse(sheet if sheet in book.sheet_names else book.sheet_names[0], dtype=str).fillna("")

@@ -100,3 +100,15 @@ def by_tables(addresses: DataFrame, row_id: str, queries: Sequence[Column], tabl
         found = hit if found is None else found.unionByName(hit)
     best = found.groupBy(row_id).agg(F.min_by(F.struct("provider", "label", "lat", "lon", "postcode"), F.struct("query", "table")).alias("hit"))
     return addresses.join(best, row_id, "left").select(*addresses.columns, "hit.*")
+
+
+def probed_all(addresses: DataFrame, row_id: str, address: str, tables: Sequence[tuple[str, DataFrame]], box: Box) -> DataFrame:
+    """Every answer inside the box of every table, each place once (N4): rows of ``row_id`` that agree in label and in coordinates to six
+    digits are one, of the first table that has it."""
+    found = None
+    for i, (name, table) in enumerate(tables):
+        p = table.withColumn("_p", unswapped(F.col("lat"), F.col("lon"), box)).withColumns({"lat": F.col("_p.lat"), "lon": F.col("_p.lon")}).drop("_p")
+        hit = addresses.select(row_id, F.col(address).alias("address")).join(p.where(box.holds(F.col("lat"), F.col("lon"))), "address")
+        hit = hit.select(row_id, F.lit(i).alias("_i"), F.lit(name).alias("provider"), "label", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "postcode")
+        found = hit if found is None else found.unionByName(hit)
+    return rank.first_by(found, [row_id, "label", "lat", "lon"], ["_i", "postcode"]).drop("_i")

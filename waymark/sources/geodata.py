@@ -8,7 +8,7 @@ import re
 import sqlite3
 import struct
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +30,11 @@ def read_kml(spark: SparkSession, folder: str, by: str = "file", outer_only: boo
     outer rings, or all coordinates of a placemark that has none; else all coordinates are rings, holes and lines included.
     A KMZ is its first KML. Files are read one to a row, so a folder may hold any number.
     """
-    files = spark.read.format("binaryFile").options(pathGlobFilter="*.km[lz]", recursiveFileLookup=True).load(folder)
+    return kml_areas(spark.read.format("binaryFile").options(pathGlobFilter="*.km[lz]", recursiveFileLookup=True).load(folder), by, outer_only)
+
+
+def kml_areas(files: DataFrame, by: str = "file", outer_only: bool = True) -> DataFrame:
+    """As :func:`read_kml`, of files that are there already (``path``, ``content``)."""
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -75,11 +79,22 @@ def coordinates_text(ring: Column, digits: int = 8) -> Column:
     return F.array_join(F.transform(closed(ring), lambda p: F.format_string(f"%.{digits}f,%.{digits}f", p["x"], p["y"])), " ")
 
 
-def write_kml(areas: DataFrame, target: str) -> None:
-    """A KML document for each area of ``name`` and ``ring``."""
+def kml_documents(areas: DataFrame) -> DataFrame:
+    """``name`` and its KML document (``value``) for each name of ``areas`` (``name``, ``ring``)."""
     head, tail = '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>', "</Document></kml>"
     marks = areas.groupBy("name").agg(F.array_join(F.sort_array(F.collect_list(kml_placemark(F.col("name"), F.col("ring")))), "").alias("marks"))
-    marks.select(F.concat(F.lit(head), "marks", F.lit(tail)).alias("value"), "name").write.mode("overwrite").partitionBy("name").text(target)
+    return marks.select("name", F.concat(F.lit(head), "marks", F.lit(tail)).alias("value"))
+
+
+def kml_size(ring: Sequence[tuple[float, float]]) -> int:
+    """Bytes of the document of one area of a short name, as :func:`kml_documents` writes it."""
+    points = [*ring, ring[0]] if len(ring) else []
+    return 330 + sum(len(f"{x:.8f},{y:.8f} ") for x, y in points)
+
+
+def write_kml(areas: DataFrame, target: str) -> None:
+    """A KML document for each area of ``name`` and ``ring``."""
+    kml_documents(areas).select("value", "name").write.mode("overwrite").partitionBy("name").text(target)
 
 
 def geojson(name: Column, ring: Column) -> Column:

@@ -1,20 +1,53 @@
-"""Boundaries between steps of a long plan."""
+"""Boundaries between steps of a long plan, their shared folder, and jobs that can be followed and stopped."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, named by ``spark.checkpoint.dir``; a local one only under a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file:///tmp/checkpoints/waymark"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and written to the shared checkpoint folder.
 
     Use it where a computed column is read by several later joins and filters: they would each compute it again, and a
-    filter that is pushed through many projections copies every expression on its way. The folder is the one that
-    ``spark.checkpoint.dir`` names; a local one is set only under a local master.
+    filter that is pushed through many projections copies every expression on its way.
     """
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        if not spark.conf.get("spark.master", "").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints/waymark")
+        spark.sparkContext.setCheckpointDir(folder(spark))
     return df.checkpoint()
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs within carry ``tag``, so that another thread can stop them, and only them, by :func:`cancel`."""
+    spark.addTag(tag)
+    try:
+        yield
+    finally:
+        spark.removeTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Stop the running jobs of a tag; the thread that waits for them gets an error."""
+    spark.interruptTag(tag)
+
+
+def progress(spark: SparkSession) -> list[tuple[int, str, int, int, int]]:
+    """Stage, name, tasks, tasks done and tasks failed of every stage that runs now."""
+    tracker = spark.sparkContext.statusTracker()
+    found = [tracker.getStageInfo(s) for s in tracker.getActiveStageIds()]
+    return [(s.stageId, s.name, s.numTasks, s.numCompletedTasks, s.numFailedTasks) for s in found if s]
