@@ -39,4 +39,4 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], C
 
 def load() -> None:
     """Import the modules that register queries."""
-    from waymark import queries_joins, queries_shapes, queries_tables, queries_text  # noqa: F401
+    from waymark import queries_joins, queries_places, queries_shapes, queries_tables, queries_text  # noqa: F401

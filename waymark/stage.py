@@ -34,16 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
 @contextmanager
 def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
     """Jobs within carry ``tag``, so that another thread can stop them, and only them, by :func:`cancel`."""
-    spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
     try:
         yield
     finally:
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
 
 
 def cancel(spark: SparkSession, tag: str) -> None:
     """Stop the running jobs of a tag; the thread that waits for them gets an error."""
-    spark.interruptTag(tag)
+    spark.sparkContext.cancelJobsWithTag(tag)
 
 
 def progress(spark: SparkSession) -> list[tuple[int, str, int, int, int]]:
