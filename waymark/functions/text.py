@@ -228,6 +228,11 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit("([A-Za-z0-9']+)"), F.lit(1))
 
 
+def n_tokens(c: Column | str) -> Column:
+    """How many there are, without making them."""
+    return F.regexp_count(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit("[A-Za-z0-9']+"))
+
+
 def has_digit(c: Column | str) -> Column:
     return F.coalesce(_col(c), F.lit("")).rlike(r"(?U)\d")
 

@@ -17,10 +17,14 @@ def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[Column | str])
 
 
 def keep_best(df: DataFrame, key: str, better: Column, row_id: str) -> DataFrame:
-    """``kept`` for every row: the first of its key, one that is ``better`` before others (E2). Rows with a blank key are all kept."""
-    own = F.when(F.coalesce(F.col(key), F.lit("")) == "", F.concat(F.lit("\0"), F.col(row_id).cast("string"))).otherwise(F.col(key))
-    order = Window.partitionBy("_own").orderBy(F.desc(better.cast("int")), row_id)
-    return df.withColumn("_own", own).withColumn("kept", F.row_number().over(order) == 1).drop("_own")
+    """``kept`` for every row: the first of its key, one that is ``better`` before others (E2). Rows with a blank key are all kept.
+
+    A key's best row is a partial minimum, and rows find out by their unique id: no task sees all rows of a common key.
+    """
+    blank = F.coalesce(F.col(key), F.lit("")) == ""
+    least = F.min(F.struct(F.when(better, 0).otherwise(1).alias("worse"), F.col(row_id).alias("id")))
+    best = df.where(~blank).groupBy(key).agg(least.alias("_b")).select(F.col("_b.id").alias(row_id), F.lit(True).alias("_best"))
+    return df.join(best, row_id, "left").withColumn("kept", blank | F.coalesce("_best", F.lit(False))).select(*df.columns, "kept")
 
 
 def union_by_name(frames: Sequence[DataFrame], fill: str = "") -> DataFrame:

@@ -170,7 +170,7 @@ FROM documents
 )
 def canon_text_documents(t: Tables) -> DataFrame:
     """H1, H2, H16."""
-    return t.documents.select("doc_id", F.md5(text.canon_text("text")).alias("key_md5"), F.size(text.tokens("text")).alias("n_tokens"), text.has_digit("text").alias("has_digit"))
+    return t.documents.select("doc_id", F.md5(text.canon_text("text")).alias("key_md5"), text.n_tokens("text").alias("n_tokens"), text.has_digit("text").alias("has_digit"))
 
 
 @query(
