@@ -114,7 +114,7 @@ class _Known(dict):
 class Ids:
     """Token ids of texts under a byte-level vocabulary; remembers the ids of up to ``held`` pre-tokens between batches."""
 
-    def __init__(self, path: str, ranks_path: str, held: int = 1_000_000) -> None:
+    def __init__(self, path: str, ranks_path: str, held: int = 200_000) -> None:
         import tiktoken
         from tokenizers import Tokenizer
 
