@@ -20,8 +20,8 @@ def _lines(t: Tables) -> DataFrame:
     a, b = (k % 97 + 1).cast("string"), (F.col("l_partkey") % 40 + 1).cast("string")
     letter = F.get(F.array(*[F.lit(x) for x in "ABCDEFG"]), (n % 7).cast("int"))
     spelled = F.get(
-        F.array(a, F.concat(a, letter), F.concat(a, F.lit("-"), b), F.concat(F.lit("Unit"), letter, F.lit("/"), a), F.concat(a, F.lit(" / unit "), b), F.concat(F.lit("unit 3 / "), a), F.concat(b, F.lit("-Nov")), F.concat(F.lit("Nov-"), a), F.concat(b, F.lit("/"), a), F.lit(""), F.concat(F.lit(". Unit15/"), b)),
-        ((k + n) % 11).cast("int"),
+        F.array(a, F.concat(a, letter), F.concat(a, F.lit("-"), b), F.concat(F.lit("Unit"), letter, F.lit("/"), a), F.concat(a, F.lit(" / unit "), b), F.concat(F.lit("unit 3 / "), a), F.concat(b, F.lit("-Nov")), F.concat(F.lit("Nov-"), a), F.concat(b, F.lit("/"), a), F.lit(""), F.concat(F.lit(". Unit15/"), b), F.concat(a, F.lit("~"), b), F.lit("dec"), F.concat(letter, a), F.concat(a, F.lit(" bis")), F.concat(F.lit("flat"), a, F.lit("/"), b), F.concat(b, F.lit("/ feb_"), a)),
+        ((k + n) % 17).cast("int"),
     )
     return t.lineitem.select("l_orderkey", "l_linenumber", spelled.alias("number"), letter.alias("letter"), F.get(F.array(*map(F.lit, STREETS)), (F.col("l_partkey") % 10).cast("int")).alias("street"))
 
@@ -33,7 +33,7 @@ WITH l AS (
 n AS (
   SELECT l_orderkey, l_linenumber, letter,
          [a, a || letter, a || '-' || b, 'Unit' || letter || '/' || a, a || ' / unit ' || b, 'unit 3 / ' || a, b || '-Nov', 'Nov-' || a,
-          b || '/' || a, '', '. Unit15/' || b][(l_orderkey + l_linenumber) % 11 + 1] AS number,
+          b || '/' || a, '', '. Unit15/' || b, a || '~' || b, 'dec', letter || a, a || ' bis', 'flat' || a || '/' || b, b || '/ feb_' || a][(l_orderkey + l_linenumber) % 17 + 1] AS number,
          ['Kauri rd', 'Rimu  Cresent', 'Totara St.', 'Tāwa Hts', 'Kauri Road, Eastfield', '12 Rata Ave', 'Mānuka Tce', 'Lane',
           'Puriri Drive - West Bay', 'Kōwhai'][l_partkey % 10 + 1] AS street
   FROM l),
@@ -70,14 +70,17 @@ def unit_split_and_flip(t: Tables) -> DataFrame:
 @query(
     _NUMBER_SQL
     + r"""
-, z AS (SELECT *, regexp_replace(number, '\s+', '', 'g') AS n2 FROM s),
-y AS (SELECT *, regexp_replace(n2, '[~_\-,.\\:;!=+"''()]', '/', 'g') AS cut FROM z),
-x AS (SELECT *, CASE WHEN contains(cut, '/') AND NOT starts_with(lower(cut), 'unit') THEN 'Unit' || cut ELSE cut END AS c2 FROM y)
+, z AS (SELECT *, regexp_replace(number, '\s+', '', 'g') AS bare FROM s),
+y AS (
+  SELECT *, regexp_replace(bare, '[^A-Za-z]', '', 'g') AS word, regexp_extract_all(bare, '\d+') AS nums, regexp_replace(regexp_replace(bare, '\d+', '9', 'g'), '[A-Za-z]+', 'x', 'g') AS shape,
+         translate(bare, '~_-,.\:;!=+"''()', '///////////////') AS cut FROM z),
+x AS (
+  SELECT *, CAST(coalesce(nullif(list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(word)), 0), 1) AS VARCHAR) AS month, lower(cut[1:4]) = 'unit' AS named,
+         len(word) = 3 AND regexp_matches(shape, '^9?[-_/]*x([-_/]*9)?$') AS dated FROM y)
 SELECT l_orderkey, l_linenumber,
-       CASE WHEN regexp_matches(n2, '^\d+-Nov$') THEN 'Unit' || regexp_extract(n2, '^(\d+)', 1) || '/11'
-            WHEN regexp_matches(n2, '^Nov-\d+$') THEN 'Unit11/' || regexp_extract(n2, '(\d+)$', 1)
-            WHEN regexp_matches(n2, '^\d+[A-Za-z]$') THEN 'Unit' || upper(right(n2, 1)) || '/' || regexp_extract(n2, '^(\d+)', 1)
-            WHEN starts_with(lower(c2), 'unit') THEN 'Unit' || upper(substr(c2, 5)) ELSE upper(c2) END AS normal,
+       CASE WHEN dated THEN 'Unit' || CASE WHEN shape LIKE '9%' THEN nums[1] || '/' || month WHEN len(nums) > 0 THEN month || '/' || nums[1] ELSE month END
+            WHEN shape = '9x' AND len(word) = 1 THEN 'Unit' || upper(word) || '/' || nums[1]
+            WHEN named OR contains(cut, '/') THEN 'Unit' || upper(CASE WHEN named THEN cut[5:] ELSE cut END) ELSE upper(cut) END AS normal,
        regexp_matches(trim(number), '^(Unit[A-Za-z0-9]+/\d+(-\d+)?|\d+[A-Za-z]?(-\d+[A-Za-z]?)?)$') AS valid,
        CASE WHEN letter <> '' AND trim(number) <> '' THEN 'Unit' || letter || '/' || trim(number) WHEN trim(number) <> '' THEN trim(number) ELSE letter END AS merged
 FROM x
