@@ -80,6 +80,14 @@ def test_graph_chain(spark):
     edges = spark.range(n).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(1000, 1001), (5, 5)], "a long, b long"))
     got = {r.node: (r.component, r.size) for r in graph.components(edges, spark.createDataFrame([(7777,)], "node long")).collect()}
     assert all(got[i] == (0, n + 1) for i in range(n + 1)) and got[1001] == (1000, 2) and got[7777] == (7777, 1)
+    assert graph.components(edges.where("false")).count() == 0
+    names = edges.selectExpr("concat('n', a) as a", "concat('n', b) as b").union(spark.createDataFrame([(None, "x"), ("é", "z")], "a string, b string"))
+    graph.PER_TASK, most = 20, graph.PER_TASK  # several tasks, none of which sees the whole chain
+    try:
+        got = {r.node: (r.component, r.size) for r in graph.components(names.repartition(6)).collect()}
+    finally:
+        graph.PER_TASK = most
+    assert all(got[f"n{i}"] == ("n0", n + 1) for i in range(n + 1)) and got["é"] == ("z", 2) and None not in got and len(got) == n + 5
 
 
 def test_hull_and_cuts():

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark import rank
-from waymark.stage import cut
+from waymark.stage import cut, written
 
 
 def resolved(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -20,30 +24,75 @@ def resolved(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rank.first_by(whole.unionByName(short), ["a", "ref"], ["tier", "node"]).selectExpr("a", "node as b").where("a <> b").distinct()
 
 
+#: Edges that a task brings down to stars at once, and rows of a round's table for each of its tasks.
+PER_TASK = 200_000
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that connect the same nodes as a task's own: each node, but the smallest of its group there, with that one."""
+
+    def reduced(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        edges = pa.Table.from_batches(held).combine_chunks()
+        a, b = (edges.column(c).combine_chunks() for c in (0, 1))
+        nodes = pc.unique(pa.concat_arrays([a, b]))
+        nodes = nodes.take(pc.sort_indices(nodes))
+        x, y = (pc.index_in(c, nodes).to_numpy() for c in (a, b))
+        root = np.arange(len(nodes))
+        while len(x):
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(up := root[root], root):
+                root = up
+            x, y = root[x], root[y]
+            x, y = x[x != y], y[x != y]
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(moved)), nodes.take(pa.array(root[moved]))], names=["a", "b"])
+
+    held, size = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, PER_TASK):
+            held.append(batch.slice(at, PER_TASK))
+            size += held[-1].num_rows
+            if size >= PER_TASK:
+                yield reduced(held)
+                held, size = [], 0
+    if held:
+        yield reduced(held)
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 50) -> DataFrame:
-    """``node``, ``component`` (its smallest node) and ``size`` for all nodes.
+    """``node``, ``component`` (its smallest node) and ``size`` for all nodes (P2); nodes are of one type that has an order.
 
-    Labels spread along edges and are then followed (a label's own label), which halves chains each round; rounds are
-    cut from each other's lineage by reliable checkpoints where a folder is set.
+    Tasks bring the edges that they hold down to stars. Rounds then link the neighbours of each node to the smallest of them, first
+    the larger ones and then the smaller, and reduce again; a hub's neighbours are never gathered. A round writes one table, in as
+    many parts as its rows ask for, and ends the search if it is that of the round before, by its count and hash.
     """
-    both = edges.select("a", "b").unionByName(edges.selectExpr("b a", "a b")).where("a <> b").distinct()
-    every = both.select(F.col("a").alias("node")).distinct()
+    kind = edges.schema["a"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    same = {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    plain = edges.select("a", F.col("b").cast(kind).alias("b"))
+    every = plain.where("a <> b").select(F.explode(F.array("a", "b")).alias("node"))
     if nodes is not None:
-        every = every.unionByName(nodes.select("node")).distinct()
-    both, labels = cut(both), cut(every.withColumn("label", F.col("node")))
+        every = every.unionByName(nodes.select(F.col("node").cast(kind).alias("node")))
+    e, was = written(plain.where("a <> b").mapInArrow(_stars, schema), "edges", **same)
     for _ in range(rounds):
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("heard"))
-        near = labels.join(heard, labels.node == heard.a, "left").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
-        far = near.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        after = cut(near.join(far, "label", "left").select("node", "was", F.least("label", "far").alias("label")))
-        moved = after.where("was <> label").isEmpty()
-        labels = after.select("node", "label")
-        if moved:
+        parts = max(1, -(-was["n"] // PER_TASK))
+        now = e.coalesce(parts)  # a > b
+        both = now.unionByName(now.selectExpr("b a", "a b"))
+        both = both.coalesce(1) if parts == 1 else both  # one task needs no exchange
+        least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m")
+        large = both.where("b > a").join(least, "a").selectExpr("b a", "m b").distinct()  # a > b
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").where("b > m").selectExpr("b a", "m b").unionByName(low.selectExpr("a", "m b"))
+        small = (small.coalesce(1) if parts == 1 else small).distinct()
+        e, after = written(small.coalesce(parts).mapInArrow(_stars, schema), "round", **same)
+        if after == was:
             break
+        was = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    return labels.join(sizes, "label").selectExpr("node", "label as component", "size")
+    labels = every.where("node is not null").distinct().join(e.selectExpr("a as node", "b as root"), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return labels.join(sizes, "component").select("node", "component", "size")
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, longest: int = 6) -> DataFrame:

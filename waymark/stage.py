@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -31,6 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str, **wanted: Column) -> tuple[DataFrame, dict]:
+    """``df``, written to the shared folder and read again, with aggregates taken as it is written."""
+    spark, seen = df.sparkSession, Observation()
+    path = f"{folder(spark)}/tables/{uuid.uuid4().hex}-{name}"
+    df.observe(seen, *[c.alias(k) for k, c in wanted.items()]).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get
+
+
 @contextmanager
 def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
     """Jobs within carry ``tag``, so that another thread can stop them, and only them, by :func:`cancel`."""
