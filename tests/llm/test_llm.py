@@ -675,3 +675,65 @@ def test_personal_data_in_very_long_texts(spark):
 def test_long_emails_are_candidates():
     text = "write john.smith [at] mail.example [dot] co [dot] uk now"
     assert [text[a:b] for a, b, k in pii.added(text, [], pii.weights()) if k == 0] == ["john.smith [at] mail.example [dot] co [dot] uk"]
+
+
+def test_very_long_pretokens(spark):
+    """A pre-token of a megabyte is scored by itself, as the trie would."""
+    own = token_counts.counter(pretokens.default_path("byte_bpe_50k.tiktoken"))
+    for word in (b"abab" * 500, b"x" * 3000, b"information" * 90):
+        own.learn({word})
+        assert own.alone(word) == own.known[word]
+    long = "ab" * 500_000
+    r = token_counts.counted(made(spark, [long, "ab " + long + " c"], 10)).orderBy("doc_id").collect()
+    assert r[0].n_pretokens == 1 and r[0].n_tokens > 0 and r[1].n_tokens >= r[0].n_tokens + 2
+
+
+def test_packing_of_long_texts_and_many_open_sequences(spark):
+    """Texts beyond a chunk; sequences that are topped up as soon as few are open; none of it loses or repeats an id."""
+    rng = random.Random(3)
+    words = ["alpha", "Beta", "gamma,", "x1", "été", "\n"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice((1, 40, 300, 700)))) for _ in range(150)] + ["word " * 300_000, "", None]
+    d = made(spark, texts, 10).repartition(3)
+    for most in (8192, 3):
+        rows = packing.packed(d, most_open=most).collect()
+        pieces, fill = defaultdict(list), Counter()
+        for r in rows:
+            pieces[r.doc_id].append(r)
+            fill[r.sequence_id] += r.length
+        assert len(pieces) == len(texts) and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+        for held in pieces.values():
+            held.sort(key=lambda r: r.start)
+            assert [r.start for r in held] == [sum(x.length for x in held[:i]) for i in range(len(held))] and sum(r.length for r in held) == held[0].doc_tokens
+        assert all(n <= 1024 and n & (n - 1) == 0 for n in fill.values()) and sum(n < 1024 for n in fill.values()) <= 10
+
+
+def test_topping_up_keeps_the_fullest(spark):
+    p = packing.Packer(16)
+    for i, size in enumerate([15, 14, 13, 9, 9, 3, 2]):
+        p.take((i, size, 0, np.arange(size, dtype=np.uint32)))
+    open_ = [[x[0] for x in s] for level in p.open for s in level]
+    full = p.topped()
+    assert all(sum(len(x[3]) for x in s) == 16 for s in full) and p.n_open <= 1
+    ids = [(x[0], x[2] + i) for s in full + [s for level in p.open for s in level] for x in s for i in range(len(x[3]))]
+    assert len(ids) == len(set(ids)) <= 65 and len(open_) >= 2
+
+
+def test_rows_that_repeat_id_and_text_are_one_place(spark):
+    text = "one line\ntwo lines\nthree lines\nfour"
+    d = spark.createDataFrame([(None, text), (None, text), (5, text), (5, text), (7, text)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_removed) for r in line_windows.deduplicated(d).collect())
+    assert got == Counter({(5, 0): 2, (7, 4): 1, (None, 4): 2})
+
+
+def test_convolution_by_plain_loops():
+    """Chunks of two blocks, overlapping by one, to the end of a text: filters, pooling and the mean as loops."""
+    net = quality_net.Net.fresh(3)
+    own, rng = quality_net.Scorer(net), np.random.default_rng(4)
+    for size in (0, 1, 5, 6, 511, 512, 513, 1024, 1500, 3000):
+        text = rng.integers(32, 123, size).astype(np.uint8).tobytes()
+        data = np.frombuffer(text + bytes(quality_net.WIDTH), np.uint8)
+        places = [sum(net.table[j][data[p + j]] for j in range(quality_net.WIDTH)) for p in range(size + 1)]
+        blocks = [np.max(places[i : i + quality_net.BLOCK], axis=0) for i in range(0, size + 1, quality_net.BLOCK)]
+        chunks = [np.maximum(a, b) for a, b in zip(blocks, blocks[1:], strict=False)] or blocks
+        logits = [float(np.maximum(c @ net.a + net.b, 0) @ net.c + net.d[0]) for c in chunks]
+        assert abs(own.scores([text])[0] - 1 / (1 + np.exp(-np.mean(logits)))) < 1e-5

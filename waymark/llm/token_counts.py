@@ -4,7 +4,7 @@ A pre-token's best segmentation is the one with the highest sum of its tokens' s
 forward value of a prefix (best score, tokens) is the same for all pre-tokens that begin with it; so distinct
 pre-tokens are walked as a trie, in depth-first order (sorted order: the path to a node is what a word shares
 with the one before), and each node's value is computed once from the values on its path. Terminal nodes'
-values are kept for later batches; documents add them up. Documents stay where they are: nothing is shuffled.
+values are kept for later batches; documents add them up. Pre-tokens of more than ``LONG`` bytes go by themselves. Documents stay where they are: nothing is shuffled.
 
 Scores come from the vocabulary file's order: the token of rank r has the log-probability of Zipf's law, held as an
 integer in units of 2 ** -20 so that sums are exact.
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from waymark.llm import pretokens
 
 UNIT = 1 << 20
+#: Bytes of a pre-token beyond which it is scored by itself: its values would fill the path, and nobody shares them.
+LONG = 1 << 16
 
 
 def scores(path: str) -> dict[bytes, int]:
@@ -49,6 +51,7 @@ class Counter:
             for i in range(len(token)):
                 self._endings.setdefault(token[i:])
         self._endings |= own
+        self._longest = max(map(len, own), default=1)
         self.known: dict[bytes, tuple[int, int]] = {}  # pre-token: score, tokens
         self._held = held
 
@@ -58,7 +61,7 @@ class Counter:
             self.known = {}
         path: list[tuple[int, int]] = [(0, 0)]  # values of the nodes on the way to the last word
         endings, known, last = self._endings, self.known, b""
-        for word in sorted(words - known.keys()):
+        for word in sorted(w for w in words - known.keys() if len(w) <= LONG):
             n = shared = min(len(word), len(last))
             if word[:n] != last[:n]:
                 shared = next(i for i in range(n) if word[i] != last[i])
@@ -76,6 +79,21 @@ class Counter:
             known[word] = (path[-1][0], -path[-1][1])
             last = word
 
+    def alone(self, word: bytes) -> tuple[int, int]:
+        """Score and tokens of a pre-token too long for the trie; only the values that a token can reach back to are held."""
+        held = [(0, 0)] * (self._longest + 1)
+        for end in range(1, len(word) + 1):
+            best = (-(1 << 62), 0)
+            for begin in range(end - 1, max(-1, end - self._longest - 1), -1):
+                ending = word[begin:end]
+                if ending not in self._endings:
+                    break
+                if (score := self._endings[ending]) is not None:
+                    before = held[begin % len(held)]
+                    best = max(best, (before[0] + score, before[1] - 1))
+            held[end % len(held)] = best
+        return held[len(word) % len(held)][0], -held[len(word) % len(held)][1]
+
     def of(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """Pre-tokens, tokens and score of each text."""
         plain = [i for i, t in enumerate(texts) if not pretokens.is_odd(t)]
@@ -92,7 +110,7 @@ class Counter:
         self.learn({w for c in cuts for w in c})
         out = []
         for c in cuts:
-            values = np.array([self.known[w] for w in c], np.int64).reshape(-1, 2).sum(axis=0)
+            values = np.array([self.known[w] if len(w) <= LONG else self.alone(w) for w in c], np.int64).reshape(-1, 2).sum(axis=0)
             out.append((len(c), int(values[1]), int(values[0])))
         return out
 
