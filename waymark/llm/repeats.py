@@ -17,8 +17,9 @@ Prefix-free parsing, dealt out over a cluster:
    phrase occurs. Windows that tie with another one, or whose phrase occurs twice, are repeats.
 5. Repeats go back along the parse to the texts, where covered bytes are merged and cut.
 
-A trigger shared by very many phrases (a common line in changing surroundings) is split further by the triggers
-of other hash functions, which again depend on the window alone. Whole phrases are compared by their XXH3 hashes and
+A trigger shared by very many phrases (a common passage in changing surroundings) would bring them all to one task, and no
+function of a window can part them, as 199 of their 200 bytes may be the same. The windows of its distinct phrases
+are compared one by one, by 128 bits of hash, and counted after a partial aggregation. Whole phrases are compared by their XXH3 hashes and
 those of their triggers, two functions of 64 bits each; suffixes by their bytes.
 
 Defined results: a null text is empty; texts under 200 bytes are kept whole; repeated rows are repeats of each other;
@@ -42,13 +43,15 @@ WINDOW, GRAM = 200, 32
 WIDTH = WINDOW - GRAM + 1  # strings of GRAM bytes in a window
 #: Windows in a phrase at most, windows of a text that are hashed at once, and bytes that are sorted at once.
 LONGEST, BLOCK, SORTED = 4096, 1 << 20, 2 << 20
+#: Phrases of one trigger that a task sorts at most: some 200 MB of ranks.
+COMMON = 8000
 U = np.uint64
 
 
 class Rolling:
-    """Polynomial hashes of byte strings modulo 2 ** 64, of a random table's entries; one function for each seed."""
+    """Polynomial hashes of byte strings modulo 2 ** 64, of a random table's entries."""
 
-    def __init__(self, seed: int) -> None:
+    def __init__(self, seed: int = 1000) -> None:
         rng = np.random.default_rng(seed)
         self.table = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
         base = int(rng.integers(1 << 62)) * 8 + 3
@@ -91,17 +94,12 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(ahead[:n], behind[width - 1 : width - 1 + n])
 
 
-_functions: dict[int, Rolling] = {}
+_function = Rolling()
 
 
-def _function(level: int) -> Rolling:
-    return _functions.setdefault(level, Rolling(1000 + level))
-
-
-def _triggers(data: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+def _triggers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the windows of ``data``: their triggers; and the hash at each byte."""
-    f = _function(level)
-    grams = f.grams(f.sums(data))
+    grams = _function.grams(_function.sums(data))
     return _least(grams, WIDTH), grams
 
 
@@ -120,7 +118,7 @@ def _several(grams: np.ndarray, trigger: np.ndarray, start: np.ndarray, size: np
 def _phrases(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of joined texts that start at ``bounds``: text, place in ``data``, windows, trigger and hash of each phrase, and
     whether it holds its trigger more than once."""
-    trigger, grams = _triggers(data, 0)
+    trigger, grams = _triggers(data)
     new = np.ones(len(trigger), bool)
     new[1:] = trigger[1:] != trigger[:-1]
     whole = np.zeros(len(trigger) + 1, np.int64)  # windows that lie in one text
@@ -173,28 +171,48 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flushed(held)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the places of their dictionary phrases, to the phrases; very common triggers are split further."""
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[dict, bytes]]]:
+    """Texts with the places of their dictionary phrases, to these with their bytes."""
     for batch in batches:
-        v, ph, c, at, n, data = [], [], [], [], [], []
+        out = []
         for body, wanted in zip(batch.column("body"), batch.column("wanted"), strict=True):
             whole = body.as_py()
-            for w in wanted.as_py():
-                piece = whole[w["lo"] : w["lo"] + w["n"] + WINDOW - 1]
-                starts, keys = [0], [w["v"]]
-                if levels := w["levels"]:
-                    own = np.frombuffer(piece, np.uint8)
-                    key = np.full(w["n"], U(w["v"] % 2**64))
-                    for level in range(1, levels + 1):
-                        key = _mixed(key * U(31) + _triggers(own, level)[0])
-                    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                    starts, keys = first.tolist(), key.view(np.int64)[first].tolist()
-                for a, b, key in zip(starts, [*starts[1:], w["n"]], keys, strict=True):
-                    for x, value in ((v, w["v"]), (ph, w["ph"]), (c, w["c"]), (at, a), (n, b - a), (data, (key, piece[a : b + WINDOW - 1]))):
-                        x.append(value)
-        if v:
-            arrays = [pa.array([x[0] for x in data], pa.int64()), *(pa.array(x, pa.int64()) for x in (v, ph, c, at, n)), pa.array([x[1] for x in data], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["g", "v", "ph", "c", "at", "n", "data"])
+            out += [(w, whole[w["lo"] : w["lo"] + w["n"] + WINDOW - 1]) for w in wanted.as_py()]
+        yield out
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Dictionary phrases with their bytes."""
+    for found in _wanted(batches):
+        arrays = [*(pa.array([w[c] for w, _ in found], pa.int64()) for c in ("v", "ph", "c", "n")), pa.array([data for _, data in found], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["v", "ph", "c", "n", "data"])
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Dictionary phrases to their windows: place and 128 bits of hash."""
+    digest = xxhash.xxh3_128_digest
+
+    def rows(held: list[tuple[dict, bytes]]) -> pa.RecordBatch:
+        n = np.array([w["n"] for w, _ in held], np.int64)
+        at = np.concatenate([np.arange(x) for x in n])
+        hashes = np.frombuffer(b"".join([digest(data[i : i + WINDOW]) for w, data in held for i in range(w["n"])]), np.int64).reshape(-1, 2)
+        columns = [np.repeat(np.array([w[c] for w, _ in held], np.int64), n) for c in ("v", "ph", "c")]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(at), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy())], names=["v", "ph", "c", "at", "g", "h"])
+
+    for found in _wanted(batches):
+        for i in range(0, len(found), 64):
+            yield rows(found[i : i + 64])
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted places of a phrase's repeated windows, to the stretches that they cover."""
+    for batch in batches:
+        rows = []
+        for v, ph, at in zip(batch.column("v").to_pylist(), batch.column("ph").to_pylist(), batch.column("at"), strict=True):
+            places = at.values.to_numpy()
+            cuts = np.flatnonzero(np.diff(places) > 1) + 1
+            rows += [(v, ph, int(x[0]), int(x[-1]) + WINDOW) for x in np.split(places, cuts)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["v", "ph", "a", "b"])
 
 
 def suffix_ranks(data: np.ndarray, depth: int = WINDOW) -> np.ndarray:
@@ -231,10 +249,10 @@ def suffix_ranks(data: np.ndarray, depth: int = WINDOW) -> np.ndarray:
 
 
 def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Dictionary phrases in the order of ``g``, to the stretches of each that repeat: (v, ph, from, to)."""
+    """Dictionary phrases in the order of their triggers ``v``, to the stretches of each that repeat: (v, ph, from, to)."""
 
     def done(rows: pa.Table) -> pa.RecordBatch:
-        n, c, at = (rows.column(x).to_numpy() for x in ("n", "c", "at"))
+        n, c = (rows.column(x).to_numpy() for x in ("n", "c"))
         pieces = rows.column("data").to_pylist()
         data = np.frombuffer(b"".join(pieces), np.uint8)
         sizes = n + WINDOW - 1
@@ -250,7 +268,7 @@ def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         last = np.flatnonzero(twice[:-1] & ~twice[1:])
         row = np.searchsorted(begin, first, side="right") - 1
         v, ph = (rows.column(x).to_numpy()[row] for x in ("v", "ph"))
-        a, b = first - begin[row] + at[row], last - begin[row] + at[row] + WINDOW
+        a, b = first - begin[row], last - begin[row] + WINDOW
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (v, ph, a, b)], names=["v", "ph", "a", "b"])
 
     held: list[pa.RecordBatch] = []
@@ -258,9 +276,9 @@ def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         if not batch.num_rows:
             continue
-        g = batch.column("g").to_numpy()
+        g = batch.column("v").to_numpy()
         cut = int(np.searchsorted(g, g[-1]))
-        if held and cut == 0 and held[-1].column("g")[-1].as_py() != g[0]:
+        if held and cut == 0 and held[-1].column("v")[-1].as_py() != g[0]:
             yield done(pa.Table.from_batches(held))
             held, size = [], 0
         while cut:  # groups that end in this batch
@@ -303,26 +321,34 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def removed(docs: DataFrame) -> DataFrame:
+def removed(docs: DataFrame, common: int = COMMON) -> DataFrame:
     """For every row of ``docs`` (``doc_id``, ``text``): what goes (``spans``, in bytes, end exclusive) and digests of it.
 
-    The texts are shuffled once; the cut of the dictionary and that of the texts read the same exchange.
+    The texts are shuffled once; the cut of the dictionary and that of the texts read the same exchange. Triggers that occur more
+    than ``common`` times have the windows of their phrases compared one by one.
     """
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("k"), F.col("doc_id").cast("long"), body.alias("body"))
     parse = scratch.stored(keyed.select("k", "body").mapInArrow(_parse, "k long, lo long, n int, v long, ph long, several boolean"), "parse")
     by_trigger = parse.groupBy("v").agg(F.count(F.lit(1)).alias("times"), F.min("ph").alias("p"), F.max("ph").alias("q"), F.max("several").alias("several"))
-    kinds = by_trigger.where("times > 1 or several").selectExpr("v", "times", "p <> q or several as mixed")
-    hits = scratch.stored(parse.drop("several").join(scratch.stored(kinds, "triggers"), "v"), "hits")
+    kinds = by_trigger.where("times > 1 or several").selectExpr("v", "p <> q or several as mixed", f"(p <> q or several) and times > {common} as common")
+    kinds, about = scratch.measured(kinds, "triggers", common=F.max("common"))
+    hits = scratch.stored(parse.drop("several").join(kinds, "v"), "hits")
     whole = hits.where("not mixed").select("k", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + WINDOW - 1).alias("b"))
     mixed = hits.where("mixed")
-    levels = F.when(F.col("times") <= 1000, 0).otherwise(F.ceil(F.log(16.0, F.col("times") / 1000))).cast("int")
-    chosen = mixed.groupBy("v", "ph").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "lo", "n", levels.alias("levels"))).alias("r"))
-    wanted = chosen.select("v", "ph", "c", "r.*").groupBy("k").agg(F.collect_list(F.struct("v", "ph", "c", "lo", "n", "levels")).alias("wanted"))
+    chosen = mixed.groupBy("v", "ph").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "lo", "n", "common")).alias("r"))
+    wanted = chosen.select("v", "ph", "c", "r.*").groupBy("k", "common").agg(F.collect_list(F.struct("v", "ph", "c", "lo", "n")).alias("wanted"))
     wanted = scratch.stored(wanted, "dictionary")
     texts = keyed.repartition("k")
-    dictionary = texts.join(wanted.hint("shuffle_hash"), "k").select("doc_id", "body", "wanted").mapInArrow(_cut, "g long, v long, ph long, c long, at long, n long, data binary")
-    found = dictionary.repartition("g").sortWithinPartitions("g").mapInArrow(_sorted_repeats, "v long, ph long, a long, b long")
+    phrases = lambda which: texts.join(wanted.where(which).drop("common").hint("shuffle_hash"), "k").select("doc_id", "body", "wanted")
+    stretch = "v long, ph long, a long, b long"
+    dictionary = phrases("not common").mapInArrow(_cut, "v long, ph long, c long, n long, data binary")
+    found = dictionary.repartition("v").sortWithinPartitions("v").mapInArrow(_sorted_repeats, stretch)
+    if about["common"]:
+        single = scratch.stored(phrases("common").mapInArrow(_single, "v long, ph long, c long, at long, g long, h long"), "windows")
+        twice = scratch.stored(single.groupBy("g", "h").agg(F.sum("c").alias("times")).where("times > 1").select("g", "h"), "repeated")
+        places = single.join(twice, ["g", "h"]).groupBy("v", "ph").agg(F.sort_array(F.collect_list("at")).alias("at"))  # LONGEST at most
+        found = found.unionByName(places.mapInArrow(_stretches, stretch))
     partly = mixed.join(found, ["v", "ph"]).select("k", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
     spans = whole.unionByName(partly).groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<from:long,to:long>>"
