@@ -73,6 +73,20 @@ def test_repeats(spark, docs, texts):
     assert _removed(in_order(repeats.removed(docs).collect(), texts)) == _without_repeats([(t or "").encode() for t in texts])
 
 
+def test_common_passages_in_changing_surroundings(spark):
+    """A passage in 1,300 texts, in two kinds of surroundings that come several times; brute force over all."""
+    rng = random.Random(12)
+    noise = lambda n: f"{rng.getrandbits(4 * n):0{n}x}"
+    passage, again = noise(260), [noise(120) for _ in range(3)]
+    rows = [rng.choice([noise(150), again[0] + again[1]]) + passage + rng.choice([noise(130), again[2], again[2][:60] + noise(70)]) for _ in range(1300)]
+    rows += [passage * 3, rows[5], passage[:199], "x" * 450]
+    want = _without_repeats([t.encode() for t in rows])
+    for common in (1000, 5, repeats.COMMON):
+        got = repeats.removed(made(spark, rows, 10).repartition(4), common).collect()
+        got = [next(r for r in got if r.doc_id == (None if i == 3 else i + 10)) for i in range(len(rows))]
+        assert _removed(got) == want
+
+
 def test_repeats_in_very_long_texts(spark):
     """Texts beyond a block, phrases beyond the longest, repeats across a block's end."""
     rng = random.Random(6)
@@ -93,23 +107,23 @@ def test_dictionary_beyond_one_sort():
         stem = rng.randbytes(2400)
         for ph in range(2):  # they share all but their last bytes
             data = stem + bytes([ph]) + rng.randbytes(59)
-            rows.append((g, g, 2 * g + ph, 1, 0, len(data) - 199, data))
+            rows.append((g, 2 * g + ph, 1, len(data) - 199, data))
             at += len(data)
     assert at > 2 * repeats.SORTED
-    names = ["g", "v", "ph", "c", "at", "n", "data"]
+    names = ["v", "ph", "c", "n", "data"]
     columns = list(zip(*rows, strict=True))
-    table = pa.Table.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], names=names)
+    table = pa.Table.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=names)
     out = [r for b in repeats._sorted_repeats(iter(table.to_batches(max_chunksize=333))) for r in b.to_pylist()]
     assert sorted((r["ph"], r["a"], r["b"]) for r in out) == [(ph, 0, 2400) for ph in range(1800)]
 
 
 def test_repeats_of_a_very_common_line(spark):
-    """A trigger of thousands of phrases is split by further ones, and nothing is missed."""
+    """The windows of a trigger of thousands of phrases are compared one by one, and nothing is missed."""
     rng = random.Random(1)
     line = "All rights reserved by the owners of this page and its parts."
     rows = [f"{rng.getrandbits(900):x}{line}{rng.getrandbits(900):x}" for _ in range(1300)]
     rows += [rows[0][40:300] + "q", rows[1]]
-    got = repeats.removed(made(spark, rows, 10).repartition(5)).collect()
+    got = repeats.removed(made(spark, rows, 10).repartition(5), common=1000).collect()
     removed = {r.doc_id: r.n_removed for r in got}
     hit = {10: 260, 11: len(rows[1]), 10 + 1300: 260, 10 + 1301: len(rows[1])}
     assert {k: v for k, v in removed.items() if v} == hit
@@ -578,6 +592,43 @@ def test_links_are_the_pairs_at_the_similarity(spark):
     assert kept == {find(i) for i in range(len(texts))}
 
 
+def test_a_list_of_drifting_copies(spark):
+    """One list of texts that drift away from their leader, in three chains and some strangers: the classes are those of all pairs."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    texts = []
+    for size in (70, 25, 3):
+        now = [word() for _ in range(200)]
+        for _ in range(size):
+            texts.append(" ".join(now))
+            now = list(now)
+            for i in rng.sample(range(200), 3):
+                now[i] = word()
+    texts += [" ".join(word() for _ in range(50)) for _ in range(12)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "_k long, text string")
+    marked = shingles.marked(docs).withColumn("bands", F.array(F.lit(7).cast("long"))).cache()
+    id_of = {r._k: r.id for r in marked.collect()}
+    sets = [_shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert 15 <= len({find(i) for i in range(len(texts))}) < 40
+    for block in (1024, 16):
+        got = {r.node: r.root for r in components.components(shingles.links(docs, marked.select("id", "_k", "bands"), 0.8, block=block)).collect()}
+        met = {(find(i), got.get(id_of[i], id_of[i])) for i in range(len(texts))}
+        assert len(met) == len({a for a, _ in met}) == len({b for _, b in met})
+
+
 def test_long_lists_link_as_short_ones(spark):
     """A dense group: the words between give the same groups as the index."""
     rng = random.Random(5)
