@@ -52,7 +52,7 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Rows ``node``, ``root``: the smallest node of its component, for every node in ``edges`` (``a``, ``b``: longs).
 
-    Each round, the large-star and the small-star step link a node's neighbours to the smallest of them, and tasks reduce
+    Edges are written once. Each round, the large-star and the small-star step link a node's neighbours to the smallest of them, and tasks reduce
     the edges that they hold then to stars, ``PER_TASK`` at a time. The edge table never grows by more than a node's
     own row, and ends as stars after about the square of the logarithm of the longest chain, or far sooner where
     tasks hold much of a component. A hub's neighbours are never gathered: its minimum is a partial aggregation, and the
@@ -63,7 +63,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     with a null end are ignored.
     """
     same = {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
-    e, was = scratch.measured(edges.select("a", "b").where("a <> b").mapInArrow(_reduced, "a long, b long"), "edges", **same)
+    # Written as they come: edges that Python workers make would need a second worker in the same task to be reduced.
+    e, was = scratch.measured(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b"), "edges", **same)
     for _ in range(rounds):
         parts = max(1, -(-was["n"] // PER_TASK))
         now = e.coalesce(parts)  # a > b

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -116,14 +116,20 @@ class Ids:
 
     def __init__(self, path: str, ranks_path: str, held: int = 200_000) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self._piece = tiktoken.Encoding("plain", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self._whole = Tokenizer.from_file(path)
+        self._path = path
         self._known, self._held = _Known(self._piece), held
 
+    @cached_property
+    def _whole(self):
+        """Read only if a text asks for it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self._path)
+
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
         plain = [i for i, t in enumerate(texts) if "<|endoftext|>" not in t and not is_odd(t)]
