@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm import scratch
+from waymark.llm.workers import tidy
 
 #: Edges that a task reduces at once, and rows of a round's table for each of its tasks.
 PER_TASK = 100_000
@@ -75,7 +76,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b > m").selectExpr("b a", "m b").unionByName(low.selectExpr("a", "m b"))
         small = (small.coalesce(1) if parts == 1 else small).distinct()
-        e, after = scratch.measured(small.coalesce(parts).mapInArrow(_reduced, "a long, b long"), "round", **same)
+        e, after = scratch.measured(small.coalesce(parts).mapInArrow(tidy(_reduced), "a long, b long"), "round", **same)
         if after == was:
             return e.selectExpr("a node", "b root").unionByName(e.selectExpr("b node", "b root").distinct())
         was = after

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm import pretokens, scratch
+from waymark.llm.workers import tidy
 
 #: Bytes of text that are tokenised at once.
 CHUNK = 1 << 20
@@ -206,6 +207,6 @@ def packed(
     schema = f"{SCHEMA}, pool long, ids binary"
     names = [x.split()[0] for x in schema.split(", ")]
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    first = scratch.stored(texts.mapInArrow(packing(read, 0, False), schema), "packed")
-    second = first.where("pool is not null").repartition("pool").mapInArrow(packing(again, 1 << 62, True), schema)
+    first = scratch.stored(texts.mapInArrow(tidy(packing(read, 0, False)), schema), "packed")
+    second = first.where("pool is not null").repartition("pool").mapInArrow(tidy(packing(again, 1 << 62, True)), schema)
     return first.where("pool is null").unionByName(second).select(*names[:7])

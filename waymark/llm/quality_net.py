@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.workers import tidy
+
 WIDTH, BLOCK, FILTERS, HIDDEN = 6, 512, 24, 16
 CHUNK = 2 * BLOCK
 HELD_OUT = (4, 2)  # rows whose crc32 of the id leaves this remainder
@@ -161,7 +163,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = 1200, chunks: int =
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "quality", "data"), r, strict=True)) for r in rows], pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("data", pa.binary())]))
 
     found = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("quality").cast("int"))
-    rows = sorted(map(tuple, found.mapInArrow(cut, "doc_id long, quality int, data binary").collect()))
+    rows = sorted(map(tuple, found.mapInArrow(tidy(cut), "doc_id long, quality int, data binary").collect()))
     if not rows:
         return Net.fresh(seed)
     data = np.stack([np.frombuffer(r[2], np.uint8) for r in rows])
@@ -188,4 +190,4 @@ def scored(docs: DataFrame, net: Net) -> DataFrame:
             score = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(work), "doc_id long, score double")

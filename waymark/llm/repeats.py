@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm import scratch
+from waymark.llm.workers import tidy
 
 WINDOW, GRAM = 200, 32
 WIDTH = WINDOW - GRAM + 1  # strings of GRAM bytes in a window
@@ -329,7 +330,7 @@ def removed(docs: DataFrame, common: int = COMMON) -> DataFrame:
     """
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("k"), F.col("doc_id").cast("long"), body.alias("body"))
-    parse = scratch.stored(keyed.select("k", "body").mapInArrow(_parse, "k long, lo long, n int, v long, ph long, several boolean"), "parse")
+    parse = scratch.stored(keyed.select("k", "body").mapInArrow(tidy(_parse), "k long, lo long, n int, v long, ph long, several boolean"), "parse")
     by_trigger = parse.groupBy("v").agg(F.count(F.lit(1)).alias("times"), F.min("ph").alias("p"), F.max("ph").alias("q"), F.max("several").alias("several"))
     kinds = by_trigger.where("times > 1 or several").selectExpr("v", "p <> q or several as mixed", f"(p <> q or several) and times > {common} as common")
     kinds, about = scratch.measured(kinds, "triggers", common=F.max("common"))
@@ -342,14 +343,14 @@ def removed(docs: DataFrame, common: int = COMMON) -> DataFrame:
     texts = keyed.repartition("k")
     phrases = lambda which: texts.join(wanted.where(which).drop("common").hint("shuffle_hash"), "k").select("doc_id", "body", "wanted")
     stretch = "v long, ph long, a long, b long"
-    dictionary = phrases("not common").mapInArrow(_cut, "v long, ph long, c long, n long, data binary")
-    found = dictionary.repartition("v").sortWithinPartitions("v").mapInArrow(_sorted_repeats, stretch)
+    dictionary = phrases("not common").mapInArrow(tidy(_cut), "v long, ph long, c long, n long, data binary")
+    found = dictionary.repartition("v").sortWithinPartitions("v").mapInArrow(tidy(_sorted_repeats), stretch)
     if about["common"]:
-        single = scratch.stored(phrases("common").mapInArrow(_single, "v long, ph long, c long, at long, g long, h long"), "windows")
+        single = scratch.stored(phrases("common").mapInArrow(tidy(_single), "v long, ph long, c long, at long, g long, h long"), "windows")
         twice = scratch.stored(single.groupBy("g", "h").agg(F.sum("c").alias("times")).where("times > 1").select("g", "h"), "repeated")
         places = single.join(twice, ["g", "h"]).groupBy("v", "ph").agg(F.sort_array(F.collect_list("at")).alias("at"))  # LONGEST at most
-        found = found.unionByName(places.mapInArrow(_stretches, stretch))
+        found = found.unionByName(places.mapInArrow(tidy(_stretches), stretch))
     partly = mixed.join(found, ["v", "ph"]).select("k", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
     spans = whole.unionByName(partly).groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<from:long,to:long>>"
-    return texts.join(spans, "k", "left").select("doc_id", "body", "spans").mapInArrow(_kept, result)
+    return texts.join(spans, "k", "left").select("doc_id", "body", "spans").mapInArrow(tidy(_kept), result)

@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from waymark.llm import scratch, shingles
 from waymark.llm.components import components
+from waymark.llm.workers import tidy
 
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -81,7 +82,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(found)], names=[*(f.name for f in kept), "fp"])
 
     schema = T.StructType([*kept, T.StructField("fp", T.LongType())])
-    return docs.select(*(f.name for f in kept), F.col("text").cast("string")).mapInArrow(work, schema)
+    return docs.select(*(f.name for f in kept), F.col("text").cast("string")).mapInArrow(tidy(work), schema)
 
 
 def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -190,7 +191,7 @@ def links(distinct: DataFrame, most_bits: int = 4, block: int = 8192) -> DataFra
         if len(key):
             yield handled(key, fps)
 
-    found = listed.where(F.col("n") <= block).select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(work, "a long, b long")
+    found = listed.where(F.col("n") <= block).select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(work), "a long, b long")
     if (about["longest"] or 0) > block:
         found = found.unionByName(_between(listed.where(F.col("n") > block).select("fp").distinct(), most_bits // 2))
     return found

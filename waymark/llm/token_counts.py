@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm import pretokens
+from waymark.llm.workers import tidy
 
 UNIT = 1 << 20
 #: Bytes of a pre-token beyond which it is scored by itself: its values would fill the path, and nobody shares them.
@@ -142,4 +143,4 @@ def counted(docs: DataFrame, path: str | None = None) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array(table[:, 0]), pa.array(table[:, 1]), pa.array(table[:, 2] / UNIT)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pretokens", "n_tokens", "log_prob"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_pretokens long, n_tokens long, log_prob double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(work), "doc_id long, n_pretokens long, n_tokens long, log_prob double")
