@@ -7,7 +7,6 @@ the heap of an executor that may be busy with quite another stage.
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,7 +16,6 @@ Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 def give_back() -> None:
     """Return unused memory to the system, as far as its allocators can."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
