@@ -190,3 +190,23 @@ def test_sheets_beyond_the_format_are_refused(spark, tmp_path):
             workbooks.write_workbook(spark, {"a": spark.range(9)}, f"file://{tmp_path}/b.xlsx")
     finally:
         workbooks.MOST_ROWS = most
+
+
+def test_boxes_that_nearly_touch(spark):
+    """Sides a millionth apart, in one group and in a group without a name, in one strip and in many, against sums of intervals."""
+    rng = np.random.default_rng(0)
+    x, w = rng.uniform(-0.5, 0.5, 400).astype(np.float32).astype(float), 0.01 + rng.uniform(0, 0.002, 400)
+    x[200:] = x[:200] + w[:200] + rng.choice([1e-6, -1e-6, 1e-7, 0], 200)
+    n, length, end = 0, 0.0, -9.0
+    for a, b in sorted(zip(x, x + w, strict=True)):
+        n, length, end = n + (end < a), length + max(0, b - max(a, end)), max(end, b)
+    found = polygons.joined([box(a, 0, b) for a, b in zip(x, w, strict=True)])
+    assert len(found) == n and abs(ground(found) - length) < 1e-12
+    rows = [(g, [{"x": float(p), "y": float(q)} for p, q in box(a, 0, b)]) for g in ("g", None) for a, b in zip(x, w, strict=True)]
+    areas = spark.createDataFrame(rows, "g string, ring array<struct<x:double,y:double>>")
+    for size in (10, 1000):
+        got = polygons.dissolved(areas, "g", size).toPandas()
+        assert {k if k == k and k else None for k in got["name"]} == {"g", None} and len(got) == 2 * n
+        assert abs(ground(polygons._rings(got["ring"])) - 2 * length) < 1e-12
+    hole = polygons.united([polygons.joined([box(0, 0, 3, 1), box(0, 2, 3, 1), box(0, 0, 1, 3), box(2, 0, 1, 3)]), [box(1.5, 1.5, 0.25, 0.25)]])
+    assert len(hole) == 3 and abs(ground(hole) - 8.0625) < 1e-9

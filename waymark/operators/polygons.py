@@ -20,18 +20,23 @@ from waymark.operators import spatial
 from waymark.operators.shapes import Ring, signed_area
 
 Test = Callable[[np.ndarray], np.ndarray]
-#: Places nearer than this share of the extent are one.
-SNAP = 1e-9
+#: Coordinates nearer than this share of the extent are one.
+SNAP = 1e-11
+#: Areas that one overlay joins; more are joined in rounds.
+AT_ONCE = 16
+_CELLS = 250_000
 
 
 def holds(ring: Ring, points: np.ndarray) -> np.ndarray:
     """Whether a ring holds each point, by crossings."""
     a, b = ring, np.roll(ring, -1, axis=0)
+    x, y = points[:, :1], points[:, 1:]
     out = np.zeros(len(points), bool)
-    for (x1, y1), (x2, y2) in zip(a, b, strict=True):
-        crosses = (y1 > points[:, 1]) != (y2 > points[:, 1])
-        if crosses.any():
-            out ^= crosses & (points[:, 0] < x1 + (points[:, 1] - y1) * (x2 - x1) / (y2 - y1 if y2 != y1 else 1))
+    step = max(1, _CELLS // max(1, len(points)))
+    for i in range(0, len(ring), step):
+        (x1, y1), (x2, y2) = a[i : i + step].T, b[i : i + step].T
+        crosses = (y1 > y) != (y2 > y)
+        out ^= (crosses & (x < x1 + (y - y1) * (x2 - x1) / np.where(y2 != y1, y2 - y1, 1))).sum(axis=1) % 2 == 1
     return out
 
 
@@ -45,47 +50,78 @@ def _sides(rings: Sequence[Ring]) -> np.ndarray:
     return np.vstack(found) if found else np.zeros((0, 4))
 
 
-def _noded(sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places, and the pieces between them (pairs of places, each once), that sides fall into where they cross or touch."""
-    low = sides.reshape(-1, 2).min(axis=0)
-    unit = max(float(np.ptp(sides.reshape(-1, 2), axis=0).max()), 1e-300) * SNAP
-    p, q = sides[:, :2], sides[:, 2:]
-    along = q - p
-    pieces = []
-    for i in range(len(sides)):
-        u, w = along[i], p - p[i]
-        cross = u[0] * along[:, 1] - u[1] * along[:, 0]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = (w[:, 0] * along[:, 1] - w[:, 1] * along[:, 0]) / cross
-            s = (w[:, 0] * u[1] - w[:, 1] * u[0]) / cross
-        length = float(u @ u)
-        slack = unit / max(math.sqrt(length), unit)
-        other = unit / np.maximum(np.hypot(*along.T), unit)
-        met = (cross != 0) & (t > -slack) & (t < 1 + slack) & (s > -other) & (s < 1 + other)
-        at = [0.0, 1.0, *t[met].tolist()]
-        # Ends of other sides that lie on this one, which parallel sides share.
-        ends = np.vstack([p, q])
-        f = (ends - p[i]) @ u / max(length, 1e-300)
-        gap = np.hypot(*(ends - p[i] - f[:, None] * u).T)
-        at += f[(gap < 2 * unit) & (f > 0) & (f < 1)].tolist()
-        places = p[i] + np.unique(np.clip(at, 0, 1))[:, None] * u
-        keys = np.rint((places - low) / (4 * unit)).astype(np.int64)
-        pieces += [(*a, *b) for a, b in zip(keys.tolist(), keys[1:].tolist(), strict=False) if a != b]
-    if not pieces:
-        return np.zeros((0, 2)), np.zeros((0, 2), np.int64)
-    flat, number = np.unique(np.array(pieces, np.int64).reshape(-1, 2), axis=0, return_inverse=True)
-    pairs = np.unique(np.sort(number.reshape(-1, 2), axis=1), axis=0)
-    return flat * (4 * unit) + low, pairs
+def _merged(values: np.ndarray, unit: float, given: np.ndarray | None = None) -> np.ndarray:
+    """Values, those nearer than ``unit`` to the next one made equal: to a ``given`` one, if there is one among them."""
+    order = np.argsort(values, kind="stable")
+    group = np.cumsum(np.concatenate([[False], np.diff(values[order]) > unit]))
+    lead = order if given is None else order[np.lexsort((~given[order], group))]
+    out = np.empty_like(values)
+    out[order] = values[lead[np.searchsorted(group, np.arange(group[-1] + 1))]][group]
+    return out
+
 
+def _settled(lines: Sequence[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, float]:
+    """Rings or lines from their lowest corner on, near coordinates made one; the corner; and what counts as near. What is told
+    of their ground is then told of the very sides that are cut, however near two of them lie."""
+    flat = np.vstack(lines)
+    low = flat.min(axis=0)
+    flat = flat - low
+    unit = max(float(flat.max()), 1e-300) * SNAP
+    flat = np.stack([_merged(flat[:, k], unit) for k in (0, 1)], axis=1)
+    return np.split(flat, np.cumsum([len(x) for x in lines])[:-1]), low, unit
 
-def _left(places: np.ndarray, half: np.ndarray) -> np.ndarray:
-    """A point just left of the middle of each directed piece."""
+
+def _noded(sides: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places, and the pieces between them (pairs of places, each once), that settled sides fall into where they cross or touch."""
+    sides = sides[(sides[:, :2] != sides[:, 2:]).any(axis=1)]
+    if not len(sides):
+        return np.zeros((0, 2)), np.zeros((0, 2), np.int64)
+    p, q = sides[:, :2], sides[:, 2:]
+    along, ends = q - p, np.unique(sides.reshape(-1, 2), axis=0)
+    length = np.hypot(*along.T)
+    slack = unit / np.maximum(length, unit)
+    n = len(sides)
+    side, at, place, given = [np.arange(n), np.arange(n)], [np.zeros(n), np.ones(n)], [p, q], [np.ones(2 * n, bool)]
+    step = max(1, _CELLS // len(ends))
+    for i in range(0, n, step):
+        u, o, size = along[i : i + step, None], p[i : i + step, None], length[i : i + step, None]
+        w = p - o
+        cross = u[..., 0] * along[:, 1] - u[..., 1] * along[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            t = (w[..., 0] * along[:, 1] - w[..., 1] * along[:, 0]) / cross
+            s = (w[..., 0] * u[..., 1] - w[..., 1] * u[..., 0]) / cross
+            met = (t > -slack[i : i + step, None]) & (t < 1 + slack[i : i + step, None]) & (s > -slack) & (s < 1 + slack)
+        k, _ = np.nonzero(met)
+        t = np.clip(t[met], 0, 1)
+        side.append(i + k)
+        at.append(t)
+        place.append(p[i + k] + t[:, None] * along[i + k])
+        given.append(np.zeros(len(k), bool))
+        # Ends of other sides that lie on this one, which parallel sides share.
+        w = ends - o
+        f = (w * u).sum(axis=-1) / size**2
+        on = (np.abs(w[..., 0] * u[..., 1] - w[..., 1] * u[..., 0]) < unit * size) & (f > 0) & (f < 1)
+        k, j = np.nonzero(on)
+        side.append(i + k)
+        at.append(f[on])
+        place.append(ends[j])
+        given.append(np.ones(len(k), bool))
+    side, known, spot = np.concatenate(side), np.concatenate(given), np.vstack(place)
+    spot = np.stack([_merged(spot[:, k], unit, known) for k in (0, 1)], axis=1)
+    order = np.lexsort((np.concatenate(at), side))
+    places, number = np.unique(spot[order], axis=0, return_inverse=True)
+    number, side = number.reshape(-1), side[order]
+    pairs = np.stack([number[:-1], number[1:]], axis=1)[(side[:-1] == side[1:]) & (number[:-1] != number[1:])]
+    return places, np.unique(np.sort(pairs, axis=1), axis=0)
+
+
+def _left(places: np.ndarray, half: np.ndarray, unit: float) -> np.ndarray:
+    """A point just left of the middle of each directed piece, nearer than any other side may be."""
     a, b = places[half[:, 0]], places[half[:, 1]]
     u = b - a
     normal = np.stack([-u[:, 1], u[:, 0]], axis=1)
     size = np.hypot(*u.T)[:, None]
-    step = np.minimum(size * 1e-3, float(np.ptp(places, axis=0).max()) * SNAP * 50)
-    return (a + b) / 2 + normal / size * step
+    return (a + b) / 2 + normal / size * np.minimum(size * 1e-3, unit / 4)
 
 
 def _chained(places: np.ndarray, half: np.ndarray) -> list[Ring]:
@@ -123,31 +159,47 @@ def _straight(ring: Ring) -> Ring:
     return kept if len(kept) > 2 else ring
 
 
-def overlay(rings: Sequence[Ring], wanted: Test) -> list[Ring]:
-    """The border of the ground that ``wanted`` tells, whose sides are among those of ``rings``; largest rings first."""
-    sides = _sides(rings)
-    if not len(sides):
+def overlay(areas: Sequence[Sequence[Ring]], wanted: Callable[[list[np.ndarray]], np.ndarray]) -> list[Ring]:
+    """The border of the ground that ``wanted`` tells from which areas hold a point, each of rings round ground and holes; largest
+    rings first."""
+    areas = [[r for r in rings if len(r) > 2] for rings in areas]
+    flat = [r for rings in areas for r in rings]
+    if not flat:
         return []
-    places, pairs = _noded(sides)
+    flat, low, unit = _settled(flat)
+    places, pairs = _noded(_sides(flat), unit)
     if not len(pairs):
         return []
     half = np.vstack([pairs, pairs[:, ::-1]])
-    inside = wanted(_left(places, half))
+    points, rest = _left(places, half, unit), iter(flat)
+    held = [np.logical_xor.reduce([np.zeros(len(points), bool), *[holds(next(rest), points) for _ in rings]]) for rings in areas]
+    inside = wanted(held)
     n = len(pairs)
     border = inside & ~np.concatenate([inside[n:], inside[:n]])
     found = [_straight(r) for r in _chained(places, half[border])]
-    return sorted((r for r in found if abs(signed_area(r)) > 0), key=lambda r: -abs(signed_area(r)))
+    return sorted((r + low for r in found if abs(signed_area(r)) > 0), key=lambda r: -abs(signed_area(r)))
+
+
+def united(areas: Sequence[Sequence[Ring]]) -> list[Ring]:
+    """The union of areas, each of rings round ground and holes. Neighbours are joined first, so that what they have in common is gone
+    before they meet the others."""
+    areas = sorted((a for a in areas if len(a)), key=lambda a: min(float(r[:, 0].min()) for r in a))
+    either = lambda held: np.any(held, axis=0)
+    while len(areas) > AT_ONCE:
+        areas = [overlay(areas[i : i + AT_ONCE], either) for i in range(0, len(areas), AT_ONCE)]
+    return overlay(areas, either)
 
 
 def joined(rings: Sequence[Ring]) -> list[Ring]:
     """The union."""
-    return overlay(rings, within(rings))
+    return united([[r] for r in rings if len(r) > 2])
 
 
 def common(a: Sequence[Ring], b: Sequence[Ring]) -> list[Ring]:
     """The ground that both have."""
-    left, right = within(a), within(b)
-    return overlay([*a, *b], lambda points: left(points) & right(points))
+    if not len(a) or not len(b):
+        return []
+    return overlay([*([r] for r in a), *([r] for r in b)], lambda held: np.any(held[: len(a)], axis=0) & np.any(held[len(a) :], axis=0))
 
 
 def corridor(line: np.ndarray, width: float, corners: int = 16) -> list[Ring]:
@@ -166,8 +218,8 @@ def corridor(line: np.ndarray, width: float, corners: int = 16) -> list[Ring]:
 def divided(ring: Ring, lines: Sequence[np.ndarray], least: float = 0.0) -> list[Ring]:
     """The parts into which lines cut a ring (K15), those of an area over ``least``, largest first. A line that ends inside cuts nothing
     off; one that ends within the snapping distance of the border reaches it."""
-    cuts = [np.hstack([x[:-1], x[1:]]) for x in lines if len(x) > 1]
-    places, pairs = _noded(np.vstack([_sides([ring]), *cuts]))
+    (ring, *cuts), low, unit = _settled([ring, *(x for x in lines if len(x) > 1)])
+    places, pairs = _noded(np.vstack([_sides([ring]), *[np.hstack([x[:-1], x[1:]]) for x in cuts]]), unit)
     while len(pairs):  # loose ends
         degree = np.bincount(pairs.reshape(-1), minlength=len(places))
         tied = (degree[pairs] > 1).all(axis=1)
@@ -175,9 +227,9 @@ def divided(ring: Ring, lines: Sequence[np.ndarray], least: float = 0.0) -> list
             break
         pairs = pairs[tied]
     half = np.vstack([pairs, pairs[:, ::-1]])
-    half = half[holds(ring, _left(places, half))]
+    half = half[holds(ring, _left(places, half, unit))]
     found = [_straight(r) for r in _chained(places, half)]
-    return sorted((r for r in found if signed_area(r) > least), key=lambda r: -signed_area(r))
+    return sorted((r + low for r in found if signed_area(r) > least), key=lambda r: -signed_area(r))
 
 
 _AREA = "name string, place int, ring array<struct<x:double,y:double>>"
@@ -191,10 +243,23 @@ def _rows(name: object, rings: Sequence[Ring]) -> pd.DataFrame:
     return pd.DataFrame({"name": [name] * len(rings), "place": np.arange(len(rings), dtype=np.int32), "ring": [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]})
 
 
-def dissolved(areas: DataFrame, group: str) -> DataFrame:
-    """The joined border of each group's areas (K12): ``name``, ``place`` (0: the largest ring), ``ring``. Holes are rings that run clockwise."""
-    a = areas.where("size(ring) >= 3").select(F.col(group).cast("string").alias("name"), "ring")
-    return a.groupBy("name").applyInPandas(lambda g: _rows(g["name"].iloc[0], joined(_rings(g["ring"]))), _AREA)
+def dissolved(areas: DataFrame, group: str, size: int = 256) -> DataFrame:
+    """The joined border of each group's areas (K12): ``name``, ``place`` (0: the largest ring), ``ring``. Holes are rings that run clockwise.
+
+    A group is first joined in strips of about ``size`` areas, in tasks of their own; the last round gets what these leave.
+    """
+    a = areas.where("size(ring) >= 3").select(F.col(group).cast("string").alias("name"), "ring", F.expr("array_min(transform(ring, p -> p.x))").alias("west"))
+    spans = a.groupBy(F.col("name").alias("_name")).agg(F.min("west").alias("low"), F.max("west").alias("high"), F.ceil(F.count(F.lit(1)) / size).alias("strips"))
+    strip = F.when(F.col("high") > F.col("low"), F.floor((F.col("west") - F.col("low")) / (F.col("high") - F.col("low")) * F.col("strips"))).otherwise(0)
+    dealt = a.join(spans, F.col("name").eqNullSafe(F.col("_name"))).select("name", strip.cast("long").alias("strip"), "ring")
+
+    def first(g: pd.DataFrame) -> pd.DataFrame:
+        return _rows(g["name"].iloc[0], joined(_rings(g["ring"]))).assign(strip=g["strip"].iloc[0])
+
+    def last(g: pd.DataFrame) -> pd.DataFrame:
+        return _rows(g["name"].iloc[0], united([_rings(x) for _, x in g.groupby("strip")["ring"]]))
+
+    return dealt.groupBy("name", "strip").applyInPandas(first, f"{_AREA}, strip long").groupBy("name").applyInPandas(last, _AREA)
 
 
 def clipped(areas: DataFrame, masks: DataFrame, size: float = 0.05) -> DataFrame:
