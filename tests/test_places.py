@@ -210,3 +210,19 @@ def test_boxes_that_nearly_touch(spark):
         assert abs(ground(polygons._rings(got["ring"])) - 2 * length) < 1e-12
     hole = polygons.united([polygons.joined([box(0, 0, 3, 1), box(0, 2, 3, 1), box(0, 0, 1, 3), box(2, 0, 1, 3)]), [box(1.5, 1.5, 0.25, 0.25)]])
     assert len(hole) == 3 and abs(ground(hole) - 8.0625) < 1e-9
+
+
+def test_clip_is_dealt_over_all_partitions(spark):
+    """Areas of a small table are clipped in as many tasks as the session has partitions, each area once, on one mask or several."""
+    rng = np.random.default_rng(1)
+    rows = [(str(i), [{"x": float(p), "y": float(q)} for p, q in box(*rng.uniform(-1, 1, 2), *rng.uniform(0.01, 1, 2))]) for i in range(60)]
+    masks = [box(-0.5, -0.5), box(0, 0, 0.7, 0.9)]
+    schema = "name string, ring array<struct<x:double,y:double>>"
+    land = spark.createDataFrame([(str(i), [{"x": float(p), "y": float(q)} for p, q in m]) for i, m in enumerate(masks)], schema)
+    d = polygons.clipped(spark.createDataFrame(rows, schema), land, 0.5)
+    assert d.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {k: ground(polygons._rings(g["ring"])) for k, g in d.toPandas().groupby("name")}
+    for name, ring in rows:
+        b = [ring[0]["x"], ring[0]["y"], ring[2]["x"], ring[2]["y"]]
+        meet = lambda m, b=b: max(0, min(b[2], m[2]) - max(b[0], m[0])) * max(0, min(b[3], m[3]) - max(b[1], m[1]))
+        assert abs(got.get(name, 0) - meet((-0.5, -0.5, 0.5, 0.5)) - meet((0, 0, 0.7, 0.9)) + meet((0, 0, 0.5, 0.5))) < 1e-9

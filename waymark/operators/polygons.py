@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators import spatial
 from waymark.operators.shapes import Ring, signed_area
+from waymark.stage import spread
 
 Test = Callable[[np.ndarray], np.ndarray]
 #: Coordinates nearer than this share of the extent are one.
@@ -267,11 +268,12 @@ def clipped(areas: DataFrame, masks: DataFrame, size: float = 0.05) -> DataFrame
     bounded = lambda d, *c: d.where("size(ring) >= 3").select(*c, "ring", *[F.expr(f"{f}(transform(ring, p -> p.{v}))").alias(n) for n, f, v in (("west", "array_min", "x"), ("east", "array_max", "x"), ("south", "array_min", "y"), ("north", "array_max", "y"))])
     near = spatial.by_cells(bounded(areas, "name"), bounded(masks), [], size)
 
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        own = {r.tobytes(): r for r in _rings(g["ring"])}
-        return _rows(g["name"].iloc[0], common(list(own.values()), _rings(g["r_ring"])))
+    def work(batches):
+        for batch in batches:
+            out = [_rows(name, common(_rings(own), _rings(land))) for name, own, land in zip(batch["name"], batch["own"], batch["land"], strict=True)]
+            yield pd.concat(out) if out else _rows("", [])
 
-    return near.select("name", "ring", "r_ring").groupBy("name").applyInPandas(work, _AREA)
+    return spread(near.groupBy("name").agg(F.collect_set("ring").alias("own"), F.collect_set("r_ring").alias("land"))).mapInPandas(work, _AREA)
 
 
 def sections(areas: DataFrame, lines: DataFrame, least: float = 0.0) -> DataFrame:

@@ -40,6 +40,12 @@ def written(df: DataFrame, name: str, **wanted: Column) -> tuple[DataFrame, dict
     return spark.read.schema(df.schema).parquet(path), seen.get
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all of the session's shuffle partitions, for work that is large beside its rows' bytes, by which adaptive execution
+    would put them into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 @contextmanager
 def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
     """Jobs within carry ``tag``, so that another thread can stop them, and only them, by :func:`cancel`."""
