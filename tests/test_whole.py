@@ -168,3 +168,15 @@ def test_benchmark_semi_gate_reads_whole_texts(spark):
     docs = {r[0] for r in key(spark.read.parquet(f"{SMALL}/documents.parquet"))}
     want = {r[0]: bool(r[1]) and r[1] in docs for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", canon_text("text")).collect()}
     assert {r.item_id: r.duplicate for r in catalog.QUERIES["benchmark_semi_gate"](spark, SMALL).collect()} == want
+
+
+def test_containment_broadcasts_no_stretches(spark, tmp_path):
+    """Rows of a file that looks small go neither as stretches nor as rows to the driver; repeated and null texts keep their rows."""
+    rows = [(i, None if i % 10 == 9 else "kauri road rimu lane"[i % 7 :]) for i in range(300)]
+    spark.createDataFrame(rows, "i long, text string").write.parquet(f"{tmp_path}/d")
+    d = spark.read.parquet(f"{tmp_path}/d")
+    n = spark.createDataFrame([("road",), ("ri",), ("kauri road",), ("",), ("absent",)], "name string")
+    got = joins.containing(d, n, "text", "name")
+    assert got.columns == ["i", "text", "name"] and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    want = sorted((i, t, m) for i, t in rows for m in ("road", "ri", "kauri road", "absent") if t and m in t)
+    assert sorted(map(tuple, got.collect())) == want

@@ -79,14 +79,21 @@ def coverage(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 def containing(df: DataFrame, names: DataFrame, column: str, name: str, gram: int = 4) -> DataFrame:
     """Pairs where ``column`` contains ``name`` (C14), for names that aren't blank. A name meets the texts that hold its first
     ``gram`` signs, or the whole of it if it is shorter: an equality join on the distinct stretches of a text, of those
-    lengths only that names ask for."""
+    lengths only that names ask for. Only distinct texts are cut to stretches; rows find their names by their text.
+
+    Both joins are sorted ones by a hint: from the size of a file Spark takes a table of stretches for a small one, and would send
+    it to the driver to be broadcast.
+    """
     head = names.where(F.length(name) > 0).withColumn("_g", F.substring(name, 1, gram))
     sizes = [r[0] for r in head.select(F.length("_g")).distinct().collect()]  # ``gram`` at most
     if not sizes:
         return df.join(names.where("false"), F.lit(True))
-    stretch = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - n + 1, F.lit(1))), lambda i: F.substring(F.col(column), i, F.lit(n)))
+    text = F.col("_t")
+    stretch = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
     grams = F.explode(F.array_distinct(F.concat(*map(stretch, sorted(sizes)))))
-    return df.withColumn("_g", grams).join(head, "_g").where(F.contains(F.col(column), F.col(name))).drop("_g")
+    texts = df.select(F.col(column).alias("_t")).where("_t is not null").distinct()
+    held = texts.withColumn("_g", grams).join(head.hint("merge"), "_g").where(F.contains(text, F.col(name))).drop("_g")
+    return df.join(held.hint("merge"), df[column] == text).drop("_t")
 
 
 def nearest_number(df: DataFrame, row_id: str, street: str, number: str, area: str) -> DataFrame:
