@@ -5,9 +5,14 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from waymark import catalog
+from waymark.functions.geo import Box
 from waymark.functions.text import canon_text
-from waymark.operators import entity, joins
+from waymark.operators import entity, joins, shapes
+from waymark.sources import geocoders
 
 catalog.load()
 DATA = "/root/testdata/sf0.01"  # more customers than the old limits let in
@@ -180,3 +185,19 @@ def test_containment_broadcasts_no_stretches(spark, tmp_path):
     assert got.columns == ["i", "text", "name"] and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     want = sorted((i, t, m) for i, t in rows for m in ("road", "ri", "kauri road", "absent") if t and m in t)
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_probes_of_a_common_address(spark):
+    """An address that thousands ask for and thousands of rows answer costs in proportion to its places; a row that asks twice gets a place once."""
+    box = Box(-1.0, 1.0, -1.0, 1.0)
+    schema = "address string, label string, lat double, lon double, postcode string"
+    k = F.col("id")
+    many = spark.range(20_000).select(F.lit("a").alias("address"), F.lit("x").alias("label"), (k % 2 / 10).alias("lat"), F.lit(0.5).alias("lon"), (k + 10_000).cast("string").alias("postcode"))
+    few = spark.createDataFrame([("a", "x", 0.0, 0.5, "1"), ("b", "x", 0.0, 0.5, "1"), ("b", "y", 0.2, 0.5, "2"), ("b", "z", 9.0, 9.0, "3"), (None, "n", 0.0, 0.0, "4")], schema)
+    asked = spark.range(20_000).select("id", F.lit("a").alias("q")).union(spark.createDataFrame([(7, "b"), (7, "a"), (-1, "b"), (-2, None), (-3, "c")], "id long, q string"))
+    got = geocoders.probed_all(asked, "id", "q", [("many", many), ("few", few)], box)
+    assert got.columns == ["id", "provider", "label", "lat", "lon", "postcode"]
+    rows = {i: sorted((r.label, r.lat, r.provider, r.postcode) for r in got.where(F.col("id") == i).collect()) for i in (3, 7, -1)}
+    at = [("x", 0.0, "many", "10000"), ("x", 0.1, "many", "10001")]
+    assert rows == {3: at, 7: [*at, ("y", 0.2, "few", "2")], -1: [("x", 0.0, "few", "1"), ("y", 0.2, "few", "2")]}
+    assert got.count() == 40_000 + 1 + 2

@@ -104,11 +104,21 @@ def by_tables(addresses: DataFrame, row_id: str, queries: Sequence[Column], tabl
 
 def probed_all(addresses: DataFrame, row_id: str, address: str, tables: Sequence[tuple[str, DataFrame]], box: Box) -> DataFrame:
     """Every answer inside the box of every table, each place once (N4): rows of ``row_id`` that agree in label and in coordinates to six
-    digits are one, of the first table that has it."""
+    digits are one, of the first table that has it.
+
+    Tables are brought down to an address's places before any row meets them. Only rows of a ``row_id`` that asks for several
+    addresses can then have a place twice, and only these are compared again.
+    """
     found = None
     for i, (name, table) in enumerate(tables):
         p = table.withColumn("_p", unswapped(F.col("lat"), F.col("lon"), box)).withColumns({"lat": F.col("_p.lat"), "lon": F.col("_p.lon")}).drop("_p")
-        hit = addresses.select(row_id, F.col(address).alias("address")).join(p.where(box.holds(F.col("lat"), F.col("lon"))), "address")
-        hit = hit.select(row_id, F.lit(i).alias("_i"), F.lit(name).alias("provider"), "label", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "postcode")
+        hit = p.where(box.holds(F.col("lat"), F.col("lon")) & F.col("address").isNotNull())
+        hit = hit.select("address", F.lit(i).alias("_i"), F.lit(name).alias("provider"), "label", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "postcode")
         found = hit if found is None else found.unionByName(hit)
-    return rank.first_by(found, [row_id, "label", "lat", "lon"], ["_i", "postcode"]).drop("_i")
+    # A minimum for each place: partial ones leave a task little to send, however often an address is listed.
+    places = found.groupBy("address", "label", "lat", "lon").agg(F.min(F.struct("_i", "postcode", "provider")).alias("_m"))
+    asked = addresses.where(F.col(address).isNotNull()).groupBy(row_id).agg(F.collect_set(F.col(address).cast("string")).alias("_asked"))
+    columns = [row_id, "provider", "label", "lat", "lon", "postcode"]
+    met = lambda d: d.select(row_id, F.explode("_asked").alias("address")).join(places, "address").select(row_id, "label", "lat", "lon", "_m.*")
+    once, again = met(asked.where("size(_asked) = 1")), met(asked.where("size(_asked) > 1"))
+    return once.select(*columns).unionByName(rank.first_by(again, [row_id, "label", "lat", "lon"], ["_i", "postcode"]).select(*columns))
