@@ -201,3 +201,20 @@ def test_probes_of_a_common_address(spark):
     at = [("x", 0.0, "many", "10000"), ("x", 0.1, "many", "10001")]
     assert rows == {3: at, 7: [*at, ("y", 0.2, "few", "2")], -1: [("x", 0.0, "few", "1"), ("y", 0.2, "few", "2")]}
     assert got.count() == 40_000 + 1 + 2
+
+
+def test_rings_are_reduced_over_all_partitions(spark):
+    """Weights drop what a plain search drops, and a small table's rings are dealt over all partitions."""
+    rng = np.random.default_rng(0)
+    turn = np.arange(200) * (2 * np.pi / 200)
+    ring = np.stack([50 * np.cos(turn), 50 * np.sin(turn)], axis=1) + rng.normal(0, 1, (200, 2))
+    until = shapes.lasting(ring)
+    for t in (0.1, 0.5, 1, 2, 5, 200):
+        assert np.array_equal(ring[until > t], shapes.simplified(ring, t))
+    small = shapes.within_budget(ring, lambda r: 20 * len(r), 800)
+    apart = np.min([shapes.to_segment(ring, small[i], small[(i + 1) % len(small)]) for i in range(len(small))], axis=0).max()
+    assert abs(shapes.hausdorff(ring, small) - apart) < 1e-9
+    d = spark.createDataFrame([("a", [{"x": float(x), "y": float(y)} for x, y in ring])], "name string, ring array<struct<x:double,y:double>>").coalesce(1)
+    got = shapes.reduced(d, lambda r: 20 * len(r), 800)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [(r.name, r.bytes, round(r.distance, 9)) for r in got.collect()] == [("a", 20 * len(small), round(float(apart), 9))]

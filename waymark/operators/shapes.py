@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.stage import spread
+
 Ring = np.ndarray
 RINGS = "struct<x:double,y:double>"
 
@@ -161,25 +163,31 @@ def balanced(sizes: Sequence[float], parts: int, rounds: int = 200) -> list[int]
     return group
 
 
-def simplified(ring: Ring, tolerance: float) -> Ring:
-    """A ring of the points that lie farther than ``tolerance`` from the line between kept ones."""
+def lasting(ring: Ring, least: float = 0.0) -> np.ndarray:
+    """For each point, the tolerance from which on :func:`simplified` drops it; 0 for those that ``least`` drops."""
     if len(ring) < 4:
-        return ring
+        return np.full(len(ring), np.inf)
     far = int(np.argmax(np.hypot(*(ring - ring[0]).T)))
     closed = np.vstack([ring, ring[:1]])
-    keep = np.zeros(len(closed), bool)
-    keep[[0, far, -1]] = True
-    todo = [(0, far), (far, len(closed) - 1)]
+    until = np.zeros(len(closed))
+    until[[0, far, -1]] = np.inf
+    todo = [(0, far, np.inf), (far, len(closed) - 1, np.inf)]
     while todo:
-        a, b = todo.pop()
+        a, b, above = todo.pop()
         if b - a < 2:
             continue
         d = to_segment(closed[a + 1 : b], closed[a], closed[b])
-        if d.max() > tolerance:
+        top = min(above, float(d.max()))
+        if top > least:
             m = a + 1 + int(d.argmax())
-            keep[m] = True
-            todo += [(a, m), (m, b)]
-    return closed[:-1][keep[:-1]]
+            until[m] = top
+            todo += [(a, m, top), (m, b, top)]
+    return until[:-1]
+
+
+def simplified(ring: Ring, tolerance: float) -> Ring:
+    """A ring of the points that lie farther than ``tolerance`` from the line between kept ones."""
+    return ring[lasting(ring, tolerance) > tolerance]
 
 
 def to_segment(points: Ring, a: Ring, b: Ring) -> np.ndarray:
@@ -194,27 +202,36 @@ def hausdorff(a: Ring, b: Ring) -> float:
     if not len(a) or not len(b):
         return math.inf
 
-    def far(p: Ring, q: Ring) -> float:
-        return float(np.min([to_segment(p, q[i], q[(i + 1) % len(q)]) for i in range(len(q))], axis=0).max())
+    return max(_far(a, b), _far(b, a))
+
 
-    return max(far(a, b), far(b, a))
+def _far(p: Ring, q: Ring) -> float:
+    """The farthest distance from a point of ``p`` to the nearest side of ``q``: many points and sides at once."""
+    along = np.roll(q, -1, axis=0) - q
+    n = (along**2).sum(axis=1)
+    out, step = 0.0, max(1, 100_000 // len(q))
+    for i in range(0, len(p), step):
+        x, y = p[i : i + step, :1] - q[:, 0], p[i : i + step, 1:] - q[:, 1]
+        t = np.clip((x * along[:, 0] + y * along[:, 1]) / np.where(n > 0, n, 1), 0, 1)
+        out = max(out, float(((x - t * along[:, 0]) ** 2 + (y - t * along[:, 1]) ** 2).min(axis=1).max()))
+    return math.sqrt(out)
 
 
 def within_budget(ring: Ring, size_of: Callable[[Ring], int], budget: int, farthest: float = 5.0, most: float = 50.0, rounds: int = 12) -> Ring:
     """The ring simplified as little as fits the budget, never farther than ``farthest`` from the original (K16); if both can't
     be had, the smallest that stays near enough."""
-    if size_of(ring) <= budget:
+    if (least := size_of(ring)) <= budget:
         return ring
-    lo, hi, best = 0.0, most, ring
+    lo, hi, best, until = 0.0, most, ring, lasting(ring)
     for _ in range(rounds):
         mid = (lo + hi) / 2
-        tried = simplified(ring, mid)
-        if len(tried) < 3 or hausdorff(ring, tried) > farthest:
+        tried = ring[until > mid]
+        if len(tried) < 3 or _far(ring, tried) > farthest:  # the way back is none: its points are the ring's
             hi = mid
-        elif size_of(tried) <= budget:
-            best, hi = tried, mid
+        elif (size := size_of(tried)) <= budget:
+            best, least, hi = tried, size, mid
         else:
-            best, lo = (tried if size_of(tried) < size_of(best) else best), mid
+            best, least, lo = (tried, size, mid) if size < least else (best, least, mid)
     return best
 
 
@@ -291,4 +308,4 @@ def reduced(areas: DataFrame, size_of: Callable[[Ring], int], budget: int, farth
                 rows.append((name, [{"x": float(a), "y": float(b)} for a, b in new], size_of(new), 0.0 if len(new) == len(ring) else hausdorff(ring, new)))
             yield pd.DataFrame(rows, columns=["name", "ring", "bytes", "distance"])
 
-    return areas.select("name", "ring").mapInPandas(work, f"name string, ring array<{RINGS}>, bytes long, distance double")
+    return spread(areas.select("name", "ring")).mapInPandas(work, f"name string, ring array<{RINGS}>, bytes long, distance double")
