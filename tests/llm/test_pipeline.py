@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from waymark.llm import scratch
+from waymark.llm import scratch, shingles, simhash
 
 
 def test_stages(spark, sf_dir):
@@ -54,3 +54,20 @@ def test_stages_on_very_long_texts(spark, sf_dir):
     assert kept["quality"] >= {1, 4, 5} and 2 not in kept["quality"] and 3 not in kept["quality"]
     assert 4 in kept["near_duplicates"]
     assert corpus_pipeline.STAGES[-1][1](spark, d, sf_dir).agg({"length": "sum"}).first()[0] > 100_000
+
+
+def test_near_duplicates_go_through_fingerprints(spark):
+    """Near copies are found by the index of fingerprints; what only lists of shingles see is linked as well, and nothing else."""
+    rng = random.Random(3)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        w = words(400)
+        texts += [w, [*w[:-1], "other"], [*w[:200], "mid", "dle", *w[208:]], words(400)]
+    rows = [(i, " ".join(w), "en", "a", 0) for i, w in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in simhash.representatives(d).collect()} == {i for i in range(48) if i % 4 in (0, 3)}
+    marked = shingles.marked(d.select("doc_id", "text"), 5, simhash.summed).cache()
+    name = {r.id: r.doc_id for r in marked.collect()}
+    found = {tuple(sorted((name[r.a], name[r.b]))) for r in simhash.near_sets(marked).collect()}
+    assert {(i, i + 1) for i in range(0, 48, 4)} <= found and all(a // 4 == b // 4 for a, b in found)

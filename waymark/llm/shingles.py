@@ -15,7 +15,7 @@ shingle of all words; a shingle that a text repeats counts once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,8 @@ _TIMES = _rng.integers(0, 2**63, ROWS * BANDS, np.uint64) * np.uint64(2) + np.ui
 _PLUS = _rng.integers(0, 2**64, ROWS * BANDS, np.uint64, endpoint=False)
 
 
-def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """The set of hashes of a text's shingles of ``width`` words, in order."""
+def hashes(text: str | None, width: int = 5) -> np.ndarray:
+    """The hashes of a text's shingles of ``width`` words, in the order of the text."""
     found = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not found:
         return np.zeros(0, np.uint64)
@@ -48,7 +48,12 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     starts = np.concatenate([[0], ends[:-1] + 1])
     n, digest = max(1, len(found) - width + 1), xxhash.xxh64_intdigest
     last = ends[width - 1 :] if len(found) >= width else ends[-1:]
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """The set of hashes of a text's shingles of ``width`` words, in order."""
+    return np.unique(hashes(text, width))
 
 
 def bands(found: np.ndarray) -> list[int]:
@@ -72,18 +77,22 @@ def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def marked(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The columns of ``docs`` but its text, with the hash of its set of shingles (``id``) and the keys of its lists (``bands``)."""
+def marked(docs: DataFrame, width: int = 5, fingerprint: Callable[[np.ndarray], int] | None = None) -> DataFrame:
+    """The columns of ``docs`` but its text, with the hash of its set of shingles (``id``), the keys of its lists (``bands``) and, if asked
+    for, the fingerprint of its shingles (``fp``)."""
     rest = [f for f in docs.schema.fields if f.name != "text"]
+    long = T.LongType()
+    schema = T.StructType([*rest, T.StructField("id", long), T.StructField("bands", T.ArrayType(long)), *([T.StructField("fp", long)] if fingerprint else [])])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
-            sets = [shingles(x.as_py(), width) for x in batch.column("text")]
+            found = [hashes(x.as_py(), width) for x in batch.column("text")]
+            fps = [pa.array(_signed([fingerprint(h) for h in found]))] if fingerprint else []
+            sets = [np.unique(h) for h in found]
             ids = _signed([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets])
             keys = pa.array([_signed(bands(s)) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(ids), keys], names=[*(f.name for f in rest), "id", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(ids), keys, *fps], names=schema.names)
 
-    schema = T.StructType([*rest, T.StructField("id", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     return docs.select(*(f.name for f in rest), F.col("text").cast("string")).mapInArrow(tidy(work), schema)
 
 
@@ -123,9 +132,10 @@ def joining(ids: np.ndarray, roots: np.ndarray, asks: np.ndarray, sets: list[np.
     return out
 
 
-def links(docs: DataFrame, distinct: DataFrame, similarity: float, width: int = 5, block: int = 1024) -> DataFrame:
+def links(docs: DataFrame, distinct: DataFrame, similarity: float, width: int = 5, block: int = 1024, candidates: DataFrame | None = None) -> DataFrame:
     """Edges ``a``, ``b`` between ids that connect all sets at ``similarity`` or more.
 
+    ``candidates`` (``a``, ``b``) are verified first, and what they connect is one class: pairs of lists within a class are done with.
     ``distinct`` has each ``id`` once, with its ``bands`` and the key ``_k`` of a row of ``docs`` (``_k``, ``text``) that has it.
     """
     posted = distinct.select("id", F.explode("bands").alias("key"))
@@ -139,12 +149,19 @@ def links(docs: DataFrame, distinct: DataFrame, similarity: float, width: int =
     if has_long:
         pairs = pairs.unionByName(long.where("id <> leader").selectExpr("leader as a", "id as b"))
     pairs = scratch.stored(pairs.distinct(), "pairs")
-    asked = listed.select("id").distinct().join(distinct.select("id", "_k"), "id")
+    candidates = distinct.where("false").selectExpr("id as a", "id as b") if candidates is None else candidates
+    asked = listed.select("id").unionByName(candidates.select(F.explode(F.array("a", "b")).alias("id"))).distinct().join(distinct.select("id", "_k"), "id")
     found = scratch.stored(_sets(docs.select("_k", "text").join(asked, "_k").dropDuplicates(["id"]), width), "sets")
 
-    both = pairs.join(found.selectExpr("id as a", "found as fa"), "a").join(found.selectExpr("id as b", "found as fb"), "b")
-    both = both.select("a", "b", F.size("fa").alias("na"), F.size("fb").alias("nb"), F.size(F.array_intersect("fa", "fb")).alias("shared"))
-    checked = both.where(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")) >= similarity).select("a", "b")
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(found.selectExpr("id as a", "found as fa"), "a").join(found.selectExpr("id as b", "found as fb"), "b")
+        both = both.select("a", "b", F.size("fa").alias("na"), F.size("fb").alias("nb"), F.size(F.array_intersect("fa", "fb")).alias("shared"))
+        return both.where(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")) >= similarity).select("a", "b")
+
+    first = scratch.stored(verified(candidates), "first")
+    classes = scratch.stored(components(first).select("node", "root"), "classes")
+    rooted = pairs.join(classes.selectExpr("node as a", "root as ra"), "a", "left").join(classes.selectExpr("node as b", "root as rb"), "b", "left")
+    checked = first.unionByName(verified(rooted.where("ra is null or rb is null or ra <> rb").select("a", "b")))
     if not has_long:
         return checked
     checked = scratch.stored(checked, "checked")

@@ -11,8 +11,9 @@ Only distinct fingerprints are indexed. A task returns a forest for a list (each
 its group), not all pairs; what is linked stays linked through it. Lists too long for a task need no pairs
 either (:func:`links`).
 
-For a similarity of shingle sets rather than a number of bits (:func:`representatives`), see :mod:`waymark.llm.shingles`: no
-fingerprint decides there, as no number of its bits goes with a similarity for sure.
+For a similarity of shingle sets rather than a number of bits (:func:`representatives`), the index gives the first candidates, each
+verified on the sets themselves, as no number of bits goes with a similarity for sure. Pairs that are alike by their sets but not
+by four bits come from the lists of :mod:`waymark.llm.shingles`.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any others; fewer than
 four words make one shingle of all words; a null ``doc_id`` keeps its row, and groups of only such rows have a
@@ -26,7 +27,6 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +35,6 @@ from waymark.llm import scratch, shingles
 from waymark.llm.components import components
 from waymark.llm.workers import tidy
 
-SEED = 42
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def _triples() -> list[tuple[int, int, int]]:
@@ -55,23 +53,22 @@ def _triples() -> list[tuple[int, int, int]]:
 TRIPLES = _triples()
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """The SimHash of a text's shingles of ``width`` words."""
-    found = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
-    if not found:
+def summed(hashes: np.ndarray) -> int:
+    """The SimHash of shingles' hashes, repeats included: a bit is 1 if over half of them have it."""
+    n, held = len(hashes), hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    if not n:
         return 0
-    joined = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n, digest = max(1, len(found) - width + 1), xxhash.xxh64_digest
-    last = ends[width - 1 :] if len(found) >= width else ends[-1:]
-    hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)]), np.uint8).reshape(-1, 8)
     set_in = np.zeros(64, np.int64)
     for i in range(0, n, 4096):
-        set_in += np.unpackbits(hashes[i : i + 4096], axis=1).sum(axis=0, dtype=np.int64)
+        set_in += np.unpackbits(held[i : i + 4096], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * set_in > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """The SimHash of a text's shingles of ``width`` words."""
+    return summed(shingles.hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """The columns of ``docs`` but its text, and the fingerprint as a signed long (``fp``), for every row."""
     kept = [f for f in docs.schema.fields if f.name != "text"]
@@ -210,16 +207,26 @@ def representatives(docs: DataFrame, similarity: float = 0.8, width: int = 5) ->
     """One row of ``docs`` for each group of near-duplicates: that of its smallest ``doc_id`` (null last; ties by a hash of the
     text). Documents are linked at ``similarity`` of their sets of shingles of ``width`` words, or more, verified exactly."""
     keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
-    marked = scratch.stored(shingles.marked(keyed.select("doc_id", "text", "_k"), width), "marked")
-    distinct = scratch.stored(marked.groupBy("id").agg(F.min("_k").alias("_k"), F.first("bands").alias("bands")), "distinct")
-    linked = components(shingles.links(keyed, distinct, similarity, width))
+    marked = scratch.stored(shingles.marked(keyed.select("doc_id", "text", "_k"), width, summed), "marked")
+    distinct = scratch.stored(marked.groupBy("id").agg(F.min("_k").alias("_k"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
+    linked = components(shingles.links(keyed, distinct.drop("fp"), similarity, width, candidates=near_sets(distinct)))
     linked = scratch.stored(linked.selectExpr("node as id", "root as component"), "linked")
-    grouped = marked.drop("bands").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    grouped = marked.drop("bands", "fp").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_k")).alias("m"))
     stay = scratch.stored(first.select(F.col("m._k").alias("_k")), "representatives")
     return keyed.join(stay, "_k", "left_semi").dropDuplicates(["_k"]).select(*docs.columns)
 
 
+def near_sets(distinct: DataFrame, most_bits: int = 4) -> DataFrame:
+    """Pairs ``a``, ``b`` of ids (``id``, ``fp``) by the index of fingerprints: sets of one fingerprint with the least of them, and those
+    with each other whose fingerprints are linked."""
+    heads = scratch.stored(distinct.groupBy("fp").agg(F.min("id").alias("head")), "heads")
+    same = distinct.join(heads, "fp").where("id <> head").selectExpr("head as a", "id as b")
+    edges = links(heads.select("fp"), most_bits).distinct()
+    near = edges.join(heads.selectExpr("fp as a", "head as ha"), "a").join(heads.selectExpr("fp as b", "head as hb"), "b")
+    return scratch.stored(same.unionByName(near.selectExpr("ha as a", "hb as b")).distinct(), "near")
+
+
 def near_duplicates(docs: DataFrame, most_bits: int = 4, width: int = 4) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``, the smallest ``doc_id`` reachable over links, for every row."""
     marked = scratch.stored(fingerprints(docs.select("doc_id", "text"), width), "fingerprints")
